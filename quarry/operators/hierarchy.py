@@ -93,6 +93,8 @@ def hierarchy(df: DataFrame, parent: str, child: str, loaded_at: str | None = No
         )
     )
     for _ in range(math.ceil(math.log2(max(rounds, 2))) + 1):
+        if tree.where("root is null").isEmpty():
+            break
         found = tree.where("root is not null")
         up = tree.select(F.col("node").alias("anc"), F.col("anc").alias("u_anc"), F.col("seg").alias("u_seg"), F.col("root").alias("u_root"), F.col("in_cycle").alias("u_in"))
         step = lookup_join(tree.where("root is null"), up, "anc").select(
@@ -102,7 +104,7 @@ def hierarchy(df: DataFrame, parent: str, child: str, loaded_at: str | None = No
             F.col("u_root").alias("root"),
             F.col("u_in").alias("in_cycle"),
         )
-        tree = cut(found.unionByName(step))
+        tree = cut(found.unionByName(step).repartition("node"))
     path = F.concat(F.when(F.col("anc").isNull(), F.array().cast(f"array<{kind}>")).otherwise(F.array("anc")), F.reverse("seg"), F.array("node"))
     return tree.join(members, "node", "left").select(
         "node",
