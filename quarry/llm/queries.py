@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import mixing, tokens
+from quarry.functions.names import clean_name_sql
+from quarry.llm import cooccurrence, mixing, terms, tokens
 from quarry.session import load
 
 
@@ -20,5 +22,66 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walks = terms.walk_labels(load(spark, sf_dir, "pathbased_walks"))
+    return terms.term_frequencies(walks, "labels").withColumnRenamed("term", "label")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir).where("mark is not null").select("label", "mark")
+
+
+def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(spark, sf_dir).select("label", "n_occurrences", F.col("n_records").alias("n_walks"), F.coalesce("mark", F.lit("useful")).alias("mark"))
+
+
+def _together(spark: SparkSession, sf_dir: str) -> cooccurrence.Cooccurrence:
+    rows = cooccurrence.called_items(load(spark, sf_dir, "eh_context"), load(spark, sf_dir, "eh_response"))
+    return cooccurrence.Cooccurrence(rows, "handler", "item", min_count=5, min_share=0.003)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = "n_ab >= 5 and 1000 * n_ab >= 3 * n and n_ab * n >= 3 * n_a * n_b"
+    return _together(spark, sf_dir).surprise().where(case).select("item_a", "item_b")
+
+
+def p3_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _together(spark, sf_dir).discoveries().select("item_a", "item_b", "n_ab", "n_a", "n_b", "lift", "expected", "log_p", "q_value")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_terms": p1_terms,
+    "p3_found": p3_found,
+    "p3_surprise": p3_surprise,
+    "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+}
+
+_WALKS = f"""walks as (
+  select walk_id, tokens, row_number() over () as w from pathbased_walks
+  qualify row_number() over (partition by walk_id, case when walk_id is null then concat_ws('|', loaded_at::varchar, walked_at::varchar, tokens::varchar) end
+    order by loaded_at desc nulls last, walked_at desc nulls last, tokens desc nulls last) = 1),
+labels as (select w, {clean_name_sql("t")} as label from (select w, unnest(tokens) as t from walks)),
+named as (select * from labels where label is not null),
+freq as (select label, count(*)::bigint as n_occurrences, count(distinct w)::bigint as n_walks from named group by label),
+marked as (select *, case when n_occurrences < 5 then 'rare'
+  when n_walks > 0.25 * (select count(distinct w) from named) then 'common' end as mark from freq)"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"with {_WALKS} select label, mark from marked where mark is not null",
+    "p1_terms": f"with {_WALKS} select label, n_occurrences, n_walks, coalesce(mark, 'useful') as mark from marked",
+    "p3_found": f"""with held as (
+  select distinct handler, {clean_name_sql("item")} as item
+  from (select handler, item, type from eh_context union all select handler, item, type from eh_response)
+  where type = 'CALL' and handler is not null),
+named as (select * from held where item is not null),
+total as (select count(distinct handler) as n from named),
+freq as (select item, count(*) as k from named group by item),
+often as (select n.* from named n join freq f on f.item = n.item, total where f.k >= 5 and 1000 * f.k >= 3 * total.n),
+pairs as (select a.item as item_a, b.item as item_b, count(*) as n_ab
+  from often a join often b on a.handler = b.handler and a.item < b.item group by 1, 2)
+select item_a, item_b from pairs join freq fa on fa.item = item_a join freq fb on fb.item = item_b, total
+where n_ab >= 5 and 1000 * n_ab >= 3 * n and n_ab * n >= 3 * fa.k * fb.k""",
+}
