@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.names import clean_name_sql
-from quarry.llm import cooccurrence, mixing, terms, tokens
+from quarry.llm import cooccurrence, encoding, mixing, terms, tokens
 from quarry.session import load
 
 
@@ -49,6 +49,14 @@ def p3_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _together(spark, sf_dir).discoveries().select("item_a", "item_b", "n_ab", "n_a", "n_b", "lift", "expected", "log_p", "q_value")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
@@ -57,6 +65,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 _WALKS = f"""walks as (
