@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.names import clean_name_sql
-from quarry.llm import cooccurrence, encoding, mixing, terms, tokens
+from quarry.llm import cooccurrence, encoding, mixing, terms, tokens, vectors
 from quarry.session import load
 
 
@@ -35,6 +35,18 @@ def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labels(spark, sf_dir).select("label", "n_occurrences", F.col("n_records").alias("n_walks"), F.coalesce("mark", F.lit("useful")).alias("mark"))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.latest_vectors(load(spark, sf_dir, "pathbased_model"), "label", "vector", "loaded_at", 64)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.similar_pairs(vectors.most_similar(_vectors(spark, sf_dir), 5), 0.865).select("label_a", "label_b")
+
+
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.most_similar(_vectors(spark, sf_dir), 5)
+
+
 def _together(spark: SparkSession, sf_dir: str) -> cooccurrence.Cooccurrence:
     rows = cooccurrence.called_items(load(spark, sf_dir, "eh_context"), load(spark, sf_dir, "eh_response"))
     return cooccurrence.Cooccurrence(rows, "handler", "item", min_count=5, min_share=0.003)
@@ -60,6 +72,8 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
+    "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
     "p3_surprise": p3_surprise,
     "p6_ids": p6_ids,
@@ -79,7 +93,18 @@ freq as (select label, count(*)::bigint as n_occurrences, count(distinct w)::big
 marked as (select *, case when n_occurrences < 5 then 'rare'
   when n_walks > 0.25 * (select count(distinct w) from named) then 'common' end as mark from freq)"""
 
+_VECTORS = """latest as (
+  select label, vector from pathbased_model where label is not null
+  qualify row_number() over (partition by label order by loaded_at desc nulls last, vector desc nulls last) = 1),
+fit as (select label, vector::double[] as v from latest
+  where len(vector) = 64 and list_count(vector) = 64 and not isnan(list_sum(vector))
+    and not isinf(list_max(vector)) and not isinf(list_min(vector)) and (list_max(vector) <> 0 or list_min(vector) <> 0)),
+sims as (select a.label as a, b.label as b, list_cosine_similarity(a.v, b.v) as s from fit a join fit b on a.label <> b.label)"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"""with {_VECTORS},
+top as (select a, b, s from sims qualify row_number() over (partition by a order by s desc, b) <= 5)
+select distinct least(a, b) as label_a, greatest(a, b) as label_b from top where s >= 0.865""",
     "p1_found": f"with {_WALKS} select label, mark from marked where mark is not null",
     "p1_terms": f"with {_WALKS} select label, n_occurrences, n_walks, coalesce(mark, 'useful') as mark from marked",
     "p3_found": f"""with held as (
