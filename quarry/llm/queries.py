@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.names import clean_name_sql
-from quarry.llm import cooccurrence, encoding, mixing, terms, tokens, vectors
+from quarry.llm import clusters, cooccurrence, encoding, mixing, terms, tokens, vectors
 from quarry.session import load
 
 
@@ -69,6 +69,16 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = clusters.cluster(_vectors(spark, sf_dir), 0.865)
+    return clusters.groups_of(members, 3).select(F.col("cluster").alias("cluster_label"), "label")
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, groups = clusters.cluster(_vectors(spark, sf_dir), 0.865)
+    return groups.select(F.col("cluster").alias("cluster_label"), "size", F.round("mean_similarity", 4).alias("mean_similarity"), F.array_join("typical", " ").alias("typical"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_terms": p1_terms,
@@ -76,6 +86,8 @@ QUERIES = {
     "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
     "p3_surprise": p3_surprise,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
@@ -102,6 +114,10 @@ fit as (select label, vector::double[] as v from latest
 sims as (select a.label as a, b.label as b, list_cosine_similarity(a.v, b.v) as s from fit a join fit b on a.label <> b.label)"""
 
 SQL: dict[str, str] = {
+    "p5_found": f"""with {_VECTORS},
+near as (select a, b from sims where s >= 0.865 union all select label, label from fit),
+named as (select a as label, min(b) as cluster_label, count(*) as n from near group by a)
+select cluster_label, label from named where n >= 3""",
     "p2_found": f"""with {_VECTORS},
 top as (select a, b, s from sims qualify row_number() over (partition by a order by s desc, b) <= 5)
 select distinct least(a, b) as label_a, greatest(a, b) as label_b from top where s >= 0.865""",
