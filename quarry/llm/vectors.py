@@ -154,6 +154,7 @@ def most_similar(points: DataFrame, k: int = 5, beam: int = BEAM) -> DataFrame:
 
         def answer(asked: pa.Array, q: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
             ids, _ = graph.search(q.astype(np.float32), beam)
+            ids = ids[:, : k + 9]  # by float32; the exact order follows
             row, col = np.nonzero((ids >= 0) & (ids != own[:, None]))
             hit = ids[row, col]
             cosine = np.einsum("ij,ij->i", q[row], exact[hit])
