@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import special
 
@@ -105,7 +106,7 @@ def information_gain(s, b, h, n):
     return F.when(_margins(b, h, n), total).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series) -> pd.Series:
     """Upper tail of chi-square with one degree of freedom."""
     return x.map(lambda v: special.chi2_q(v, 1)).astype(float)
@@ -124,7 +125,7 @@ def info_pvalue(s, b, h, n):
 
 
 def _exact(f: Callable[[float, float, float, float], float]) -> Callable:
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def udf(s: pd.Series, b: pd.Series, h: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([f(*x) for x in zip(s, b, h, n)], dtype=float)
 

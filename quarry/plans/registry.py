@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.plans import hierarchy_queries
+from quarry.plans import hierarchy_queries, mining_queries
 
-_MODULES = [hierarchy_queries]
+_MODULES = [hierarchy_queries, mining_queries]
 
-FLAGSHIP = "p4_found"
+FLAGSHIP = "basket_pairs_flagship"
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
