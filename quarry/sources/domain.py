@@ -46,8 +46,8 @@ def walk_lines(walks: DataFrame) -> DataFrame:
 def read_walks(spark: SparkSession, path: str | DataFrame, remove: list[str] | None = None) -> DataFrame:
     """(tokens) without labels that start with one of the prefixes."""
     tokens = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
-    for p in remove or []:
-        tokens = F.filter(tokens, lambda x, p=p: ~F.startswith(x, F.lit(p)))
+    if remove:
+        tokens = F.filter(tokens, lambda x: ~F.exists(F.array(*[F.lit(p) for p in remove]), lambda p: F.startswith(x, p)))
     return lines(spark, path).select(tokens.alias("tokens"))
 
 
