@@ -15,6 +15,7 @@ from quarry.session import cut
 MOST_PIVOTS, POINTS_A_PIVOT = 4096, 16
 SHARD_POINTS = 16_384
 VISITS = 4
+TOGETHER = 0.8
 ROWS_AT_ONCE = 4096
 
 
@@ -69,34 +70,58 @@ def nearest_pivots(points: DataFrame, pivots: np.ndarray, visits: int = VISITS)
     return points.mapInArrow(run, "label string, vector array<float>, cells array<int>")
 
 
+def close_cells(pivots: np.ndarray) -> list[np.ndarray]:
+    """Cells grouped so that pivots with cosine ``TOGETHER`` or more share a group."""
+    near = pivots.astype(np.float32)
+    left, out = np.ones(len(pivots), bool), []
+    for i in range(len(pivots)):
+        if not left[i]:
+            continue
+        left[i] = False
+        group, todo = [i], [i]
+        while todo:
+            hit = np.flatnonzero(left & (near @ near[todo.pop()] >= TOGETHER))
+            left[hit] = False
+            group += hit.tolist()
+            todo += hit.tolist()
+        out.append(np.array(group))
+    return out
+
+
 def plan_shards(pivots: np.ndarray, weight: np.ndarray, most: int = SHARD_POINTS, seed: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
     """(first shard, number of shards) of each cell and the number of shards.
 
-    Cells are halved by 2-means until a group holds at most ``most`` points; a
-    single cell with more is spread over several shards by a hash of the label.
+    Groups of close cells are halved by 2-means until a part holds at most
+    ``most`` points; only a group that is larger itself is divided further, and
+    a single cell that is larger is spread over several shards by a hash of
+    the label.
     """
     first, parts, n = np.zeros(len(pivots), np.int64), np.ones(len(pivots), np.int64), 0
     rng = np.random.default_rng(seed)
-    todo = [np.arange(len(pivots))]
+    todo = [close_cells(pivots)]
     while todo:
-        group = todo.pop()
-        total = weight[group].sum()
-        if total <= most or len(group) == 1:
-            k = max(1, -(-int(total) // most))
-            first[group], parts[group], n = n, k, n + k
+        groups = todo.pop()
+        cells = np.concatenate(groups)
+        total = int(weight[cells].sum())
+        if total <= most or len(cells) == 1:
+            k = max(1, -(-total // most))
+            first[cells], parts[cells], n = n, k, n + k
             continue
-        x = pivots[group]
+        if len(groups) == 1:
+            groups = [np.array([c]) for c in cells]
+        x = np.stack([pivots[g].mean(0) for g in groups])
         centres = x[rng.choice(len(x), 2, replace=False)]
+        side = np.arange(len(x)) % 2 == 0
         for _ in range(8):
             lead = x @ centres[0] - x @ centres[1]
-            side = lead > np.median(lead) if (lead > 0).all() or not (lead > 0).any() else lead > 0
-            if side.all() or not side.any():
+            cut_at = 0.0 if (lead > 0).any() and not (lead > 0).all() else np.median(lead)
+            now = lead > cut_at
+            if now.all() or not now.any():
                 break
+            side = now
             centres = np.stack([x[side].sum(0), x[~side].sum(0)])
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-        if side.all() or not side.any():
-            side = np.arange(len(group)) % 2 == 0
-        todo += [group[side], group[~side]]
+        todo += [[g for g, s in zip(groups, side) if s], [g for g, s in zip(groups, side) if not s]]
     return first, parts, n
 
 
