@@ -210,13 +210,16 @@ def _edges(text: str) -> Iterator[tuple[str, str]]:
 @functools.cache
 def search(token: str, lang: str) -> tuple[float, str, str]:
     """(cost saved, cheapest reachable text, the steps to it) of a token; (0, token, '') if it stands as it is."""
+    if "&" in token and (u := html.unescape(token)) != token:  # markup itself is no fault: judge what it stands for
+        saved, fixed, way = search(u, lang)
+        return (saved, fixed, f"unescape {way}") if way else (0.0, token, "")
     start = token_cost(token, lang)
     best = (start, token, "")
-    if start < 0.9 and "&" not in token:
+    if start < 0.9:
         return 0.0, token, ""
     seen = {hash(token)}
     queue: list[tuple[float, int, int, str, str]] = [(start, 0, 0, token, "")]
-    n, plain = 0, start
+    n = 0
     while queue and n < MOST_STATES and best[0] >= GOOD_COST:
         at, steps, _, text, way = heapq.heappop(queue)
         if steps >= MOST_STEPS or steps and at >= start + STEP_COST and "unescape" not in way:
@@ -226,23 +229,17 @@ def search(token: str, lang: str) -> tuple[float, str, str]:
                 continue
             seen.add(h)
             n += 1
-            c = token_cost(s, lang)
-            if op == "unescape" and not way:
-                plain = c if start < 0.9 else min(plain, c)  # the markup itself is no fault
-            price = c + STEP_COST * (steps + 1) + (0.0 if "utf_8" in op or op == "unescape" else 0.2)
+            price = token_cost(s, lang) + STEP_COST * (steps + 1) + (0.0 if "utf_8" in op or op == "unescape" else 0.2)
             done = f"{way} {op}".strip()
-            if price < best[0] and done != "unescape":
+            if price < best[0]:
                 best = (price, s, done)
                 if price < GOOD_COST:
                     break
             heapq.heappush(queue, (price, steps + 1, n, s, done))
-    if best[2] == "":
-        return 0.0, token, ""
-    base = plain if best[2].startswith("unescape ") else start
     left = token_cost(best[1], lang)
-    if left > 0.4 * base:
+    if not best[2] or left > 0.4 * start:
         return 0.0, token, ""
-    return max(0.0, base - left), best[1], best[2]
+    return max(0.0, start - left), best[1], best[2]
 
 
 def guess_language(tokens: list[str]) -> str:

@@ -110,7 +110,11 @@ def union_bitmaps(index: DataFrame) -> DataFrame:
     def union(containers: pd.Series) -> bytes:
         return pack(np.unique(np.concatenate([unpack(c) for c in containers])))
 
-    return index.groupBy("term", "chunk").agg(union("bitmap").alias("bitmap"), F.sum("n_occurrences").alias("n_occurrences"))
+    @F.pandas_udf("bigint")
+    def total(n: pd.Series) -> int:
+        return n.sum()
+
+    return index.groupBy("term", "chunk").agg(union("bitmap").alias("bitmap"), total("n_occurrences").alias("n_occurrences"))
 
 
 def term_frequencies(records: DataFrame, terms: str, rare_below: int = 5, common_above: float = 0.25) -> DataFrame:

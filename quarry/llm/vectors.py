@@ -46,7 +46,7 @@ def sample_pivots(points: DataFrame) -> np.ndarray:
     n = points.count()
     wanted = max(1, min(MOST_PIVOTS, n // POINTS_A_PIVOT))
     h = F.pmod(F.xxhash64("label"), F.lit(1 << 30))
-    share = min(1.0, 1.3 * wanted / max(n, 1) + 0.001)
+    share = min(1.0, (1.3 * wanted + 64) / max(n, 1))
     rows = points.where(h < int(share * (1 << 30)) + 1).orderBy(h, "label").limit(wanted).select("vector").collect()
     return unit(np.array([r[0] for r in rows], np.float64)) if rows else np.empty((0, 1))
 
