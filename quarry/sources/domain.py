@@ -108,9 +108,11 @@ def read_relations(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     One set is paired with itself; a line of another form is an error.
     """
     text = F.regexp_replace(F.trim("value"), r"\}\s+\{", "}{")
-    rows = lines(spark, path).withColumn("prov", F.concat(F.lit("line "), F.monotonically_increasing_id())).select(text.alias("t"), "prov").where((F.col("t") != "") & ~F.startswith("t", F.lit("#")))
+    rows = lines(spark, path).withColumn("prov", F.concat(F.lit("line "), F.monotonically_increasing_id())).select(text.alias("t"), "prov")
+    skip = (F.col("t") == "") | F.startswith("t", F.lit("#"))  # tested again where the error is raised, as filters move
+    rows = rows.where(~skip)
     ok = F.col("t").rlike(r"^[TF] \{[^{}]*\}(\{[^{}]*\})?$")
-    checked = rows.select(F.when(ok, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("malformed review line: "), "t")).cast("string")).alias("t"), "prov")
+    checked = rows.select(F.when(ok, F.col("t")).when(skip, None).otherwise(F.raise_error(F.concat(F.lit("malformed review line: "), "t")).cast("string")).alias("t"), "prov")
     sets = F.transform(F.regexp_extract_all("t", F.lit(r"\{([^{}]*)\}"), 1), lambda s: F.filter(F.split(s, r"\s+"), lambda x: x != ""))
     return checked.select(F.startswith("t", F.lit("T")).alias("must"), F.get(sets, F.lit(0)).alias("a"), F.coalesce(F.get(sets, F.lit(1)), F.get(sets, F.lit(0))).alias("b"), "prov")
 
