@@ -40,6 +40,7 @@ _WORDS = {
     "pt": "o a os as de que e do da em no na dos das um uma por com não para se ao contra nos termos foi pelo",
     "ru": "в и не на что по с от к о из за суд дело против том как был для было",
 }
+LONE = frozenset("àáâéêóÀÁÂÉÊÓ")  # letters that are words
 NAMES = frozenset("áðéíóúýþæöåøÁÐÉÍÓÚÝÞÆÖÅØŒœ")  # Nordic names and the like, in any language
 FUNCTION_WORDS = defaultdict(set)
 for _k, _v in _WORDS.items():
@@ -80,6 +81,8 @@ def _char_cost(c: str, before: str, after: str, letters: frozenset, lang: str) -
                 cost += 3.0
             if lang == "ru":
                 cost += 0.5
+            if before.isdigit() or after.isdigit() or not near and after != "." and c not in LONE:
+                cost += 0.8
             return cost
         return 3.0
     if unicodedata.combining(c):
