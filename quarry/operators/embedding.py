@@ -43,14 +43,25 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, missing: Column | None
     return both.select(*pairs.columns, (F.coalesce(s, missing) if missing is not None else s).alias("similarity"))
 
 
+MOST_ASKED = 10_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` to be sent to all executors, if there are at most ``MOST_ASKED``."""
+    rows = cut(rows)
+    if rows.count() > MOST_ASKED:
+        raise ValueError(f"more than {MOST_ASKED} rows asked for at once: use an index")
+    return F.broadcast(rows)
+
+
 def most_similar(vectors: DataFrame, words: DataFrame, k: int = 10) -> DataFrame:
     """(word, other, similarity, rank): for the given words their ``k`` most similar ones.
 
-    The words asked for are assumed few beside the vocabulary: they are sent
-    to it, so the vocabulary is read once and never shuffled whole.
+    The words asked for, ``MOST_ASKED`` at most, are sent to the vocabulary,
+    which is read once and never shuffled whole.
     """
     asked = vectors.join(words.select("word").distinct(), "word", "left_semi").select("word", F.col("vector").alias("q"))
-    s = vectors.select(F.col("word").alias("other"), "vector").join(F.broadcast(asked), F.col("word") != F.col("other"))
+    s = vectors.select(F.col("word").alias("other"), "vector").join(few(asked), F.col("word") != F.col("other"))
     order = Window.partitionBy("word").orderBy(F.desc("similarity"), "other")
     return s.select("word", "other", cosine(F.col("q"), F.col("vector")).alias("similarity")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -63,7 +74,7 @@ def analogies(vectors: DataFrame, questions: DataFrame, clusters: DataFrame | No
     v = lambda s: vectors.select(F.col("word").alias(s), F.transform("vector", lambda x: x / F.sqrt(dot(F.col("vector"), F.col("vector")))).alias(f"v{s}"))
     q = questions.join(v("a"), "a").join(v("b"), "b").join(v("c"), "c")
     q = q.withColumn("goal", F.zip_with(F.zip_with("vb", "va", lambda x, y: x - y), "vc", lambda x, y: x + y)).select("a", "b", "c", "d", "goal")
-    s = vectors.select("word", "vector").join(F.broadcast(q), (F.col("word") != F.col("a")) & (F.col("word") != F.col("b")) & (F.col("word") != F.col("c")))
+    s = vectors.select("word", "vector").join(few(q), (F.col("word") != F.col("a")) & (F.col("word") != F.col("b")) & (F.col("word") != F.col("c")))
     best = s.select("a", "b", "c", "d", "word", cosine(F.col("goal"), F.col("vector")).alias("s")).groupBy("a", "b", "c", "d").agg(F.max_by("word", F.struct("s", "word")).alias("predicted"))
     same = F.col("predicted") == F.col("d")
     if clusters is not None:
@@ -185,7 +196,7 @@ def project(vectors: DataFrame) -> DataFrame:
 def similarity_histogram(vectors: DataFrame, words: DataFrame, width: float = 0.05) -> DataFrame:
     """(bin, n): similarities of the given words to all others; bin is the lower bound."""
     asked = vectors.join(words.select("word").distinct(), "word", "left_semi").select("word", F.col("vector").alias("q"))
-    s = vectors.select(F.col("word").alias("other"), "vector").join(F.broadcast(asked), F.col("word") != F.col("other")).select(cosine(F.col("q"), F.col("vector")).alias("s"))
+    s = vectors.select(F.col("word").alias("other"), "vector").join(few(asked), F.col("word") != F.col("other")).select(cosine(F.col("q"), F.col("vector")).alias("s"))
     return s.where("s is not null").groupBy((F.floor(F.round("s", 9) / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -84,8 +84,10 @@ def pushdown(edges: DataFrame, labels: DataFrame, remove: list[str] | None = Non
     """
     edges = drop_source_node(edges)
     labels = keep_labels(labels, remove or [])
-    live = labels.agg(F.coalesce(F.collect_list("id"), F.array().cast(EMPTY_IDS)).alias("live"))
-    internal = edges.where(kind("label") == "internal").join(F.broadcast(live)).select("source", "target", F.array_intersect(F.coalesce("label_id", F.array().cast(EMPTY_IDS)), "live").alias("label_id"), F.lit(None).cast("string").alias("push"))
+    inner = edges.where(kind("label") == "internal").select("source", "target", F.coalesce("label_id", F.array().cast(EMPTY_IDS)).alias("ids")).distinct()
+    each = inner.select("source", "target", "ids", F.posexplode_outer("ids").alias("pos", "id")).join(labels.select("id", F.lit(True).alias("live")), "id", "left")
+    kept = F.array_sort(F.collect_list(F.when(F.col("live"), F.struct("pos", "id"))))
+    internal = each.groupBy("source", "target", "ids").agg(F.transform(kept, lambda s: s["id"]).alias("label_id")).select("source", "target", "label_id", F.lit(None).cast("string").alias("push"))
     around, new = bypass_edges(edges, labels)
     calls = edges.where(kind("label") == "call").join(return_nodes(edges), F.col("source") == F.col("node"), "left")
     calls = calls.select("source", "target", F.array().cast(EMPTY_IDS).alias("label_id"), F.col("return_node").alias("push"))
