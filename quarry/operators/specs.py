@@ -251,7 +251,7 @@ def drop_subsumed(rules: DataFrame) -> DataFrame:
     return rules.join(bad.distinct(), "rule_id", "left_anti")
 
 
-def replace_names(handlers: DataFrame, classes: DataFrame, prefix: str = "FUNC2VEC_") -> DataFrame:
+def replace_names(handlers: DataFrame, classes: DataFrame, prefix: str = "CLASS_") -> DataFrame:
     """Handlers with names replaced by ``prefix`` and the rank of their class; others stay.
 
     ``classes``: name, class_id.  The ranks follow the class ids.
@@ -267,7 +267,7 @@ def replace_names(handlers: DataFrame, classes: DataFrame, prefix: str = "FUNC2V
     return out.select(*handlers.columns)
 
 
-def merged_items(classes: DataFrame, prefix: str = "FUNC2VEC_") -> DataFrame:
+def merged_items(classes: DataFrame, prefix: str = "CLASS_") -> DataFrame:
     """(merged, unmerged): the dictionary of ``replace_names``."""
     rank = classes.select("class_id").distinct().withColumn("no", F.row_number().over(Window.orderBy("class_id")) - 1)
     return classes.join(rank, "class_id").select(F.concat(F.lit(prefix), "no").alias("merged"), F.col("name").alias("unmerged"))

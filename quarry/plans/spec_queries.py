@@ -158,7 +158,7 @@ SQL = {
     "spec_best_per_response": f"with {_H}, b as (select rule_id, support as merged_support, l, row_number() over (partition by p order by l desc, support desc, rule_id) as i from conf join rules using (rule_id)) select rule_id, merged_support, round(l, 8) as local_confidence from b where i = 1 and l > 0.3",
     "specs_without_listed": f"with {_H}, often as (select name from cc group by 1 order by count(*) desc, name limit 5) select rule_id from rules where c not in (select name from often) and p not in (select name from often)",
     "specs_not_subsumed": f"with {_H} select rule_id from rules a where not exists (select 1 from rules b where b.rule_id < a.rule_id and (b.c = a.c or b.p = a.p))",
-    "handlers_with_classes": f"with {_H}, m as (select distinct label as name, split_part(label, '_', -1) as k from pathbased_model where label is not null), k as (select k, 'FUNC2VEC_' || (row_number() over (order by k) - 1)::varchar as code from (select distinct k from m)), d as (select name, code from m join k using (k)), x as (select distinct loc, coalesce(code, cc.name) as n from cc left join d on d.name = cc.name), y as (select distinct loc, coalesce(code, rr.name) as n from rr left join d on d.name = rr.name) select h.loc, coalesce((select string_agg(n, ' ' order by n) from x where x.loc = h.loc), '') as context, coalesce((select string_agg(n, ' ' order by n) from y where y.loc = h.loc), '') as response from han h",
+    "handlers_with_classes": f"with {_H}, m as (select distinct label as name, split_part(label, '_', -1) as k from pathbased_model where label is not null), k as (select k, 'CLASS_' || (row_number() over (order by k) - 1)::varchar as code from (select distinct k from m)), d as (select name, code from m join k using (k)), x as (select distinct loc, coalesce(code, cc.name) as n from cc left join d on d.name = cc.name), y as (select distinct loc, coalesce(code, rr.name) as n from rr left join d on d.name = rr.name) select h.loc, coalesce((select string_agg(n, ' ' order by n) from x where x.loc = h.loc), '') as context, coalesce((select string_agg(n, ' ' order by n) from y where y.loc = h.loc), '') as response from han h",
     "handler_transactions": f"with {_H}, u as (select id, name from cc union select id, name from rr) select h.id as tid, coalesce((select string_agg(name, ' ' order by name) from u where u.id = h.id), '') as items from han h",
     "handlers_holding": f"with {_H}, top as (select name from cc group by 1 order by count(*) desc, name limit 1), u as (select loc from cc where name in (select name from top) union select loc from rr where name in (select name from top)) select id, loc from han where loc in (select loc from u)",
 }

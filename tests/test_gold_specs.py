@@ -76,7 +76,7 @@ def test_specs(spark):
     assert {tuple(r["missing"]) for r in S.missing_items(rules, h).collect()} == {("r",)}
     assert S.drop_listed(rules, ["p"]).count() == 0 and S.drop_listed(rules, ["q"]).count() == 1
     k = spark.createDataFrame([("p", "k1"), ("q", "k1")], "name string, class_id string")
-    assert {tuple(r["context"]) for r in S.replace_names(h, k).collect()} == {("FUNC2VEC_0",)}
+    assert {tuple(r["context"]) for r in S.replace_names(h, k).collect()} == {("CLASS_0",)}
     back = D.read_specs(D.spec_tables(rules.withColumn("support", F.lit(2)).withColumn("confidence", F.lit(0.5)))).first()
     assert (back["context"], back["response"], back["support"]) == (["p"], ["r"], 2)
 
