@@ -5,8 +5,11 @@ bytes; edges encode a string in a character set, decode bytes in one, or
 unescape markup.  Visited states are hashed, and a character-plausibility cost
 (does each character belong to the language, to its neighbours, to its place in
 the word) orders the queue and picks the cheapest reachable text.  A token is
-garbled if that text is clearly cheaper than the token itself.  The tokens of a
-document share their language, guessed from its function words.
+garbled if that text is clearly cheaper than the token itself.  Whatever its own
+cost, a token is garbled too if all of it is strict UTF-8 of a plausible, shorter
+text, or if it is Cyrillic of one case whose letters are far likelier in the other
+case of another Cyrillic set.  The tokens of a document share their language,
+guessed from its function words.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import functools
 import heapq
 import html
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -57,6 +61,10 @@ TOKEN_COST, UTF8_COST, WEAK_COST, WEAK_TOKENS = 1.5, 0.9, 0.5, 3
 STEP_COST, GOOD_COST = 0.1, 0.45
 MOST_STEPS, MOST_STATES = 3, 600
 CACHE_TOKENS = 200_000
+#: Letters of Russian text in 100,000, and the log odds from which a token of capitals, or of small letters, is another set's.
+RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10970, 8450, 8010, 7350, 6700, 6260, 5470, 4730, 4540, 4400, 3490, 3210, 2980, 2810, 2620, 2010, 1900, 1740, 1700, 1650, 1590, 1440, 1210, 970, 940, 730, 640, 480, 360, 320, 260, 40, 40), strict=True))
+CAPITALS_ODDS, SMALL_ODDS, NO_START_COST = 4.0, 7.0, 3.0
+SWAPPED = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"))
 
 
 def _char_cost(c: str, before: str, after: str, letters: frozenset, lang: str) -> float:
@@ -245,6 +253,55 @@ def search(token: str, lang: str) -> tuple[float, str, str]:
     return max(0.0, start - left), best[1], best[2]
 
 
+def _shorter_utf8(token: str, lang: str) -> tuple[str, str]:
+    """(text, step) of the cheapest strict UTF-8 reading that is no less plausible than the token; ('', '') if there is none."""
+    own, best = token_cost(token, lang), (math.inf, "", "")
+    for r in READ_AS:
+        if (raw := _encode(token, r)) is None:
+            continue
+        try:
+            s = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if len(s) < len(token):
+            price = token_cost(s, lang)
+            if (price <= own or min(cost(s, k) for k in (*LETTERS, "names")) < own) and price < best[0]:
+                best = (price, s, f"{r}>utf_8")
+    return best[1:]
+
+
+def _log_likelihood(word: str) -> float:
+    return sum(math.log(RUSSIAN[c] / 1e5) for c in word) - NO_START_COST * (word[0] in "ъьы")
+
+
+def _swapped_case(token: str, lang: str) -> tuple[str, str]:
+    """(text, step) of a Russian token of one case whose letters tell another Cyrillic set; ('', '') if there is none."""
+    word = "".join(c for c in token if c.lower() in RUSSIAN)
+    if lang != "ru" or not word or not (word.isupper() or word.islower()):
+        return "", ""
+    own, best = _log_likelihood(word.lower()), (CAPITALS_ODDS if word.isupper() else SMALL_ODDS, "", "")
+    for r, w in SWAPPED:
+        if (raw := _encode(token, r)) is None:
+            continue
+        s = _decode(raw, w)
+        other = "".join(c for c in s.lower() if c in RUSSIAN)
+        if len(other) == len(word) and cost(s, lang) <= cost(token, lang) and (odds := _log_likelihood(other) - own) >= best[0]:
+            best = (odds, s, f"{r}>{w}")
+    return best[1:]
+
+
+@functools.cache
+def certain(token: str, lang: str) -> tuple[str, str]:
+    """(text, steps) of a token that is garbled whatever its cost; ('', '') otherwise."""
+    u = html.unescape(token) if "&" in token else token
+    if u.isascii():
+        return "", ""
+    fixed, way = _shorter_utf8(u, lang)
+    if not way:
+        fixed, way = _swapped_case(u, lang)
+    return fixed, f"unescape {way}" if way and u != token else way
+
+
 def guess_language(tokens: list[str]) -> str:
     """The language whose function words the tokens hold most; if they hold none, Russian where most are not ASCII, else ''."""
     votes: dict[str, int] = defaultdict(int)
@@ -273,12 +330,13 @@ def inspect(text: str | None) -> tuple[bool, str | None, int]:
     weak: dict[str, set] = defaultdict(set)
     for t in odd:
         saved, fixed, way = search(t, lang)
-        if not way:
-            continue
-        if saved >= (UTF8_COST if way.endswith(">utf_8") and fixed and len(fixed) < len(t) else TOKEN_COST):
+        if way and saved >= (UTF8_COST if way.endswith(">utf_8") and fixed and len(fixed) < len(t) else TOKEN_COST):
             garbled = True
             fixes[t] = fixed
-        elif saved >= WEAK_COST:
+        elif (sure := certain(t, lang))[1]:
+            garbled = True
+            fixes[t] = sure[0]
+        elif way and saved >= WEAK_COST:
             weak[way].add((t, fixed))
     for way, some in weak.items():
         if garbled or len(some) >= WEAK_TOKENS:
@@ -286,6 +344,7 @@ def inspect(text: str | None) -> tuple[bool, str | None, int]:
             fixes |= dict(some)
     if search.cache_info().currsize > CACHE_TOKENS:
         search.cache_clear()
+        certain.cache_clear()
     if not fixes:
         return garbled, text, 0
     parts = re.split(r"([ \t\r\n]+)", text)

@@ -293,6 +293,17 @@ def test_garbled_text_is_found_and_restored():
     assert encoding.inspect("die M&Atilde;&frac14;hle und der")[1] == "die Mühle und der"
 
 
+def test_short_or_cheap_garbled_tokens_are_found():
+    for text, fixed in [("the sum of 12 ¬£ is", "the sum of 12 £ is"), ("le droit √† dans", "le droit à dans"), ("according to √† the", "according to à the"), ("el caso según los ¬ª del", "el caso según los » del"), ("le cas Â» dans les", "le cas » dans les")]:
+        assert encoding.inspect(text) == (True, fixed, 1), text
+    passage = "задолженность по договору"
+    for written, read in [("koi8-r", "cp1251"), ("cp1251", "koi8-r")]:
+        hit, fixed, n = encoding.inspect("в суд не " + passage.encode(written).decode(read))
+        assert hit and n and "задолженность" in fixed, (written, read)
+    for text in ["РЕШЕНИЕ ООО и АО на", "тем, чем мнению в", "l’état n’était pas dans", "in the 105.263 £ of", "the « É » is", "CAFÉ» dans les"]:
+        assert encoding.inspect(text) == (False, text, 0), text
+
+
 def test_find_garbled(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "fÃ¼r die", "x"), (4, "lost � here", "x"), (5, "ok " * 50_000 + "Ã¼ber", "x"), (3, "fÃ¼r die", "x")]
     got = encoding.find_garbled(spark.createDataFrame(rows, "doc_id long, text string, restored string"), "doc_id", "text").collect()
