@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,40 +132,40 @@ def expected_spectrum(spark, sf_dir):
     return I.expected_spectrum(baskets(spark, sf_dir), [2, 3], [0, 10, 20, 300])
 
 
-def _rules(spark, sf_dir, **options):
-    return R.mine_rules(baskets(spark, sf_dir), LEAST, 12.0, 2, **options)
+def _rules(spark, sf_dir, largest=0, **options):
+    return R.mine_rules(baskets(spark, sf_dir), LEAST, 12.0, largest, **options)
 
 
 def _rule_text(rules, *more):
     return rules.select(F.array_join("body", " ").alias("body"), "head", F.col("supp").cast("bigint").alias("supp"), *more)
 
 
-def rules_confidence_lift(spark, sf_dir):
-    return _rule_text(_rules(spark, sf_dir), F.round("confidence", 8).alias("confidence"), F.round("lift", 8).alias("lift"))
+def rules_confidence_lift(spark, sf_dir, largest=2):
+    return _rule_text(_rules(spark, sf_dir, largest), F.round("confidence", 8).alias("confidence"), F.round("lift", 8).alias("lift"))
 
 
-def rules_empty_body(spark, sf_dir):
-    return _rule_text(R.mine_rules(baskets(spark, sf_dir), LEAST, 15.0, 2, empty_body=True), F.round("confidence", 8).alias("confidence"))
+def rules_empty_body(spark, sf_dir, largest=2):
+    return _rule_text(R.mine_rules(baskets(spark, sf_dir), LEAST, 15.0, largest, empty_body=True), F.round("confidence", 8).alias("confidence"))
 
 
-def rules_appearance(spark, sf_dir):
+def rules_appearance(spark, sf_dir, largest=2):
     where = {"": "both", "Brand#1": "body", "Brand#2": "head", "Brand#3": "none"}
-    return _rule_text(_rules(spark, sf_dir, appear=where))
+    return _rule_text(_rules(spark, sf_dir, largest, appear=where))
 
 
 _ARITHMETIC = "ocdlaqverkjznyi"
 
 
-def rule_measures(spark, sf_dir):
-    return _rule_text(R.evaluate(_rules(spark, sf_dir), _ARITHMETIC), *[F.round(f"m_{c}", 8).alias(f"m_{c}") for c in _ARITHMETIC if c != "o"])
+def rule_measures(spark, sf_dir, largest=2):
+    return _rule_text(R.evaluate(_rules(spark, sf_dir, largest), _ARITHMETIC), *[F.round(f"m_{c}", 8).alias(f"m_{c}") for c in _ARITHMETIC if c != "o"])
 
 
 def rule_pvalues(spark, sf_dir):
     return _rule_text(R.evaluate(_rules(spark, sf_dir), "ptgfhms"), *[f"m_{c}" for c in "ptgfhms"])
 
 
-def rule_filter(spark, sf_dir):
-    return _rule_text(R.select_rules(_rules(spark, sf_dir), "l", 1.02))
+def rule_filter(spark, sf_dir, largest=2):
+    return _rule_text(R.select_rules(_rules(spark, sf_dir, largest), "l", 1.02))
 
 
 def set_log_quotient(spark, sf_dir):
@@ -203,6 +205,8 @@ def basket_pairs_flagship(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (basket_pairs_flagship, item_support, basket_dedup_weighted, item_recode, baskets_from_columns, baskets_from_flags, basket_selection, table_derived_check, exact_basket_count, idempotent_weights, subsequence_match, frequent_sets, closed_sets, maximal_sets, generator_sets, weighted_sets, border_sets, bounded_sets, pattern_spectrum, set_size_stats, set_tids, expected_spectrum, rules_confidence_lift, rules_empty_body, rules_appearance, rule_measures, rule_pvalues, rule_filter, set_log_quotient, set_rule_measure, set_evaluation_pruning, surrogate_shuffle, surrogate_swap, surrogate_frequencies)}
+#: The whole job of queries whose SQL bounds the body to one item: bodies of any size.
+QUERIES |= {f"{f.__name__}_whole": partial(f, largest=0) for f in (rules_confidence_lift, rules_empty_body, rules_appearance, rule_measures, rule_filter)}
 
 _TX = """tx as (select distinct l_orderkey as tid, p_brand as item from lineitem join part on l_partkey = p_partkey),
 total as (select count(distinct tid)::double as n from tx),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from quarry.functions.names import clean_name, clean_name_sql, trim_blanks
@@ -55,8 +57,8 @@ def set_lines(spark, sf_dir):
     return R.write_sets(I.mine(baskets(spark, sf_dir), support=DEEP, largest_size=2), " (%a)")
 
 
-def rule_lines(spark, sf_dir):
-    return R.write_rules(_rules(spark, sf_dir), " (%a, %b)")
+def rule_lines(spark, sf_dir, largest=2):
+    return R.write_rules(_rules(spark, sf_dir, largest), " (%a, %b)")
 
 
 def spectrum_lines(spark, sf_dir):
@@ -110,6 +112,8 @@ def context_paths(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (edge_lines, walk_round_trip, vector_round_trip, cluster_round_trip, relation_round_trip, transaction_round_trip, set_lines, rule_lines, spectrum_lines, spec_table_round_trip, item_of_instruction, branch_safety, caller_pairs, context_paths)}
+#: The whole job of queries whose SQL bounds the size of sets.
+QUERIES |= {f"{f.__name__}_whole": partial(f, largest=0) for f in (rule_lines,)}
 
 from quarry.plans.gold_queries import _CLS, _REL  # noqa: E402
 from quarry.plans.graph_queries import _E  # noqa: E402

@@ -1,15 +1,20 @@
 import math
+from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from quarry.functions import special
 from quarry.functions.measures import MEASURES, measure
 from quarry.operators import itemsets as I
 from quarry.operators import rules as R
 from quarry.operators import transactions as T
+from quarry.plans import mining_queries as Q
 from quarry.sources import records as S
 
+SMOKE = "/root/testdata/sf0.001"
 ROWS = "abc ade bcd abcd bc abd de abcd cde abc".split()
 FREQUENT = dict(x.split(":") for x in "a:6 b:7 c:7 d:7 e:3 ab:5 ac:4 ad:4 bc:6 bd:4 cd:4 de:3 abc:4 abd:3 bcd:3".split())
 
@@ -132,3 +137,21 @@ def test_surrogates_keep_margins(tx):
     assert f(swapped) == f(tx)
     assert {r["tid"]: len(r["items"]) for r in swapped.collect()} == {i: len(r) for i, r in enumerate(ROWS)}
     assert f(T.surrogate_frequencies(tx, 1)) == f(tx)
+
+
+def test_whole_rule_queries_have_bodies_of_any_size(spark):
+    held = {}
+    for r in Q.baskets(spark, SMOKE).collect():
+        held[r["tid"]] = sorted(r["items"])
+    n, supp = len(held), Counter(c for items in held.values() for k in range(1, len(items) + 1) for c in combinations(items, k))
+    body_least = math.ceil(0.01 * Q.LEAST * n - 1e-9)
+    want = {}
+    for c, s in supp.items():
+        for head in c if len(c) > 1 else ():
+            body = tuple(i for i in c if i != head)
+            if supp[body] >= body_least and s >= max(1, math.ceil(body_least * 0.12 - 1e-9)) and s >= supp[body] * 0.12 * (1 - 1e-12):
+                want[" ".join(body), head] = s
+    got = {(r["body"], r["head"]): r["supp"] for r in Q.QUERIES["rules_confidence_lift_whole"](spark, SMOKE).collect()}
+    assert got == want and any(" " in b for b, _ in got)
+    assert {(r["body"], r["head"]) for r in Q.rule_pvalues(spark, SMOKE).collect()} == set(want)
+    assert all(f"{k}_whole" in entry.queries() for k in ("rules_empty_body", "rules_appearance", "rule_measures", "rule_filter", "rule_lines"))
