@@ -65,9 +65,9 @@ def spectrum_lines(spark, sf_dir):
     return R.write_spectrum(I.spectrum(I.mine(baskets(spark, sf_dir), support=DEEP, largest_size=3)))
 
 
-def spec_table_round_trip(spark, sf_dir):
+def spec_table_round_trip(spark, sf_dir, largest=2):
     h = handlers(spark, sf_dir)
-    r = rules(spark, sf_dir, h)
+    r = rules(spark, sf_dir, h, largest)
     c = S.confidences(r.withColumn("group_id", F.col("rule_id")), h).select(F.col("group_id").alias("rule_id"), "support", F.col("global_confidence").alias("confidence"))
     back = D.read_specs({k: cut(v) for k, v in D.spec_tables(cut(r.join(c, "rule_id"))).items()})
     return back.select("id", "support", F.round("confidence", 8).alias("confidence"), F.array_join("context", " ").alias("context"), F.array_join("response", " ").alias("response"))
@@ -113,7 +113,7 @@ def context_paths(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (edge_lines, walk_round_trip, vector_round_trip, cluster_round_trip, relation_round_trip, transaction_round_trip, set_lines, rule_lines, spectrum_lines, spec_table_round_trip, item_of_instruction, branch_safety, caller_pairs, context_paths)}
 #: The whole job of queries whose SQL bounds the size of sets.
-QUERIES |= {f"{f.__name__}_whole": partial(f, largest=0) for f in (rule_lines,)}
+QUERIES |= {f"{f.__name__}_whole": partial(f, largest=0) for f in (rule_lines, spec_table_round_trip)}
 
 from quarry.plans.gold_queries import _CLS, _REL  # noqa: E402
 from quarry.plans.graph_queries import _E  # noqa: E402

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from quarry.operators import specs as S
@@ -14,8 +16,8 @@ def handlers(spark, sf_dir):
     return cut(S.load_handlers(*[load(spark, sf_dir, t) for t in ("eh_handler", "eh_context", "eh_response")]))
 
 
-def rules(spark, sf_dir, h=None):
-    return cut(S.mine_rules(h if h is not None else handlers(spark, sf_dir), _least(spark, sf_dir), 2))
+def rules(spark, sf_dir, h=None, largest=0):
+    return cut(S.mine_rules(h if h is not None else handlers(spark, sf_dir), _least(spark, sf_dir), largest))
 
 
 def _least(spark, sf_dir):
@@ -37,34 +39,34 @@ def handler_sentences(spark, sf_dir):
     return S.sentences(handlers(spark, sf_dir)).select("tid", F.array_join("items", " ").alias("items"))
 
 
-def mined_rules(spark, sf_dir):
-    return rules(spark, sf_dir).select("rule_id", "mined")
+def mined_rules(spark, sf_dir, largest=2):
+    return rules(spark, sf_dir, largest=largest).select("rule_id", "mined")
 
 
-def rule_supporting_handlers(spark, sf_dir):
+def rule_supporting_handlers(spark, sf_dir, largest=2):
     h = handlers(spark, sf_dir)
-    return S.supporting(rules(spark, sf_dir, h), h)
+    return S.supporting(rules(spark, sf_dir, h, largest), h)
 
 
-def rule_results(spark, sf_dir):
+def rule_results(spark, sf_dir, largest=2):
     h = handlers(spark, sf_dir)
-    return S.results(rules(spark, sf_dir, h), h)
+    return S.results(rules(spark, sf_dir, h, largest), h)
 
 
-def rule_missing_items(spark, sf_dir):
+def rule_missing_items(spark, sf_dir, largest=2):
     h = handlers(spark, sf_dir)
-    return S.missing_items(rules(spark, sf_dir, h), h).select("rule_id", "loc", F.array_join("missing", " ").alias("missing"))
+    return S.missing_items(rules(spark, sf_dir, h, largest), h).select("rule_id", "loc", F.array_join("missing", " ").alias("missing"))
 
 
-def rule_confidences(spark, sf_dir):
+def rule_confidences(spark, sf_dir, largest=2):
     h = handlers(spark, sf_dir)
-    c = S.confidences(rules(spark, sf_dir, h).withColumn("group_id", F.col("rule_id")), h)
+    c = S.confidences(rules(spark, sf_dir, h, largest).withColumn("group_id", F.col("rule_id")), h)
     return c.select(F.col("group_id").alias("rule_id"), "support", "applicable", F.round("global_confidence", 8).alias("global_confidence"), F.round("local_confidence", 8).alias("local_confidence"))
 
 
-def rule_implementations(spark, sf_dir):
+def rule_implementations(spark, sf_dir, largest=2):
     h = handlers(spark, sf_dir)
-    return S.cross_implementation(rules(spark, sf_dir, h).withColumn("group_id", F.col("rule_id")), h).withColumnRenamed("group_id", "rule_id")
+    return S.cross_implementation(rules(spark, sf_dir, h, largest).withColumn("group_id", F.col("rule_id")), h).withColumnRenamed("group_id", "rule_id")
 
 
 def merge_rule_classes(spark, sf_dir):
@@ -77,21 +79,21 @@ def ranked_specs(spark, sf_dir):
     return S.ranked_specs(r, h, S.merge_rules(r, similar(spark, sf_dir), 0.6))
 
 
-def spec_best_per_response(spark, sf_dir):
+def spec_best_per_response(spark, sf_dir, largest=2):
     h = handlers(spark, sf_dir)
-    r = rules(spark, sf_dir, h)
+    r = rules(spark, sf_dir, h, largest)
     c = S.confidences(r.withColumn("group_id", F.col("rule_id")), h).select(F.col("group_id").alias("rule_id"), F.col("support").alias("merged_support"), "local_confidence")
     return S.best_per_response(r.join(c, "rule_id"), 0.3).select("rule_id", "merged_support", F.round("local_confidence", 8).alias("local_confidence"))
 
 
-def specs_without_listed(spark, sf_dir):
+def specs_without_listed(spark, sf_dir, largest=2):
     h = handlers(spark, sf_dir)
     often = h.select(F.explode("context").alias("name")).groupBy("name").count().orderBy(F.desc("count"), "name").limit(5)
-    return S.drop_listed(rules(spark, sf_dir, h), [r["name"] for r in often.collect()]).select("rule_id")
+    return S.drop_listed(rules(spark, sf_dir, h, largest), [r["name"] for r in often.collect()]).select("rule_id")
 
 
-def specs_not_subsumed(spark, sf_dir):
-    return S.drop_subsumed(rules(spark, sf_dir)).select("rule_id")
+def specs_not_subsumed(spark, sf_dir, largest=2):
+    return S.drop_subsumed(rules(spark, sf_dir, largest=largest)).select("rule_id")
 
 
 def handlers_with_classes(spark, sf_dir):
@@ -122,6 +124,8 @@ def compare_thresholds(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (handler_sides, handler_sentences, mined_rules, rule_supporting_handlers, rule_results, rule_missing_items, rule_confidences, rule_implementations, merge_rule_classes, ranked_specs, spec_best_per_response, specs_without_listed, specs_not_subsumed, handlers_with_classes, handler_transactions, handlers_holding, spec_similarity, compare_thresholds)}
+#: The whole job of queries whose SQL bounds a rule to one name on each side.
+QUERIES |= {f"{f.__name__}_whole": partial(f, largest=0) for f in (mined_rules, rule_supporting_handlers, rule_results, rule_missing_items, rule_confidences, rule_implementations, spec_best_per_response, specs_without_listed, specs_not_subsumed)}
 
 _N = "nullif(trim(split_part(trim({}, ' \t'), '.', 1), ' \t'), '')"
 _H = f"""last as (select id, loaded_at, predicate_loc as loc, parent_function as f from eh_handler where id is not null

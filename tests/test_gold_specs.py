@@ -5,8 +5,11 @@ from quarry.operators import embedding as E
 from quarry.operators import evaluate as V
 from quarry.operators import gold as G
 from quarry.operators import specs as S
+from quarry.plans import spec_queries as Q
 from quarry.sources import domain as D
 
+SMALL = "/root/testdata/sf0.01"
+
 
 def test_names_and_groups(spark):
     f = spark.createDataFrame([("ext4_free_block", "fs/a.c"), ("xfs_free_block", "fs/b.c"), ("__foo", "x/a.c"), ("foo", "x/a.c"), ("_bar", "y"), ("bar", "y"), ("a_b", "z")], "name string, path string")
@@ -81,6 +84,25 @@ def test_specs(spark):
     assert (back["context"], back["response"], back["support"]) == (["p"], ["r"], 2)
 
 
+def test_whole_spec_queries_keep_rules_of_any_size(spark):
+    least, held = Q._least(spark, SMALL), [frozenset(r["items"]) for r in S.sentences(Q.handlers(spark, SMALL)).collect()]
+    where = {}
+    for i, t in enumerate(held):
+        for x in t:
+            where.setdefault(x, set()).add(i)
+    closed, todo = {}, [((), set(range(len(held))), sorted(x for x in where if len(where[x]) >= least))]
+    while todo:
+        _, ids, rest = todo.pop()
+        for k, x in enumerate(rest):
+            both = ids & where[x]
+            if len(both) >= least:
+                closed[frozenset.intersection(*[held[i] for i in both])] = len(both)
+                todo.append(((), both, rest[k + 1 :]))
+    want = sorted(n for c, n in closed.items() if len({x.split("|")[0] for x in c}) == 2)
+    got = Q.QUERIES["mined_rules_whole"](spark, SMALL).collect()
+    assert sorted(r["mined"] for r in got) == want and len(got) > Q.mined_rules(spark, SMALL).count()
+
+
 def test_readers(spark):
     text = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
     assert [r["tokens"] for r in D.read_walks(spark, text("a F2V_x b"), ["F2V_"]).collect()] == [["a", "b"]]
