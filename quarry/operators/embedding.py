@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
@@ -200,6 +202,35 @@ def similarity_histogram(vectors: DataFrame, words: DataFrame, width: float = 0.
     return s.where("s is not null").groupBy((F.floor(F.round("s", 9) / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+BLOCK_ROWS = 1_000
+
+
+def similarity_histogram_all(vectors: DataFrame, width: float = 0.05) -> DataFrame:
+    """(bin, n): similarities of all ordered pairs of different words, by products of blocks of ``BLOCK_ROWS`` vectors.
+
+    All-zero vectors have no similarity.  Words are distinct; each pair of blocks is one row of a task.
+    """
+    rows = vectors.select("word", F.transform("vector", lambda x: x.cast("double")).alias("v")).where(F.exists("v", lambda x: x != 0))
+    n = max(1, -(-rows.count() // BLOCK_ROWS))
+    packs = cut(rows.groupBy(F.pmod(F.xxhash64("word"), F.lit(n)).alias("block")).agg(F.collect_list("v").alias("m")))
+    side = lambda s: packs.select(F.col("block").alias(f"b{s}"), F.col("m").alias(f"m{s}"))
+
+    def run(batches):
+        for batch in batches:
+            bins = {}
+            for i, j, a, b in zip(batch["bx"], batch["by"], batch["mx"], batch["my"]):
+                x, y = (np.stack(list(m)) for m in (a, b))
+                x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+                s = (x @ y.T)[np.triu_indices(len(x), 1)] if i == j else (x @ y.T).ravel()
+                k, c = np.unique(np.floor(np.round(s, 9) / width).astype(np.int64), return_counts=True)
+                for at, count in zip(k.tolist(), c.tolist()):
+                    bins[at] = bins.get(at, 0) + 2 * count
+            yield pd.DataFrame({"k": list(bins), "n": list(bins.values())}).astype("int64")
+
+    pairs = side("x").join(side("y"), F.col("bx") <= F.col("by")).repartition("bx", "by")
+    return pairs.mapInPandas(run, "k bigint, n bigint").groupBy((F.col("k") * F.lit(width)).alias("bin")).agg(F.sum("n").alias("n"))
+
+
 def pair_score(a: Column, b: Column) -> Column:
     """Sigmoid of the dot product of two vectors."""
     return 1 / (1 + F.exp(-dot(a, b)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import embedding as E
@@ -33,6 +36,19 @@ def similarity_histogram(spark, sf_dir):
     return E.similarity_histogram(v, _asked(v), 0.05).select(F.round("bin", 2).alias("bin"), "n")
 
 
+def similarity_histogram_whole(spark, sf_dir):
+    return E.similarity_histogram_all(vectors(spark, sf_dir), 0.05).select(F.round("bin", 2).alias("bin"), "n")
+
+
+def most_similar_words_whole(spark, sf_dir):
+    """The words of every vec_id divisible by 50, asked in blocks of ``MOST_ASKED``."""
+    v = vectors(spark, sf_dir)
+    asked = v.select("word").where(F.substr("word", F.lit(2)).cast("bigint") % 50 == 0)
+    n = max(1, -(-asked.count() * 2 // E.MOST_ASKED))  # blocks are half full on average
+    some = [E.most_similar(v, asked.where(F.pmod(F.xxhash64("word"), F.lit(n)) == i), 10) for i in range(n)]
+    return reduce(DataFrame.unionByName, some).select("word", "other", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def analogies(spark, sf_dir):
     v = vectors(spark, sf_dir)
     w = lambda i: F.format_string("v%07d", F.col("id") + i)
@@ -85,7 +101,7 @@ def walk_topics(spark, sf_dir):
     return E.topics(load(spark, sf_dir, "pathbased_walks"), 4, 5, 1, 5)
 
 
-QUERIES = {f.__name__: f for f in (pair_similarity, most_similar_words, similarity_histogram, analogies, near_vector_pairs, dbscan, kmeans, kmeans_cosine, bisecting_clusters, random_clusters, silhouette, classification_f1, label_map, word2vec, walk_topics)}
+QUERIES = {f.__name__: f for f in (pair_similarity, most_similar_words, most_similar_words_whole, similarity_histogram, similarity_histogram_whole, analogies, near_vector_pairs, dbscan, kmeans, kmeans_cosine, bisecting_clusters, random_clusters, silhouette, classification_f1, label_map, word2vec, walk_topics)}
 
 _V = "v as (select printf('v%07d', vec_id) as word, vec_id, embedding::double[] as x from embeddings), asked as (select word, x from v order by word limit 20), s as (select a.word, v.word as other, list_cosine_similarity(a.x, v.x) as s from asked a join v on a.word <> v.word)"
 

@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +9,7 @@ from quarry.operators import evaluate as V
 from quarry.operators import gold as G
 from quarry.operators import specs as S
 from quarry.plans import spec_queries as Q
+from quarry.plans import vector_queries as W
 from quarry.sources import domain as D
 
 SMALL = "/root/testdata/sf0.01"
@@ -103,6 +107,23 @@ def test_whole_spec_queries_keep_rules_of_any_size(spark):
     assert sorted(r["mined"] for r in got) == want and len(got) > Q.mined_rules(spark, SMALL).count()
 
 
+def test_whole_similarities(spark):
+    v = W.vectors(spark, SMALL).orderBy("word").collect()
+    x = np.array([r["vector"] for r in v], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    off = s[~np.eye(len(x), dtype=bool)]
+    got = W.similarity_histogram_whole(spark, SMALL).collect()
+    want = Counter(np.round(np.floor(np.round(off, 9) / 0.05) * 0.05, 2).tolist())
+    assert {r["bin"]: r["n"] for r in got} == want and sum(r["n"] for r in got) == len(x) * (len(x) - 1)
+    asked = [i for i, r in enumerate(v) if int(r["word"][1:]) % 50 == 0]
+    top = {(r["word"], r["rank"]): r["similarity"] for r in W.most_similar_words_whole(spark, SMALL).collect()}
+    assert len(top) == 10 * len(asked)
+    for i in asked:
+        best = np.sort(np.delete(s[i], i))[::-1][:10]
+        assert [top[v[i]["word"], k + 1] for k in range(10)] == pytest.approx(list(best), abs=2e-6)
+
+
 def test_readers(spark):
     text = lambda *x: spark.createDataFrame([(v,) for v in x], "value string")
     assert [r["tokens"] for r in D.read_walks(spark, text("a F2V_x b"), ["F2V_"]).collect()] == [["a", "b"]]
