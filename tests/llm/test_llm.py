@@ -119,10 +119,10 @@ def frame(spark, x):
     return spark.createDataFrame([(f"w{i:05d}", [float(v) for v in r]) for i, r in enumerate(x)], "label string, vector array<float>")
 
 
-def test_most_similar(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD_POINTS", 200)
+@pytest.mark.parametrize("most, pivots", [(16384, 4096), (200, 4096), (60, 8)])
+def test_most_similar(spark, most, pivots):
     x, _ = blobs()
-    got = vectors.most_similar(frame(spark, x), 3).collect()
+    got = vectors.most_similar(frame(spark, x), 3, shard_points=most, n_pivots=pivots).collect()
     u = x.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = u @ u.T
@@ -141,6 +141,18 @@ def test_similar_small_and_copies(spark):
     assert pairs.count() == 36
 
 
+def test_copies_beyond_a_shard(spark):
+    x = np.vstack([np.tile(np.eye(8)[:1], (150, 1)), blobs(20, 5, 8)[0]])
+    got = vectors.most_similar(frame(spark, x), 4, shard_points=40, n_pivots=8).collect()
+    per = Counter(r["label"] for r in got)
+    assert len(per) == len(x) and set(per.values()) == {4}
+    assert all(r["cosine"] > 0.999999 for r in got if r["label"] < "w00150")
+    assert all(r["label"] != r["neighbour"] for r in got)
+    r = vectors.Router(frame(spark, x), "label", most=40, n_pivots=8)
+    home = r.place(frame(spark, x), "label", 1).toPandas()
+    assert len(home) == len(x) and not home["visitor"].any() and home["shard"].value_counts().max() <= 75
+
+
 def test_latest_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", [1.0, 0.0], 1), ("a", [0.0, 2.0], 2), ("a", [0.0, 2.0], 2), ("b", None, 1), ("c", [1.0], 1), ("d", [0.0, 0.0], 1), ("e", [nan, 1.0], 1), ("f", [inf, 1.0], 1), (None, [1.0, 1.0], 1), ("g", [1.0, 1.0], None), ("h", [1.0, None], 3)]
@@ -154,19 +166,16 @@ def test_shards_cover_all_cells():
     p /= np.linalg.norm(p, axis=1, keepdims=True)
     w = rng.integers(0, 50, 50)
     w[7] = 1000
-    first, parts, n = vectors.plan_shards(p, w, 100)
-    assert parts[7] == 10 and n >= 10 and (first + parts <= n).all()
-    load = Counter()
-    for c in range(50):
-        for k in range(parts[c]):
-            load[first[c] + k] += w[c] / parts[c]
-    assert max(load.values()) <= 100
+    shard, n = vectors.plan_shards(p, w, 100)
+    load = np.bincount(shard, weights=w, minlength=n)
+    assert (shard >= 0).all() and n == shard.max() + 1
+    assert load[shard[7]] == 1000 and (np.delete(load, shard[7]) <= 100).all()
 
 
-def test_clusters(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD_POINTS", 100)
+@pytest.mark.parametrize("most, pivots", [(16384, 4096), (100, 4096), (50, 8)])
+def test_clusters(spark, most, pivots):
     x, g = blobs(40, 9)
-    members, groups = clusters.cluster(frame(spark, x).repartition(5), 0.8)
+    members, groups = clusters.cluster(frame(spark, x).repartition(5), 0.8, shard_points=most, n_pivots=pivots)
     got = {r["label"]: r["cluster"] for r in members.collect()}
     assert all(got[f"w{i:05d}"] == f"w{g[i] * 9:05d}" for i in range(len(x)))
     rows = groups.collect()
@@ -182,6 +191,27 @@ def test_ward_order():
     assert len(set(clusters.ward(np.ones(3), s, -1.0).tolist())) == 1
 
 
+def test_ward_equals_the_plain_agglomeration():
+    rng = np.random.default_rng(5)
+    for t in (0.3, 0.6, -2.0):
+        x = rng.normal(size=(60, 6)) + np.repeat(rng.normal(size=(6, 6)) * 2, 10, 0)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sets = [[i] for i in range(60)]
+        while True:
+            best = (np.inf, 0, 0)
+            for i in range(len(sets)):
+                for j in range(i):
+                    a, b = x[sets[i]].mean(0), x[sets[j]].mean(0)
+                    if a @ b >= t:
+                        n, m = len(sets[i]), len(sets[j])
+                        best = min(best, (n * m / (n + m) * ((a - b) ** 2).sum(), i, j))
+            if best[0] == np.inf:
+                break
+            sets[best[2]] += sets.pop(best[1])
+        got = clusters.ward(np.ones(60), x, t)
+        assert {frozenset(c) for c in sets} == {frozenset(np.flatnonzero(got == g).tolist()) for g in set(got.tolist())}
+
+
 # tokens
 
 
