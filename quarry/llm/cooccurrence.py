@@ -1,51 +1,61 @@
 """Items that appear together: exact pair counts and their surprise.
 
-Counting: items below the least count are dropped, so with a least share s and
-baskets of m items on average at most m / s items remain, however many baskets
-there are.  Each task turns blocks of baskets into 0/1 matrices, multiplies
-pairs of item blocks and keeps the sums; only the sums are shuffled, never the
-pairs of a basket.
+Counting: items get codes in the order of their frequency; each task turns its
+baskets into pair codes, a bounded number at a time, and adds equal ones up, so
+only sums are shuffled, never the pairs of a basket.  The pairs of a basket of
+more than ``LONG`` items are divided among several tasks.  Neither the items
+nor any count passes through the driver.
 
 Null model: the bipartite configuration model fitted to all item frequencies
-and all basket sizes, p(item, basket) = x y / (1 + x y).  Items of one
-frequency share x, baskets of one size share y, so the fit needs only the two
-histograms.  The number of common baskets is then Poisson-binomial; its upper
-tail comes from a saddlepoint formula on the histogram of basket sizes, and
-Benjamini-Hochberg turns the p-values into false-discovery rates.
+and all basket sizes, p(item, basket) = x y / (1 + x y).  The fit runs over the
+two histograms; small values have a class each, large ones geometric classes,
+so both are bounded by the range of the values.  The x of an item is
+interpolated between the classes around its frequency.  The number of common baskets is Poisson-binomial;
+its upper tail comes from a saddlepoint formula on the histogram of basket
+sizes.  Pairs with equal counts share one test; Benjamini-Hochberg over the
+distinct ones, each with the number of its pairs, gives false-discovery rates.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.names import clean_name
-from quarry.operators.skew import global_rank
+from quarry.operators.skew import global_rank, lookup_join
 from quarry.session import cut
 
-ITEM_BLOCK = 1024
-BASKETS_AT_ONCE = 4096
-HELD_BLOCKS = 48
-MOST_ITEMS = 2_000_000
-FIT_ROUNDS, FIT_ERROR = 2000, 1e-10
-PAIRS_AT_ONCE = 2000
+LONG = 4096
+PAIRS_IN_MEMORY, SUMS_IN_MEMORY = 2_000_000, 2_000_000
+EXACT_FREQUENCY, FREQUENCY_CLASSES = 1024, 256  # a class each up to here, then so many for each doubling
+EXACT_SIZE, SIZE_CLASSES = 256, 64
+FIT_ROUNDS, FIT_ERROR = 2000, 1e-9
+TESTS_AT_ONCE = 2000
 
 
-def fit_null(item_degrees: np.ndarray, n_items: np.ndarray, sizes: np.ndarray, n_baskets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def value_class(c: Column, exact: int, per_doubling: int) -> Column:
+    """The class of a positive count: itself up to ``exact``, then geometric."""
+    return F.when(c <= exact, c).otherwise(exact + F.ceil(F.log2(c / F.lit(float(exact))) * per_doubling)).cast("int")
+
+
+def fit_null(degrees: np.ndarray, n_items: np.ndarray, sizes: np.ndarray, n_baskets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x for each item frequency, y for each basket size) of the bipartite configuration model.
 
-    Arguments: distinct item frequencies with their number of items, distinct
-    basket sizes with their number of baskets.
+    Arguments: item frequencies with their number of items, basket sizes with
+    their number of baskets.  A fit that has not settled gives a warning.
     """
-    k, d = item_degrees.astype(float), sizes.astype(float)
+    k, d = degrees.astype(float), sizes.astype(float)
     total = math.sqrt(float((k * n_items).sum()))
     x, y = k / total, d / total
+    moved = 0.0
     for _ in range(FIT_ROUNDS):
         x2 = k / np.maximum((n_baskets * y / (1 + np.outer(x, y))).sum(1), 1e-300)
         y2 = d / np.maximum((n_items[:, None] * x2[:, None] / (1 + np.outer(x2, y))).sum(0), 1e-300)
@@ -53,17 +63,23 @@ def fit_null(item_degrees: np.ndarray, n_items: np.ndarray, sizes: np.ndarray, n
         moved = max(np.abs(x2 / x - 1).max(), np.abs(y2 / y - 1).max())
         x, y = x2, y2
         if moved < FIT_ERROR:
-            break
+            return x, y
+    warnings.warn(f"the null model moved by {moved:.1e} in its last round", stacklevel=2)
     return x, y
 
 
+def chances(degrees: np.ndarray, classes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """p(item, basket) for items of these frequencies in baskets of each class; ln x is interpolated in ln frequency between the classes."""
+    at = np.exp(np.interp(np.log(degrees), np.log(classes), np.log(x)))[:, None] * y
+    return at / (1 + at)
+
+
+_erfc = np.frompyfunc(math.erfc, 1, 1)
+
+
 def _log_normal_tail(w: np.ndarray) -> np.ndarray:
-    """ln P(Z >= w) of a standard normal, w >= 0, by Mills' continued fraction."""
-    low = np.minimum(w, 5.0)
-    t = 1 / (1 + 0.5 * low / math.sqrt(2))
-    z = low / math.sqrt(2)
-    poly = t * np.exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))
-    near = np.log(np.maximum(poly / 2, 1e-300))
+    """ln P(Z >= w) of a standard normal, w >= 0: the complementary error function, and Mills' continued fraction far out."""
+    near = np.log(_erfc(np.minimum(w, 5.0) / math.sqrt(2)).astype(float) / 2)
     f = w.copy()
     for j in range(40, 0, -1):
         f = w + j / np.maximum(f, 1e-9)
@@ -80,7 +96,6 @@ def log_tail(count: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
     count = count.astype(float)
     p = np.clip(p, 0.0, 1 - 1e-12)
     mean = (p * times).sum(1)
-    n = times.sum()
     most = np.where(p > 0, times, 0).sum(1)
     out = np.zeros(len(count))
     over = count > most  # impossible
@@ -91,22 +106,24 @@ def log_tail(count: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
     if not live.any():
         return out
     c, q, m = count[live], p[live], mean[live]
-    s = np.zeros(len(c))
     odds = q / (1 - q)
     s = np.log(np.maximum(c, 0.5) / np.maximum(m, 1e-300))
     low, high = np.full(len(c), -60.0), np.full(len(c), 60.0)
+    rows = np.arange(len(c))
     for _ in range(80):  # safeguarded Newton for K'(s) = count
-        e = odds * np.exp(s)[:, None]
+        e = odds[rows] * np.exp(s[rows])[:, None]
         tilted = e / (1 + e)
-        k1 = (tilted * times).sum(1)
-        k2 = np.maximum((tilted * (1 - tilted) * times).sum(1), 1e-300)
-        low, high = np.where(k1 < c, s, low), np.where(k1 >= c, s, high)
-        step = s - (k1 - c) / k2
-        new = np.where((step > low) & (step < high), step, (low + high) / 2)
-        if np.abs(new - s).max() < 1e-11:
-            s = new
+        k1 = tilted @ times
+        k2 = np.maximum((tilted * (1 - tilted)) @ times, 1e-300)
+        low[rows] = np.where(k1 < c[rows], s[rows], low[rows])
+        high[rows] = np.where(k1 >= c[rows], s[rows], high[rows])
+        step = s[rows] - (k1 - c[rows]) / k2
+        new = np.where((step > low[rows]) & (step < high[rows]), step, (low[rows] + high[rows]) / 2)
+        moving = np.abs(new - s[rows]) > 1e-10 * (1 + np.abs(new))
+        s[rows] = new
+        rows = rows[moving]
+        if not len(rows):
             break
-        s = new
     e = odds * np.exp(s)[:, None]
     tilted = e / (1 + e)
     k2 = (tilted * (1 - tilted) * times).sum(1)
@@ -127,103 +144,158 @@ def log_tail(count: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
         tail = np.exp(_log_normal_tail(np.abs(z)))
         result[~upper] = np.log(np.maximum(np.where(z >= 0, tail, 1 - tail), 1e-300))
     out[live] = np.minimum(result, 0.0)
-    assert n >= 0
     return out
 
 
-def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the products of item blocks over the partition's baskets (lists of codes)."""
-    held: dict[tuple[int, int], np.ndarray] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (i, j), m in held.items():
-            a, b = np.nonzero(np.triu(m, 1) if i == j else m)
-            yield pa.RecordBatch.from_arrays([pa.array(a + i * ITEM_BLOCK), pa.array(b + j * ITEM_BLOCK), pa.array(np.rint(m[a, b]).astype(np.int64))], names=["code_a", "code_b", "n_ab"])
-        held.clear()
-
-    for whole in batches:
-        for at in range(0, whole.num_rows, BASKETS_AT_ONCE):
-            lists = whole.column(0).slice(at, BASKETS_AT_ONCE)
-            codes = lists.flatten().to_numpy(zero_copy_only=False)
-            basket = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            block = codes // ITEM_BLOCK
-            sides = {}
-            for k in np.unique(block):
-                inside = block == k
-                m = np.zeros((len(lists), ITEM_BLOCK), np.float32)
-                m[basket[inside], codes[inside] % ITEM_BLOCK] = 1
-                sides[int(k)] = m
-            for i in sides:
-                for j in sides:
-                    if i <= j:
-                        if (i, j) not in held:
-                            if len(held) >= HELD_BLOCKS:
-                                yield from flush()
-                            held[i, j] = np.zeros((ITEM_BLOCK, ITEM_BLOCK))
-                        held[i, j] += sides[i].T @ sides[j]
-    yield from flush()
+def _sums(n_codes: int):
+    """Batches of (basket, slice, code), sorted, to (code_a, code_b, n_ab): the partition's pairs, code_a < code_b, added up."""
+
+    def pairs(codes: np.ndarray, length: np.ndarray, slices: np.ndarray) -> Iterator[np.ndarray]:
+        """Pair codes of whole runs, about ``PAIRS_IN_MEMORY`` at a time."""
+        starts = np.cumsum(length) - length
+        place = np.arange(len(codes)) - np.repeat(starts, length)
+        partners = np.where(place // LONG == slices, np.repeat(length, length) - 1 - place, 0)
+        done = np.cumsum(partners)
+        at = 0
+        while at < len(codes):
+            end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS_IN_MEMORY, "right")))
+            some = partners[at:end]
+            first = np.repeat(np.arange(at, end), some)
+            step = np.arange(len(first)) - np.repeat(np.cumsum(some) - some, some)
+            yield codes[first] * n_codes + codes[first + 1 + step]
+            at = end
+
+    def merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[head], np.add.reduceat(n, head) if len(head) else n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows(sums: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(sums[0] // n_codes), pa.array(sums[0] % n_codes), pa.array(sums[1])], names=["code_a", "code_b", "n_ab"])
+
+        def count(t: pa.Table, last: bool) -> tuple[pa.Table | None, list[tuple[np.ndarray, np.ndarray]]]:
+            """What is left of an unfinished basket, and the sums of the others."""
+            if not t.num_rows:
+                return None, []
+            change = np.zeros(0, bool)
+            for c in ("basket", "slice"):
+                v = t.column(c).combine_chunks()
+                now = pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+                change = now if not len(change) else change | now
+            starts = np.append(0, np.flatnonzero(change) + 1)
+            whole = t.num_rows if last else int(starts[-1])
+            length = np.diff(np.append(starts[starts < whole], whole))
+            codes, slices = t.column("code").to_numpy()[:whole], t.column("slice").to_numpy()[:whole]
+            return (None if last else t.slice(whole)), [np.unique(k, return_counts=True) for k in pairs(codes, length, slices)]
+
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            waiting.append(b)
+            size += b.num_rows
+            if size < 100_000 and rest is None or size < (rest.num_rows if rest is not None else 0):
+                continue
+            t = pa.Table.from_batches(waiting)
+            rest, sums = count(pa.concat_tables([rest, t]) if rest is not None else t, False)
+            waiting, size = [], 0
+            held += sums
+            if sum(len(h[0]) for h in held) > SUMS_IN_MEMORY:
+                held = [merge(held)]
+                if len(held[0][0]) > SUMS_IN_MEMORY // 2:
+                    yield rows(held.pop())
+        tables = ([rest] if rest is not None else []) + ([pa.Table.from_batches(waiting)] if waiting else [])
+        if tables:
+            held += count(pa.concat_tables(tables), True)[1]
+        if held:
+            yield rows(merge(held))
+
+    return run
 
 
 class Cooccurrence:
     """Pair counts over distinct (basket, item) rows; the steps share what is counted once."""
 
-    def __init__(self, rows: DataFrame, basket: str, item: str, min_count: int = 5, min_share: float = 0.0):
+    def __init__(self, rows: DataFrame, basket: str, item: str, min_count: int = 1, min_share: float = 0.0):
         """Null baskets and null items are left out, repeated rows count once."""
         given = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null")
         self.pairs = cut(given.distinct())
-        self.frequency = cut(self.pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")))
-        self.sizes = self.pairs.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n")).toPandas()
+        sizes = cut(self.pairs.groupBy("basket").agg(F.count(F.lit(1)).alias("size")))
+        self.long = sizes.where(F.col("size") > LONG)
+        by_class = sizes.groupBy(value_class(F.col("size"), EXACT_SIZE, SIZE_CLASSES).alias("c")).agg(F.avg("size").alias("value"), F.count(F.lit(1)).alias("n"))
+        self.sizes = by_class.orderBy("c").toPandas()  # a row for each class
         self.n = int(self.sizes["n"].sum())
         self.least = max(min_count, math.ceil(min_share * self.n - 1e-9))
-        frequent = self.frequency.where(F.col("n_item") >= self.least).orderBy("item").limit(MOST_ITEMS + 1).toPandas()
-        if len(frequent) > MOST_ITEMS:
-            raise ValueError(f"more than {MOST_ITEMS} items reach the least count: raise min_count or min_share")
-        self.items = frequent
+        frequency = self.pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
+        ranked = global_rank(frequency.withColumn("_less", -F.col("n_item")), ["_less", "item"])
+        self.items = cut(ranked.select("item", (F.col("rank") - 1).alias("code"), "n_item"))
+        by_class = self.items.groupBy(value_class(F.col("n_item"), EXACT_FREQUENCY, FREQUENCY_CLASSES).alias("c")).agg(F.avg("n_item").alias("value"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("n_item") >= self.least, 1)).alias("kept"))
+        self.degrees = by_class.orderBy("c").toPandas()  # a row for each class
+        self.n_kept = int(self.degrees["kept"].sum())
 
     def counts(self) -> DataFrame:
-        """(item_a, item_b, n_ab, n_a, n_b) of all pairs of frequent items that occur together, item_a < item_b."""
-        spark = self.pairs.sparkSession
-        codes = spark.createDataFrame(self.items.assign(code=np.arange(len(self.items)))[["item", "code", "n_item"]], "item string, code bigint, n_item bigint")
-        coded = self.pairs.join(F.broadcast(codes.select("item", "code")), "item")
-        lists = coded.groupBy("basket").agg(F.collect_list("code").alias("codes")).where(F.size("codes") > 1).select("codes")
-        counted = lists.mapInArrow(_count_blocks, "code_a bigint, code_b bigint, n_ab bigint").groupBy("code_a", "code_b").agg(F.sum("n_ab").alias("n_ab"))
-        side = lambda s: F.broadcast(codes.select(F.col("code").alias(f"code_{s}"), F.col("item").alias(f"item_{s}"), F.col("n_item").alias(f"n_{s}")))
-        return counted.join(side("a"), "code_a").join(side("b"), "code_b").select("item_a", "item_b", "n_ab", "n_a", "n_b")
-
-    def surprise(self) -> DataFrame:
-        """``counts`` with n, lift (n_ab n / n_a n_b), expected (under the null) and log_p, the natural log of the p-value."""
-        degrees = self.frequency.groupBy("n_item").agg(F.count(F.lit(1)).alias("n")).toPandas()
-        k, d = degrees["n_item"].to_numpy(), self.sizes["size"].to_numpy()
-        times = self.sizes["n"].to_numpy().astype(float)
-        n = self.n
-        if n:
-            x, y = fit_null(k, degrees["n"].to_numpy().astype(float), d, times)
-            chance = dict(zip(k.tolist(), (x[:, None] * y / (1 + x[:, None] * y))))
+        """(item_a, item_b, n_ab, n_a, n_b) of all pairs of items with the least count that occur together, item_a < item_b."""
+        kept = self.items.where(F.col("n_item") >= self.least)
+        coded = lookup_join(self.pairs, kept.select("item", "code"), "item").where("code is not null").select("basket", "code")
+        parts = self.long.select("basket", F.ceil(F.col("size") / LONG).cast("int").alias("parts"))
+        sliced = coded.join(parts, "basket", "left").select("basket", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("slice"), "code")
+        placed = sliced.repartition("basket", "slice").sortWithinPartitions("basket", "slice", "code")
+        counted = placed.mapInArrow(_sums(max(self.n_kept, 1)), "code_a bigint, code_b bigint, n_ab bigint").groupBy("code_a", "code_b").agg(F.sum("n_ab").alias("n_ab"))
+        side = lambda s: kept.select(F.col("code").alias(f"code_{s}"), F.col("item").alias(f"i_{s}"), F.col("n_item").alias(f"k_{s}"))
+        named = counted.join(side("a"), "code_a").join(side("b"), "code_b")
+        ordered = F.col("i_a") < F.col("i_b")
+        pick = lambda x, y, name: F.when(ordered, F.col(x)).otherwise(F.col(y)).alias(name)
+        return named.select(pick("i_a", "i_b", "item_a"), pick("i_b", "i_a", "item_b"), "n_ab", pick("k_a", "k_b", "n_a"), pick("k_b", "k_a", "n_b"))
+
+    def tests(self, counted: DataFrame) -> DataFrame:
+        """(n_low, n_high, n_ab, n_pairs, expected, log_p): one row for each distinct test."""
+        d, times = self.sizes["value"].to_numpy(float), self.sizes["n"].to_numpy(float)
+        classes = self.degrees["value"].to_numpy(float)
+        x, y = fit_null(classes, self.degrees["n"].to_numpy(float), d, times) if self.n else (classes, d)
 
         def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for at in range(0, len(f), PAIRS_AT_ONCE):
-                    g = f.iloc[at : at + PAIRS_AT_ONCE]
-                    p = np.array([chance[a] for a in g["n_a"]]) * np.array([chance[b] for b in g["n_b"]])
-                    yield g.assign(n=n, lift=g["n_ab"] * n / (g["n_a"] * g["n_b"]), expected=(p * times).sum(1), log_p=log_tail(g["n_ab"].to_numpy(), p, times))
+                for at in range(0, len(f), TESTS_AT_ONCE):
+                    g = f.iloc[at : at + TESTS_AT_ONCE]
+                    k, where = np.unique(g[["n_low", "n_high"]].to_numpy().ravel(), return_inverse=True)
+                    p = chances(k, classes, x, y)[where.reshape(-1, 2)]
+                    p = p[:, 0] * p[:, 1]
+                    yield g.assign(expected=(p * times).sum(1), log_p=log_tail(g["n_ab"].to_numpy(), p, times))
 
-        return self.counts().mapInPandas(score, "item_a string, item_b string, n_ab bigint, n_a bigint, n_b bigint, n bigint, lift double, expected double, log_p double")
+        distinct = counted.groupBy(F.least("n_a", "n_b").alias("n_low"), F.greatest("n_a", "n_b").alias("n_high"), "n_ab").agg(F.count(F.lit(1)).alias("n_pairs"))
+        parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return distinct.repartition(parts, "n_low", "n_high", "n_ab").mapInPandas(score, "n_low bigint, n_high bigint, n_ab bigint, n_pairs bigint, expected double, log_p double")
 
     def discoveries(self) -> DataFrame:
-        """``surprise`` with q_value: the false-discovery rate at which the pair is reported.
+        """``counts`` with n, lift (n_ab n / n_a n_b), expected (under the null), log_p and q_value.
 
-        The family is all pairs of frequent items; those never together have
-        p-value 1.
+        log_p is the natural log of the p-value, q_value the false-discovery
+        rate at which the pair is reported.  The family is all pairs of items
+        with the least count; those never together have p-value 1.
         """
-        tests = len(self.items) * (len(self.items) - 1) // 2
-        ranked = global_rank(self.surprise(), ["log_p", "item_a", "item_b"])
-        raw = F.least(F.lit(0.0), F.col("log_p") + F.log(F.lit(float(max(tests, 1)))) - F.log("rank"))
-        ranked = cut(ranked.withColumn("_raw", raw))
+        counted = cut(self.counts())
+        family = float(max(self.n_kept * (self.n_kept - 1) // 2, 1))
+        parts = cut(self.tests(counted).repartitionByRange("log_p").withColumn("_pid", F.spark_partition_id()))
+        sizes = parts.groupBy("_pid").agg(F.sum("n_pairs").alias("s"))  # one row for each partition
+        before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("_pid").orderBy("log_p").rangeBetween(Window.unboundedPreceding, 0)
+        ranked = parts.join(F.broadcast(sizes.select("_pid", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("_before"))), "_pid")
+        rank = F.col("_before") + F.sum("n_pairs").over(within)
+        ranked = ranked.withColumn("_raw", F.least(F.lit(0.0), F.col("log_p") + math.log(family) - F.log(rank)))
         lowest = ranked.groupBy("_pid").agg(F.min("_raw").alias("m"))
-        later = Window.orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)  # one row for each partition
-        after = lowest.select("_pid", F.coalesce(F.min("m").over(later), F.lit(0.0)).alias("_after"))
-        rest = Window.partitionBy("_pid").orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
-        return ranked.join(F.broadcast(after), "_pid").withColumn("q_value", F.exp(F.least(F.min("_raw").over(rest), F.col("_after")))).drop("_pid", "_raw", "_after", "rank")
+        later = Window.orderBy("_pid").rowsBetween(1, Window.unboundedFollowing)
+        after = F.broadcast(lowest.select("_pid", F.coalesce(F.min("m").over(later), F.lit(0.0)).alias("_after")))
+        rest = Window.partitionBy("_pid").orderBy(F.desc("log_p")).rangeBetween(Window.unboundedPreceding, 0)  # a running minimum
+        tests = ranked.join(after, "_pid").withColumn("q_value", F.exp(F.least(F.min("_raw").over(rest), F.col("_after"))))
+        keyed = counted.withColumn("n_low", F.least("n_a", "n_b")).withColumn("n_high", F.greatest("n_a", "n_b"))
+        joined = keyed.join(tests.select("n_low", "n_high", "n_ab", "expected", "log_p", "q_value"), ["n_low", "n_high", "n_ab"])
+        lift = F.col("n_ab") * F.lit(self.n) / (F.col("n_a") * F.col("n_b"))
+        return joined.select("item_a", "item_b", "n_ab", "n_a", "n_b", F.lit(self.n).cast("bigint").alias("n"), lift.alias("lift"), "expected", "log_p", "q_value")
 
 
 def called_items(context: DataFrame, response: DataFrame) -> DataFrame:

@@ -47,18 +47,19 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.most_similar(_vectors(spark, sf_dir), 5)
 
 
-def _together(spark: SparkSession, sf_dir: str) -> cooccurrence.Cooccurrence:
-    rows = cooccurrence.called_items(load(spark, sf_dir, "eh_context"), load(spark, sf_dir, "eh_response"))
-    return cooccurrence.Cooccurrence(rows, "handler", "item", min_count=5, min_share=0.003)
+def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccurrence.called_items(load(spark, sf_dir, "eh_context"), load(spark, sf_dir, "eh_response"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cooccurrence.Cooccurrence(_called(spark, sf_dir), "handler", "item", min_count=5, min_share=0.003).discoveries()
     case = "n_ab >= 5 and 1000 * n_ab >= 3 * n and n_ab * n >= 3 * n_a * n_b"
-    return _together(spark, sf_dir).surprise().where(case).select("item_a", "item_b")
+    return found.where("log_p <= ln(0.1)").where(case).select("item_a", "item_b")
 
 
 def p3_surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _together(spark, sf_dir).discoveries().select("item_a", "item_b", "n_ab", "n_a", "n_b", "lift", "expected", "log_p", "q_value")
+    found = cooccurrence.Cooccurrence(_called(spark, sf_dir), "handler", "item").discoveries()
+    return found.select("item_a", "item_b", "n_ab", "n_a", "n_b", "lift", "expected", "log_p", "q_value")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,8 +72,17 @@ def test_null_keeps_margins():
     assert np.allclose((p * n_baskets).sum(1), k, rtol=1e-6) and np.allclose((p * n_items[:, None]).sum(0), d, rtol=1e-6)
 
 
+def test_chances_between_the_classes():
+    k, n_items = np.array([2.0, 5, 30]), np.array([10.0, 4.0, 1.0])
+    d, n_baskets = np.array([1.0, 2, 4]), np.array([20.0, 15.0, 5.0])
+    x, y = cooccurrence.fit_null(k, n_items, d, n_baskets)
+    p = (cooccurrence.chances(np.array([2, 3, 5, 30]), k, x, y) * n_baskets).sum(1)
+    assert np.allclose(p[[0, 2, 3]], k, rtol=1e-6) and p[1] == pytest.approx(3, rel=0.05)
+
+
 def test_pairs(spark, monkeypatch):
-    monkeypatch.setattr(cooccurrence, "ITEM_BLOCK", 7)
+    monkeypatch.setattr(cooccurrence, "LONG", 3)
+    monkeypatch.setattr(cooccurrence, "PAIRS_IN_MEMORY", 50)
     rnd = random.Random(3)
     rows = [(b, f"i{int(rnd.paretovariate(0.8)) % 40:02d}") for b in range(300) for _ in range(rnd.randrange(1, 9))] + [(None, "i01"), (5, None), (5, "i01"), (5, "i01")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "h long, it string, basket int")
