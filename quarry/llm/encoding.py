@@ -5,11 +5,17 @@ bytes; edges encode a string in a character set, decode bytes in one, or
 unescape markup.  Visited states are hashed, and a character-plausibility cost
 (does each character belong to the language, to its neighbours, to its place in
 the word) orders the queue and picks the cheapest reachable text.  A token is
-garbled if that text is clearly cheaper than the token itself.  Whatever its own
-cost, a token is garbled too if all of it is strict UTF-8 of a plausible, shorter
-text, or if it is Cyrillic of one case whose letters are far likelier in the other
-case of another Cyrillic set.  The tokens of a document share their language,
-guessed from its function words.
+garbled if that text is clearly cheaper than the token itself.
+
+The cost is that of the document's language, guessed from its function words, or a
+little more than that of any language at all: capitals, symbols or another script
+inside a word, controls, single letters.  So regular text of languages that are
+not listed costs too little to be rewritten by another single-byte set, while a
+strict UTF-8 reading counts as evidence in every language.  Whatever its own cost,
+a token is garbled too if all of it is strict UTF-8 of a plausible, shorter text,
+or if it is Cyrillic of one case whose letters are far likelier in the other case
+of another Cyrillic set.  The steps that explain most garbled tokens of a document
+are tried on the others as well.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import html
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,8 +63,19 @@ CURRENCY = "€£₽¥¢"
 LIGHT_BOX = frozenset("─│┌┐└┘├┤┬┴┼")
 QUIET = frozenset("‰†‡™ƒˆ˜½¼¾³²¹×±÷°µ¶¬¤¦©®√≈∧∨•′″→←")
 LOSS = "�"
-TOKEN_COST, UTF8_COST, WEAK_COST, WEAK_TOKENS = 1.5, 0.9, 0.5, 3
-STEP_COST, GOOD_COST = 0.1, 0.45
+CONTROLS = frozenset(map(chr, range(0x80, 0xA0))) | {LOSS}
+NEAR_SCRIPTS = frozenset(("latin", "cyrillic", "greek"))
+EAST_ASIAN = frozenset(("cjk", "hiragana", "katakana", "katakana-hiragana", "hangul"))  # written together
+
+
+class _Everything:
+    def __contains__(self, c: str) -> bool:
+        return True
+
+
+EVERY_LETTER = _Everything()
+TOKEN_COST, UTF8_COST, WEAK_COST, WEAK_TOKENS, AGREE_COST = 1.5, 0.9, 0.5, 3, 0.6
+STEP_COST, SWAP_COST, GOOD_COST, NEUTRAL_COST, LONE_SIGN_COST = 0.1, 0.6, 0.3, 0.25, 0.6
 MOST_STEPS, MOST_STATES = 3, 600
 CACHE_TOKENS = 200_000
 #: Letters of Russian text in 100,000, and the log odds from which a token of capitals, or of small letters, is another set's.
@@ -67,6 +84,7 @@ CAPITALS_ODDS, SMALL_ODDS, NO_START_COST = 4.0, 7.0, 3.0
 SWAPPED = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"))
 
 
+@functools.lru_cache(maxsize=500_000)
 def _char_cost(c: str, before: str, after: str, letters: frozenset, lang: str) -> float:
     """How implausible the character beyond ASCII is between its neighbours ('' at the ends)."""
     o = ord(c)
@@ -94,7 +112,7 @@ def _char_cost(c: str, before: str, after: str, letters: frozenset, lang: str) -
             return cost
         return 3.0
     if unicodedata.combining(c):
-        return 0.0 if before.isalpha() or unicodedata.combining(before or " ") else 2.0
+        return 3.0 if not unicodedata.name(c, "").startswith("COMBINING") else 0.5 if before.isalpha() or unicodedata.combining(before or " ") else 2.0
     if c == "█":
         return 2.0 if near else 0.0
     if c in "﻿​‍️":
@@ -138,6 +156,46 @@ def _char_cost(c: str, before: str, after: str, letters: frozenset, lang: str) -
     return 1.5 if o < 0x2700 and unicodedata.category(c)[0] in "SC" else 0.2
 
 
+@functools.lru_cache(maxsize=200_000)
+def _script(c: str) -> str:
+    return "latin" if c < "ɐ" else unicodedata.name(c, "?").split(" ")[0].lower()
+
+
+@functools.lru_cache(maxsize=500_000)
+def _odd_char(c: str, before: str, after: str) -> float:
+    """``_char_cost`` without a language: every letter is as good as any other of its script."""
+    if c.isalpha() and c not in "ªº" and c not in QUIET:
+        total = 0.0
+        for x in (before, after):
+            if x.isalpha() and _script(x) != _script(c) and _script(c) not in EAST_ASIAN:
+                total += 3.0
+        if c.isupper() and before.islower():
+            total += 3.0
+        if _script(c) == "latin" and (before.isdigit() or after.isdigit() or not before.isalpha() and not after.isalpha() and after != "." and c not in LONE):
+            total += 0.8
+        return total
+    if unicodedata.combining(c):
+        return 0.5 if before.isalpha() and unicodedata.name(c, "").startswith("COMBINING") else 3.0
+    if c not in CONTROLS and not before.isalnum() and not after.isalnum() and unicodedata.category(c)[0] in "SP" and not 0x2500 <= ord(c) <= 0x259F:
+        return 0.2
+    return _char_cost(c, before, after, EVERY_LETTER, "es")
+
+
+@functools.lru_cache(maxsize=CACHE_TOKENS)
+def oddness(token: str) -> float:
+    """How little a token looks like text of any language: characters of several scripts, capitals or symbols within words, controls."""
+    total, last = 0.0, len(token) - 1
+    odd = sum("\xbf" < c < "\u0100" for c in token)
+    if odd > 2 and 2 * odd > sum(map(str.isalpha, token)):
+        total += 2.0
+    for i, c in enumerate(token):
+        if c > "\x7f":
+            total += _odd_char(c, token[i - 1] if i else "", token[i + 1] if i < last else "")
+        elif c < " ":
+            total += 4.0
+    return total
+
+
 def cost(token: str, lang: str) -> float:
     """Plausibility cost of a token in a language; 0 is fully plausible."""
     letters = NAMES if lang == "names" else LETTERS.get(lang, ANY_LATIN)
@@ -154,11 +212,9 @@ def cost(token: str, lang: str) -> float:
 
 
 def token_cost(token: str, lang: str) -> float:
-    """The cost in the document's language, or 1 more than in the best other one."""
+    """The cost in the document's language, or 1 more than in any other one."""
     own = cost(token, lang)
-    if own <= 1.0:
-        return own
-    return min(own, *(1.0 + cost(token, k) for k in (*LETTERS, "names") if k != lang))
+    return own if own <= 1.0 else min(own, 1.0 + oddness(token))
 
 
 @functools.cache
@@ -224,8 +280,10 @@ def search(token: str, lang: str) -> tuple[float, str, str]:
     if "&" in token and (u := html.unescape(token)) != token:  # markup itself is no fault: judge what it stands for
         saved, fixed, way = search(u, lang)
         return (saved, fixed, f"unescape {way}") if way else (0.0, token, "")
+    if LIGHT_BOX.issuperset(token):  # a drawing
+        return 0.0, token, ""
     start = token_cost(token, lang)
-    best = (start, token, "")
+    best, rest = (start, token, ""), start
     if start < 0.9:
         return 0.0, token, ""
     seen = {hash(token)}
@@ -240,21 +298,25 @@ def search(token: str, lang: str) -> tuple[float, str, str]:
                 continue
             seen.add(h)
             n += 1
-            price = token_cost(s, lang) + STEP_COST * (steps + 1) + (0.0 if "utf_8" in op or op == "unescape" else 0.2)
+            left = token_cost(s, lang)
+            if op.endswith(">utf_8") and len(s) < len(text) and LOSS not in s:  # strict sequences are evidence in any language
+                left = min(left, oddness(s) + NEUTRAL_COST + NEUTRAL_COST / (len(text) - len(s)) + (LONE_SIGN_COST if any(_script(c) not in NEAR_SCRIPTS for c in s if c.isalpha()) and len(text) - len(s) < 4 else 0.0))
+            price = left + STEP_COST * (steps + 1) + (0.0 if "utf_8" in op or op == "unescape" else SWAP_COST)
             done = f"{way} {op}".strip()
             if price < best[0]:
-                best = (price, s, done)
+                best, rest = (price, s, done), left
                 if price < GOOD_COST:
                     break
             heapq.heappush(queue, (price, steps + 1, n, s, done))
-    left = token_cost(best[1], lang)
-    if not best[2] or left > 0.4 * start:
+    if not best[2] or rest > 0.4 * start:
         return 0.0, token, ""
-    return max(0.0, start - left), best[1], best[2]
+    return max(0.0, start - rest), best[1], best[2]
 
 
 def _shorter_utf8(token: str, lang: str) -> tuple[str, str]:
     """(text, step) of the cheapest strict UTF-8 reading that is no less plausible than the token; ('', '') if there is none."""
+    if LIGHT_BOX.issuperset(token):
+        return "", ""
     own, best = token_cost(token, lang), (math.inf, "", "")
     for r in READ_AS:
         if (raw := _encode(token, r)) is None:
@@ -302,6 +364,26 @@ def certain(token: str, lang: str) -> tuple[str, str]:
     return fixed, f"unescape {way}" if way and u != token else way
 
 
+def price(token: str, lang: str) -> float:
+    """The cheaper of the token's cost in the language and, at a little more, in any."""
+    return min(token_cost(token, lang), oddness(token) + 2 * NEUTRAL_COST)
+
+
+def follow(token: str, way: str) -> str | None:
+    """The token after the steps of ``way``; None if they do not apply or lose characters."""
+    for op in way.split(" "):
+        if op == "unescape":
+            token = html.unescape(token)
+            continue
+        read, written = op.split(">")
+        raw = _encode(token, read)
+        s = None if raw is None else _decode(raw, written)
+        if s is None or LOSS in s:
+            return None
+        token = s
+    return token
+
+
 def guess_language(tokens: list[str]) -> str:
     """The language whose function words the tokens hold most; if they hold none, Russian where most are not ASCII, else ''."""
     votes: dict[str, int] = defaultdict(int)
@@ -326,22 +408,33 @@ def inspect(text: str | None) -> tuple[bool, str | None, int]:
     if not odd:
         return False, text, 0
     lang = guess_language(tokens)
-    garbled, fixes = LOSS in text, {}
-    weak: dict[str, set] = defaultdict(set)
+    garbled, fixes, ways = LOSS in text, {}, Counter()
+    weak: dict[str, dict] = defaultdict(dict)
+    strong: Counter = Counter()
     for t in odd:
         saved, fixed, way = search(t, lang)
         if way and saved >= (UTF8_COST if way.endswith(">utf_8") and fixed and len(fixed) < len(t) else TOKEN_COST):
             garbled = True
             fixes[t] = fixed
+            ways[way] += 1
         elif (sure := certain(t, lang))[1]:
             garbled = True
             fixes[t] = sure[0]
+            ways[sure[1]] += 1
         elif way and saved >= WEAK_COST:
-            weak[way].add((t, fixed))
+            weak[way][t] = fixed
+            strong[way] += oddness(t) >= oddness(fixed) + WEAK_COST
     for way, some in weak.items():
-        if garbled or len(some) >= WEAK_TOKENS:
+        if way in ways or strong[way] >= WEAK_TOKENS:
             garbled = True
-            fixes |= dict(some)
+            fixes |= some
+            ways[way] += len(some)
+    if fixes:  # what garbled most of the text likely garbled the rest
+        way = max(ways, key=lambda w: (ways[w], w))
+        for t in odd:
+            if (s := follow(t, way)) and s != t and price(s, lang) <= min(price(fixes[t], lang) + AGREE_COST if t in fixes else math.inf, price(t, lang) - WEAK_COST):
+                fixes[t] = s
+    fixes = {t: s for t, s in fixes.items() if s != t}
     if search.cache_info().currsize > CACHE_TOKENS:
         search.cache_clear()
         certain.cache_clear()
