@@ -4,21 +4,25 @@ Each round removes all leaves of the remaining forest and, so that a chain of
 length L takes O(log L) rounds and not L, an independent set of the nodes with
 a single child.  A removed node keeps the ancestor it hung from and the ids
 between.  What never becomes a leaf is a loop; it shrinks to one node that is
-its own parent.  The reverse peel order, a forest no deeper than the number of
+its own parent.  Subtree sizes and heights are sent to the parents of the removed
+leaves; the nodes of a chain get theirs when the node below them is removed.
+The reverse peel order, a forest no deeper than the number of
 rounds, then assigns roots, depths and paths by pointer doubling.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.skew import lookup_join
 from quarry.session import cut
 
 CYCLE, BELOW = "cycle", "below cycle"
+ROUNDS_AT_ONCE = 2
 
 
 def latest_links(df: DataFrame, parent: str, child: str, loaded_at: str | None) -> DataFrame:
@@ -32,25 +36,75 @@ def latest_links(df: DataFrame, parent: str, child: str, loaded_at: str | None)
     return links.groupBy(F.col(child).alias("node")).agg(F.max(order).alias("o")).select("node", F.col("o.p").alias("parent"))
 
 
-def _peel(state: DataFrame, r: int) -> DataFrame:
-    """One round: the rows of ``state`` with ``gone`` set for the removed ones."""
+@dataclass
+class Peeled:
+    """Every node at its removal: what it hung from and the nodes between, with what had been sent up to each until then."""
+
+    rows: DataFrame
+    rounds: int
+    kind: str
+
+
+def _peel(rows: DataFrame, r: int) -> DataFrame:
+    """One round: ``gone`` is set to ``r`` for the removed rows, ``leaf`` for those that are leaves.
+
+    The leaves of the round before have sent (nodes inside, height) to their
+    parents; equal parents are added up before the shuffle.
+    """
+    live = rows.where("gone is null")
     linked = F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
-    kids = state.where(linked).groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_kids"), F.max("node").alias("kid"))
-    seen = state.join(kids, "node", "left")
+    kids = live.where(linked).select(F.col("parent").alias("node"), F.lit(1).alias("live"), F.col("node").alias("kid"), F.lit(0).cast("bigint").alias("sent"), F.lit(0).cast("bigint").alias("sent_h"))
+    notes = rows.where((F.col("gone") == r - 1) & F.col("leaf") & linked)
+    up = F.aggregate("seg", F.struct((F.col("acc") + 1).alias("n"), (F.col("h") + 1).alias("h")), lambda a, s: F.struct((a["n"] + s["acc"] + 1).alias("n"), (F.greatest(a["h"], s["h"]) + 1).alias("h")))
+    notes = notes.select(F.col("parent").alias("node"), F.lit(0).alias("live"), F.lit(None).cast(dict(rows.dtypes)["node"]).alias("kid"), up.alias("u")).select("node", "live", "kid", F.col("u.n").alias("sent"), F.col("u.h").alias("sent_h"))
+    heard = kids.unionByName(notes).groupBy("node").agg(F.sum("live").alias("n_kids"), F.max("kid").alias("kid"), F.sum("sent").alias("sent"), F.max("sent_h").alias("sent_h"))
+    seen = live.join(heard, "node", "left").select(
+        "node", "parent", "seg", (F.col("acc") + F.coalesce("sent", F.lit(0))).alias("acc"), F.greatest("h", F.coalesce("sent_h", F.lit(0))).alias("h"), F.coalesce("n_kids", F.lit(0)).alias("n_kids"), "kid"
+    )
     coin = lambda c: F.xxhash64(F.col(c), F.lit(r))
     splice = F.coalesce(linked & (F.col("n_kids") == 1) & (coin("node") > coin("parent")) & (coin("node") > coin("kid")), F.lit(False))
     out = seen.where(splice)
     # the single child of a spliced node moves up; its key is unique on both sides
-    moved = out.select(F.col("kid").alias("node"), F.col("node").alias("s_node"), F.col("parent").alias("s_parent"), F.col("seg").alias("s_seg"))
+    between = F.concat(F.array(F.struct("node", "acc", "h")), "seg")
+    moved = out.select(F.col("kid").alias("node"), F.lit(True).alias("moves"), F.col("parent").alias("s_parent"), between.alias("s_seg"))
     rest = seen.where(~splice).join(moved, "node", "left")
-    was_moved = F.col("s_node").isNotNull()
+    leaf = F.col("n_kids") == 0
     rest = rest.select(
         "node",
-        F.when(was_moved, F.col("s_parent")).otherwise(F.col("parent")).alias("parent"),
-        F.when(was_moved, F.concat("seg", F.array("s_node"), "s_seg")).otherwise(F.col("seg")).alias("seg"),
-        F.col("n_kids").isNull().alias("gone"),
+        F.when(F.col("moves"), F.col("s_parent")).otherwise(F.col("parent")).alias("parent"),
+        F.when(F.col("moves"), F.concat("seg", "s_seg")).otherwise(F.col("seg")).alias("seg"),
+        "acc",
+        "h",
+        F.when(leaf, F.lit(r)).alias("gone"),
+        leaf.alias("leaf"),
     )
-    return rest.unionByName(out.select("node", "parent", "seg", F.lit(True).alias("gone")))
+    spliced = out.select("node", "parent", "seg", "acc", "h", F.lit(r).alias("gone"), F.lit(False).alias("leaf"))
+    return rest.unionByName(spliced).unionByName(rows.where("gone is not null"))
+
+
+def peel(df: DataFrame, parent: str, child: str, loaded_at: str | None = None) -> Peeled:
+    """Remove all leaves, and chains, round by round; ``ROUNDS_AT_ONCE`` rounds run between two checkpoints."""
+    ids = df.select(F.explode(F.array(F.col(parent), F.col(child))).alias("node")).where("node is not null").distinct()
+    state = ids.join(latest_links(df, parent, child, loaded_at), "node", "left")
+    kind = dict(ids.dtypes)["node"]
+    state = state.withColumn("seg", F.array().cast(f"array<struct<node:{kind},acc:bigint,h:bigint>>"))
+    zero = F.lit(0).cast("bigint")
+    rows = cut(state.withColumns({"acc": zero, "h": zero, "gone": F.lit(None).cast("int"), "leaf": F.lit(False)}))
+    removed, r = [], 0
+    while True:
+        first = r
+        for _ in range(ROUNDS_AT_ONCE):
+            rows = _peel(rows, r)
+            r += 1
+        done = cut(rows)
+        removed.append(done.where(F.col("gone") >= first))
+        rows = done.where(F.col("gone").isNull() | (F.col("gone") == r - 1))
+        if rows.where("gone is null").isEmpty():
+            break
+    every = removed[0]
+    for x in removed[1:]:
+        every = every.unionByName(x)
+    return Peeled(every, r, kind)
 
 
 def hierarchy(df: DataFrame, parent: str, child: str, loaded_at: str | None = None) -> DataFrame:
@@ -64,27 +118,19 @@ def hierarchy(df: DataFrame, parent: str, child: str, loaded_at: str | None = No
     link; an empty table gives no rows; repeated rows and further columns
     change nothing.  The ids of one path, or of one loop, share a row.
     """
-    ids = df.select(F.explode(F.array(F.col(parent), F.col(child))).alias("node")).where("node is not null").distinct()
-    state = ids.join(latest_links(df, parent, child, loaded_at), "node", "left")
-    kind = dict(ids.dtypes)["node"]
-    state = cut(state.withColumn("seg", F.array().cast(f"array<{kind}>")))
-    removed, rounds = [], 0
-    while not state.isEmpty():
-        done = cut(_peel(state, rounds))
-        removed.append(done.where("gone").drop("gone"))
-        state = done.where(~F.col("gone")).drop("gone")
-        rounds += 1
-    if not removed:
-        removed = [state]
-    peeled = removed[0]
-    for x in removed[1:]:
-        peeled = peeled.unionByName(x)
+    return paths(peel(df, parent, child, loaded_at))
+
+
+def paths(peeled: Peeled) -> DataFrame:
+    """``hierarchy`` from the peeled rows, in the reverse order of their removal."""
+    kind, rounds = peeled.kind, peeled.rounds
+    rows = peeled.rows.select("node", "parent", F.transform("seg", lambda s: s["node"]).alias("seg"))
     loop = F.coalesce(F.col("parent") == F.col("node"), F.lit(False))
     top = F.col("parent").isNull() | loop
-    loops = peeled.where(loop).select(F.array_append("seg", F.col("node")).alias("ids"))
+    loops = rows.where(loop).select(F.array_append("seg", F.col("node")).alias("ids"))
     members = loops.select(F.explode("ids").alias("node"), F.lit(True).alias("on_cycle"))
     tree = cut(
-        peeled.select(
+        rows.select(
             "node",
             F.when(~top, F.col("parent")).alias("anc"),
             F.when(~top, F.col("seg")).otherwise(F.array().cast(f"array<{kind}>")).alias("seg"),
@@ -132,12 +178,17 @@ def descendants(h: DataFrame) -> DataFrame:
     return each.select("ancestor", F.col("node").alias("descendant"), (F.col("depth") - F.col("pos")).cast("bigint").alias("hops"))
 
 
-def subtree_sizes(h: DataFrame) -> DataFrame:
-    """(node, n_inside, max_hops): how many nodes lie inside each node of the trees, and how deep."""
-    inside = descendants(h).groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("n_inside"), F.max("hops").alias("max_hops"))
-    return (
-        h.where(~F.col("in_cycle"))
-        .select("node")
-        .join(inside, "node", "left")
-        .select("node", F.coalesce("n_inside", F.lit(0)).alias("n_inside"), F.coalesce("max_hops", F.lit(0)).alias("max_hops"))
-    )
+def subtree_sizes(peeled: Peeled, h: DataFrame) -> DataFrame:
+    """(node, n_inside, max_hops): how many nodes lie inside each node of the trees, and how deep.
+
+    Both were sent up while peeling: a leaf holds its own, and a node taken out
+    of a chain gets those of the nodes below it in the chain.  No list of
+    descendants is formed.
+    """
+    last = peeled.rows.where("leaf").select("node", "seg", "acc", "h")
+    each = last.select(F.col("node").alias("leaf"), F.col("acc").alias("leaf_acc"), F.col("h").alias("leaf_h"), F.posexplode("seg").alias("i", "s"))
+    below = Window.partitionBy("leaf").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.col("leaf_acc") + F.sum(F.col("s.acc") + 1).over(below)
+    hops = F.greatest(F.col("leaf_h") + 1, F.max(F.col("s.h") - F.col("i")).over(below)) + F.col("i")
+    sizes = each.select(F.col("s.node").alias("node"), inside.alias("n_inside"), hops.alias("max_hops")).unionByName(last.select("node", F.col("acc").alias("n_inside"), F.col("h").alias("max_hops")))
+    return h.where(~F.col("in_cycle")).select("node").join(sizes, "node")

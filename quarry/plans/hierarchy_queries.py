@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.hierarchy import hierarchy, path_text, subtree_sizes
+from quarry.operators.hierarchy import descendants, hierarchy, path_text, paths, peel, subtree_sizes
 from quarry.session import load
 
 
@@ -18,10 +18,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subtree_sizes(_tree(spark, sf_dir)).withColumnRenamed("node", "handler")
+    peeled = peel(load(spark, sf_dir, "eh_nesting"), "parent_handler", "child_handler", "loaded_at")
+    return subtree_sizes(peeled, paths(peeled)).withColumnRenamed("node", "handler")
 
 
-QUERIES = {"p4_found": p4_found, "p4_subtree_sizes": p4_subtree_sizes}
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descendants(_tree(spark, sf_dir)).select(F.col("ancestor").alias("handler"), F.col("descendant").alias("inside"), "hops")
+
+
+QUERIES = {"p4_found": p4_found, "p4_subtree_sizes": p4_subtree_sizes, "p4_descendants": p4_descendants}
 
 _LINKS = """ids as (
   select parent_handler as h from eh_nesting where parent_handler is not null
@@ -48,6 +53,12 @@ cyc as (select u.node, min(u.at) as root from up u join loops k on k.node = u.at
 select node as handler, root as root_handler, depth, path from tree
 union all
 select node, root, -1::bigint, case when node in (select node from loops) then 'cycle' else 'below cycle' end from cyc""",
+    "p4_descendants": f"""with recursive {_LINKS},
+ups as (
+  select t.node as d, l.p as a, 1::bigint as hops from tree t join links l on l.c = t.node
+  union all
+  select u.d, l.p, u.hops + 1 from ups u join links l on l.c = u.a)
+select a as handler, d as inside, hops from ups""",
     "p4_subtree_sizes": f"""with recursive {_LINKS},
 ups as (
   select t.node as d, l.p as a, 1::bigint as hops from tree t join links l on l.c = t.node

@@ -4,7 +4,7 @@ from quarry.operators import graph as G
 from quarry.operators import paths as P
 from quarry.operators import walks as W
 from quarry.operators.components import connected_components
-from quarry.operators.hierarchy import descendants, hierarchy, path_text, subtree_sizes
+from quarry.operators.hierarchy import descendants, hierarchy, path_text, paths, peel, subtree_sizes
 from quarry.operators.skew import global_rank, lookup_join
 
 EDGES = [("f.1", "g.0", "call", []), ("f.1", "f.2", "ret", []), ("g.0", "g.3", "", [0]), ("g.3", "f.2", "may_ret", []), ("main.0", "f.0", "", [])]
@@ -95,7 +95,28 @@ def test_descendants(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (8, 8)], "p long, c long")
     h = hierarchy(df, "p", "c")
     assert {(r["ancestor"], r["descendant"], r["hops"]) for r in descendants(h).collect()} == {(1, 2, 1), (1, 3, 2), (2, 3, 1), (1, 4, 1)}
-    assert {(r["node"], r["n_inside"]) for r in subtree_sizes(h).collect()} == {(1, 3), (2, 1), (3, 0), (4, 0)}
+    peeled = peel(df, "p", "c")
+    assert {(r["node"], r["n_inside"], r["max_hops"]) for r in subtree_sizes(peeled, paths(peeled)).collect()} == {(1, 3, 2), (2, 1, 1), (3, 0, 0), (4, 0, 0)}
+
+
+def test_subtree_sizes_brute_force(spark):
+    rnd = random.Random(11)
+    parent = {i: (i - 1 if i % 5 else rnd.randrange(i)) for i in range(1, 400)} | {500: 501, 501: 502, 502: 500, 503: 500}
+    df = spark.createDataFrame([(p, c) for c, p in parent.items()], "p long, c long")
+    inside, hops = {i: 0 for i in range(400)}, {i: 0 for i in range(400)}
+    for i in range(1, 400):
+        at, n = i, 0
+        while at in parent:
+            at, n = parent[at], n + 1
+            inside[at] += 1
+            hops[at] = max(hops[at], n)
+    peeled = peel(df, "p", "c")
+    got = {r["node"]: (r["n_inside"], r["max_hops"]) for r in subtree_sizes(peeled, paths(peeled)).collect()}
+    assert got == {i: (inside[i], hops[i]) for i in range(400)}
+
+
+def test_empty_hierarchy(spark):
+    df = spark.createDataFrame([(1, 2)], "p long, c long")
     assert hierarchy(df.limit(0), "p", "c").count() == 0
 
 
