@@ -77,14 +77,14 @@ EVERY_LETTER = _Everything()
 TOKEN_COST, UTF8_COST, WEAK_COST, WEAK_TOKENS, AGREE_COST = 1.5, 0.9, 0.5, 3, 0.6
 STEP_COST, SWAP_COST, GOOD_COST, NEUTRAL_COST, LONE_SIGN_COST = 0.1, 0.6, 0.3, 0.25, 0.6
 MOST_STEPS, MOST_STATES = 3, 600
-CACHE_TOKENS = 200_000
+CACHE_TOKENS, CACHE_CHARS = 200_000, 1 << 16
 #: Letters of Russian text in 100,000, and the log odds from which a token of capitals, or of small letters, is another set's.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (10970, 8450, 8010, 7350, 6700, 6260, 5470, 4730, 4540, 4400, 3490, 3210, 2980, 2810, 2620, 2010, 1900, 1740, 1700, 1650, 1590, 1440, 1210, 970, 940, 730, 640, 480, 360, 320, 260, 40, 40), strict=True))
 CAPITALS_ODDS, SMALL_ODDS, NO_START_COST = 4.0, 7.0, 3.0
 SWAPPED = (("cp1251", "koi8_r"), ("koi8_r", "cp1251"))
 
 
-@functools.lru_cache(maxsize=500_000)
+@functools.lru_cache(maxsize=CACHE_CHARS)
 def _char_cost(c: str, before: str, after: str, letters: frozenset, lang: str) -> float:
     """How implausible the character beyond ASCII is between its neighbours ('' at the ends)."""
     o = ord(c)
@@ -156,12 +156,12 @@ def _char_cost(c: str, before: str, after: str, letters: frozenset, lang: str) -
     return 1.5 if o < 0x2700 and unicodedata.category(c)[0] in "SC" else 0.2
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=CACHE_CHARS)
 def _script(c: str) -> str:
     return "latin" if c < "ɐ" else unicodedata.name(c, "?").split(" ")[0].lower()
 
 
-@functools.lru_cache(maxsize=500_000)
+@functools.lru_cache(maxsize=CACHE_CHARS)
 def _odd_char(c: str, before: str, after: str) -> float:
     """``_char_cost`` without a language: every letter is as good as any other of its script."""
     if c.isalpha() and c not in "ªº" and c not in QUIET:
@@ -181,9 +181,11 @@ def _odd_char(c: str, before: str, after: str) -> float:
     return _char_cost(c, before, after, EVERY_LETTER, "es")
 
 
-@functools.lru_cache(maxsize=CACHE_TOKENS)
-def oddness(token: str) -> float:
-    """How little a token looks like text of any language: characters of several scripts, capitals or symbols within words, controls."""
+def oddness(token: str, limit: float = math.inf) -> float:
+    """How little a token looks like text of any language: characters of several scripts, capitals or symbols within words, controls.
+
+    Adding up ends beyond ``limit``.
+    """
     total, last = 0.0, len(token) - 1
     odd = sum("\xbf" < c < "\u0100" for c in token)
     if odd > 2 and 2 * odd > sum(map(str.isalpha, token)):
@@ -191,13 +193,15 @@ def oddness(token: str) -> float:
     for i, c in enumerate(token):
         if c > "\x7f":
             total += _odd_char(c, token[i - 1] if i else "", token[i + 1] if i < last else "")
+            if total > limit:
+                break
         elif c < " ":
             total += 4.0
     return total
 
 
-def cost(token: str, lang: str) -> float:
-    """Plausibility cost of a token in a language; 0 is fully plausible."""
+def cost(token: str, lang: str, limit: float = math.inf) -> float:
+    """Plausibility cost of a token in a language; 0 is fully plausible.  Adding up ends beyond ``limit``."""
     letters = NAMES if lang == "names" else LETTERS.get(lang, ANY_LATIN)
     total, last = 0.0, len(token) - 1
     odd = sum(c > "\xbf" and c < "ɐ" and c not in letters for c in token)
@@ -206,15 +210,17 @@ def cost(token: str, lang: str) -> float:
     for i, c in enumerate(token):
         if c > "\x7f":
             total += _char_cost(c, token[i - 1] if i else "", token[i + 1] if i < last else "", letters, lang)
+            if total > limit:
+                break
         elif c < " ":
             total += 4.0
     return total
 
 
-def token_cost(token: str, lang: str) -> float:
-    """The cost in the document's language, or 1 more than in any other one."""
-    own = cost(token, lang)
-    return own if own <= 1.0 else min(own, 1.0 + oddness(token))
+def token_cost(token: str, lang: str, limit: float = math.inf) -> float:
+    """The cost in the document's language, or 1 more than in any other one; anything beyond ``limit`` if it is more."""
+    own = cost(token, lang, limit)
+    return own if own <= 1.0 else min(own, 1.0 + oddness(token, limit))
 
 
 @functools.cache
@@ -286,10 +292,10 @@ def search(token: str, lang: str) -> tuple[float, str, str]:
     best, rest = (start, token, ""), start
     if start < 0.9:
         return 0.0, token, ""
-    seen = {hash(token)}
+    seen, found = {hash(token)}, False
     queue: list[tuple[float, int, int, str, str]] = [(start, 0, 0, token, "")]
     n = 0
-    while queue and n < MOST_STATES and best[0] >= GOOD_COST:
+    while queue and n < MOST_STATES and not found:
         at, steps, _, text, way = heapq.heappop(queue)
         if steps >= MOST_STEPS or steps and at >= start + STEP_COST and "unescape" not in way:
             continue
@@ -298,15 +304,18 @@ def search(token: str, lang: str) -> tuple[float, str, str]:
                 continue
             seen.add(h)
             n += 1
-            left = token_cost(s, lang)
+            left = token_cost(s, lang, start)
             if op.endswith(">utf_8") and len(s) < len(text) and LOSS not in s:  # strict sequences are evidence in any language
                 left = min(left, oddness(s) + NEUTRAL_COST + NEUTRAL_COST / (len(text) - len(s)) + (LONE_SIGN_COST if any(_script(c) not in NEAR_SCRIPTS for c in s if c.isalpha()) and len(text) - len(s) < 4 else 0.0))
             price = left + STEP_COST * (steps + 1) + (0.0 if "utf_8" in op or op == "unescape" else SWAP_COST)
             done = f"{way} {op}".strip()
             if price < best[0]:
                 best, rest = (price, s, done), left
-                if price < GOOD_COST:
+                if price < GOOD_COST or left < STEP_COST and not op.endswith(">utf_8"):  # no later edge is cheaper
+                    found = True
                     break
+            if left >= start and op != "unescape" and "unescape" not in way:
+                continue
             heapq.heappush(queue, (price, steps + 1, n, s, done))
     if not best[2] or rest > 0.4 * start:
         return 0.0, token, ""
