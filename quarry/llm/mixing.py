@@ -55,7 +55,8 @@ def solve(size: dict[str, int], cap: dict[str, int], target: dict[str, float] |
     Without a budget the largest one is taken at which the weights hold as
     they are (exponent 0, or the one with the target entropy).  With a budget
     the exponent grows from there until no source is repeated more than its
-    limit; what even the natural shares can't give is cut off.
+    limit; what even the natural shares can't give is cut off.  An entropy that
+    no exponent from 0 to 1 has gives the nearer end.
     """
     live = {s: n for s, n in size.items() if n > 0 and cap.get(s, 0) > 0 and (target is None or target.get(s, 0) > 0)}
     if not live:
@@ -102,7 +103,7 @@ def sized(docs: DataFrame, doc_id: str, text: str, source: str, targets: DataFra
     return cut(count_tokens(listed, ["doc_id", "source"], "text", path=path)), rows
 
 
-def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, budget: int | None = None, target_entropy: float | None = None, use_targets: bool = True, seed: int = 0, mix_blocks: int = 1000, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, budget: int | None = None, budget_share: float | None = None, target_entropy: float | None = None, use_targets: bool = True, seed: int = 0, mix_blocks: int = 1000, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(the mix, the report).
 
     The mix has one row for each use of a record: doc_id, source, epoch (from
@@ -110,6 +111,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     A source is used at most max_repeats times, its last pass to within half a
     record of its budget.  Records without a listed source are left out, those
     without tokens (null and empty texts) carry no share and are left out too.
+    ``budget`` is in tokens, ``budget_share`` in parts of all tokens of the listed sources.
     The report has one row for each listed source: its tokens and target, and
     the tokens, share and repeats reached; sources without tokens have 0, and
     the targets are normalised over the others.  Both are empty for empty
@@ -121,9 +123,11 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     tokens = {r["source"]: (totals[r["source"]]["n_tokens"] if r["source"] in totals else 0) for r in rows}
     cap = {r["source"]: r["max_repeats"] for r in rows}
     weight = {r["source"]: r["target_weight"] for r in rows}
+    if budget_share is not None:
+        budget = round(budget_share * sum(tokens.values()))
     plan = solve(tokens, cap, weight if use_targets else None, budget, target_entropy)
-    passes = [(s, int(n), e, n - e * tokens[s]) for s, n in plan.tokens.items() for e in range(-(-n // tokens[s]))]
-    epochs = F.broadcast(spark.createDataFrame(passes or [("", 0, 0, 0)], "source string, budget bigint, epoch int, room bigint"))
+    passes = [(s, int(n), e, n - e * tokens[s], tokens[s]) for s, n in plan.tokens.items() for e in range(-(-n // tokens[s]))]
+    epochs = F.broadcast(spark.createDataFrame(passes or [("", 0, 0, 0, 0)], "source string, budget bigint, epoch int, room bigint, whole bigint"))
     n_rows = sum(r["n_docs"] for r in totals.values())
     n_blocks = max(64, -(-n_rows // ROWS_A_BLOCK))
     used = sizes.where("n_tokens > 0").join(epochs, "source")
@@ -135,8 +139,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
     in_block = Window.partitionBy("source", "epoch", "_block").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = used.withColumn("_before", F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0))).join(offsets, ["source", "epoch", "_block"])
     before = F.col("_offset") + F.col("_before")
-    whole = F.create_map(*[x for s, n in tokens.items() for x in (F.lit(s), F.lit(int(n)))]) if tokens else F.create_map(F.lit(""), F.lit(0))
-    done = F.try_divide(F.col("epoch") * whole[F.col("source")] + before, F.col("budget"))
+    done = F.try_divide(F.col("epoch") * F.col("whole") + before, F.col("budget"))
     mixed = placed.where(before * 2 + F.col("n_tokens") <= F.col("room") * 2).select(
         "doc_id", "source", (F.col("epoch") + 1).alias("epoch"), "n_tokens", F.least(F.floor(done * mix_blocks), F.lit(mix_blocks - 1)).cast("int").alias("mix_block")
     )

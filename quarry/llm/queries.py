@@ -22,6 +22,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
 
 
+def p7_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the listed sources hold: small sources reach their limit and the exponent is bisected."""
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), budget_share=1.0)[0]
+
+
+def p7_budget_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), budget_share=1.0)[1]
+
+
+def p7_entropy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exponent at which the shares have the entropy 1.7."""
+    return mixing.mix(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), target_entropy=1.7)[1]
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     walks = terms.walk_labels(load(spark, sf_dir, "pathbased_walks"))
     return terms.term_frequencies(walks, "labels").withColumnRenamed("term", "label")
@@ -92,6 +106,9 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_budget_mix": p7_budget_mix,
+    "p7_budget_shares": p7_budget_shares,
+    "p7_entropy_shares": p7_entropy_shares,
     "p8_found": p8_found,
     "p8_restored": p8_restored,
 }

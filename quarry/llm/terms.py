@@ -3,10 +3,10 @@
 Each task numbers its records densely and turns every 32,768 of them (a chunk)
 into one container per term: the sorted 16-bit positions of its records while
 there are fewer than 2,048, else the 4,096-byte bitmap of Spark's bitmap
-functions; beside it stands the number of occurrences.  Containers of one term
-in different chunks share no record, so their union is the list of them and
-its cardinality, the document frequency, the sum of theirs; containers of one
-chunk are merged by ``union_bitmaps``.
+functions; beside it stands the number of occurrences.  The containers are
+brought together by term and merged by union chunk by chunk; a term's merged
+index is the list of its chunks' containers, which share no record, and its
+document frequency the cardinality of that list.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,18 +103,47 @@ def bitmap_index(records: DataFrame, terms: str) -> DataFrame:
     return records.select(lists.alias("terms")).mapInArrow(_index_partition, "term string, chunk bigint, bitmap binary, n_occurrences bigint")
 
 
-def union_bitmaps(index: DataFrame) -> DataFrame:
-    """Containers of one term and chunk (from several indexes of the same numbering) as one."""
-
-    @F.pandas_udf("binary")
-    def union(containers: pd.Series) -> bytes:
-        return pack(np.unique(np.concatenate([unpack(c) for c in containers])))
+def _union_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Containers sorted by term and chunk to one row for each term and chunk: their union and the sum of the counters."""
+
+    def united(t: pa.Table) -> pa.RecordBatch:
+        terms, chunks, n = t.column("term").combine_chunks(), t.column("chunk").to_numpy(), t.column("n_occurrences").to_numpy()
+        same = pc.equal(terms.slice(1), terms.slice(0, len(terms) - 1)).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+        null = pc.is_null(terms).to_numpy(zero_copy_only=False)
+        same |= null[1:] & null[:-1]
+        head = np.flatnonzero(np.append(True, ~(same & (chunks[1:] == chunks[:-1]))))
+        length = np.diff(np.append(head, len(terms)))
+        maps = t.column("bitmap").combine_chunks().take(pa.array(head))
+        if (length > 1).any():
+            each = maps.to_pylist()
+            for i in np.flatnonzero(length > 1):
+                several = t.column("bitmap").slice(int(head[i]), int(length[i])).to_pylist()
+                each[i] = pack(np.unique(np.concatenate([unpack(c) for c in several])))
+            maps = pa.array(each, pa.binary())
+        return pa.RecordBatch.from_arrays([terms.take(pa.array(head)), pa.array(chunks[head]), maps, pa.array(np.add.reduceat(n, head))], names=["term", "chunk", "bitmap", "n_occurrences"])
+
+    rest: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        last = t.slice(t.num_rows - 1).to_pylist()[0]
+        end = t.num_rows - 1
+        while end and t.column("chunk")[end - 1].as_py() == last["chunk"] and t.column("term")[end - 1].as_py() == last["term"]:
+            end -= 1
+        if end:
+            yield united(t.slice(0, end))
+        rest = t.slice(end)
+    if rest is not None:
+        yield united(rest)
 
-    @F.pandas_udf("bigint")
-    def total(n: pd.Series) -> int:
-        return n.sum()
 
-    return index.groupBy("term", "chunk").agg(union("bitmap").alias("bitmap"), total("n_occurrences").alias("n_occurrences"))
+def union_bitmaps(index: DataFrame) -> DataFrame:
+    """(term, chunk, bitmap, n_occurrences): the containers of each term and chunk merged by union, all of a term in one partition."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = index.select("term", "chunk", "bitmap", "n_occurrences").repartition(parts, "term").sortWithinPartitions("term", "chunk")
+    return placed.mapInArrow(_union_partition, "term string, chunk bigint, bitmap binary, n_occurrences bigint")
 
 
 def term_frequencies(records: DataFrame, terms: str, rare_below: int = 5, common_above: float = 0.25) -> DataFrame:
@@ -125,7 +154,7 @@ def term_frequencies(records: DataFrame, terms: str, rare_below: int = 5, common
     share ``common_above`` and null otherwise; a term that is both is rare.
     Counts are exact.  An empty table gives no rows.
     """
-    totals = bitmap_index(records, terms).groupBy("term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum(cardinality(F.col("bitmap"))).alias("n_records"))
+    totals = union_bitmaps(bitmap_index(records, terms)).groupBy("term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum(cardinality(F.col("bitmap"))).alias("n_records"))
     totals = cut(totals)
     everything = totals.where("term is null").select(F.col("n_records").alias("n_all"))  # one row
     share = F.col("n_records") / F.col("n_all")

@@ -296,6 +296,24 @@ def test_mix(spark):
     assert none.count() == 0 and empty.count() == 0
 
 
+def test_mix_for_a_budget_and_an_entropy(spark):
+    from quarry.llm import queries
+
+    out = {r["source"]: r for r in queries.p7_budget_shares(spark, "/root/testdata/sf0.001").collect()}
+    live = {s: r for s, r in out.items() if r["source_tokens"] and r["target_share"]}
+    x = next(iter(live.values()))["exponent"]
+    raw = {s: r["target_share"] ** (1 - x) * r["natural_share"] ** x for s, r in live.items()}
+    assert 0 < x < 1 and all(r["planned_share"] == pytest.approx(raw[s] / sum(raw.values()), rel=1e-9) for s, r in live.items())
+    budget = sum(r["source_tokens"] for r in live.values())
+    used = {s: r["planned_share"] * budget / r["source_tokens"] / r["max_repeats"] for s, r in live.items()}
+    assert max(used.values()) == pytest.approx(1, abs=1e-6)  # the least exponent at which no source passes its limit
+    assert all(r["most_uses"] <= r["max_repeats"] for r in out.values())
+    uses = Counter((r["source"], r["doc_id"]) for r in queries.p7_budget_mix(spark, "/root/testdata/sf0.001").collect())
+    assert all(n <= out[s]["max_repeats"] for (s, _), n in uses.items())
+    shares = [r["planned_share"] for r in queries.p7_entropy_shares(spark, "/root/testdata/sf0.001").collect() if r["planned_share"] > 0]
+    assert -sum(p * math.log(p) for p in shares) == pytest.approx(1.7, abs=1e-6)
+
+
 # garbled text
 
 
