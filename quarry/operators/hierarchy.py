@@ -22,7 +22,6 @@ from quarry.operators.skew import lookup_join
 from quarry.session import cut
 
 CYCLE, BELOW = "cycle", "below cycle"
-ROUNDS_AT_ONCE = 2
 
 
 def latest_links(df: DataFrame, parent: str, child: str, loaded_at: str | None) -> DataFrame:
@@ -79,11 +78,11 @@ def _peel(rows: DataFrame, r: int) -> DataFrame:
         leaf.alias("leaf"),
     )
     spliced = out.select("node", "parent", "seg", "acc", "h", F.lit(r).alias("gone"), F.lit(False).alias("leaf"))
-    return rest.unionByName(spliced).unionByName(rows.where("gone is not null"))
+    return rest.unionByName(spliced)
 
 
 def peel(df: DataFrame, parent: str, child: str, loaded_at: str | None = None) -> Peeled:
-    """Remove all leaves, and chains, round by round; ``ROUNDS_AT_ONCE`` rounds run between two checkpoints."""
+    """Remove all leaves, and nodes of chains, round by round."""
     ids = df.select(F.explode(F.array(F.col(parent), F.col(child))).alias("node")).where("node is not null").distinct()
     state = ids.join(latest_links(df, parent, child, loaded_at), "node", "left")
     kind = dict(ids.dtypes)["node"]
@@ -92,13 +91,10 @@ def peel(df: DataFrame, parent: str, child: str, loaded_at: str | None = None) -
     rows = cut(state.withColumns({"acc": zero, "h": zero, "gone": F.lit(None).cast("int"), "leaf": F.lit(False)}))
     removed, r = [], 0
     while True:
-        first = r
-        for _ in range(ROUNDS_AT_ONCE):
-            rows = _peel(rows, r)
-            r += 1
-        done = cut(rows)
-        removed.append(done.where(F.col("gone") >= first))
-        rows = done.where(F.col("gone").isNull() | (F.col("gone") == r - 1))
+        done = cut(_peel(rows, r))
+        removed.append(done.where(F.col("gone") == r))
+        rows = done.where(F.col("gone").isNull() | F.col("leaf"))
+        r += 1
         if rows.where("gone is null").isEmpty():
             break
     every = removed[0]

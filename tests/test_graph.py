@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
