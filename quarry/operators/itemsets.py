@@ -1,9 +1,11 @@
 """Frequent, closed, maximal and generator itemsets.
 
-Mining is level-wise over a vertical layout: each task turns blocks of
-transactions into item columns, forms the intersection of a prefix once and
-multiplies the weights with the columns of all its extensions.  Only the
-supports of the candidates are shuffled, whatever the number of transactions.
+Mining is level-wise.  Pairs are added up as they occur, so their number is
+bounded by the data and not by the square of the items.  From three items on
+each task turns blocks of transactions into item columns, forms the
+intersection of a prefix once and multiplies the weights with the columns of
+all its extensions.  Only supports are shuffled, whatever the number of
+transactions; levels and candidates stay in the cluster.
 """
 
 from __future__ import annotations
@@ -13,17 +15,18 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.pairs import pair_sums
+from quarry.operators.skew import global_rank, lookup_join
 from quarry.operators.transactions import collapse, item_frequencies
 from quarry.session import cut
 
-MOST_CANDIDATES = 5_000_000
-BLOCK = 8192
+CANDIDATES_AT_ONCE = 500_000
+BLOCK, CELLS = 8192, 64_000_000
 SET_SCHEMA = "items array<string>, size int, supp double"
 
 
@@ -39,83 +42,114 @@ def rule_supports(s: float, confidence: float, total: float, rule_support: bool
     return max(1, least), body
 
 
-def _candidates(level: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
-    """Sets one longer whose subsets are all in the sorted level."""
-    known, out = set(level), []
-    for _, some in groupby(level, key=lambda s: s[:-1]):
-        some = list(some)
-        for i, a in enumerate(some):
-            for b in some[i + 1 :]:
-                c = (*a, b[-1])
-                if all(c[:j] + c[j + 1 :] in known for j in range(len(c) - 2)):
-                    out.append(c)
-                    if len(out) > MOST_CANDIDATES:
-                        raise ValueError(f"more than {MOST_CANDIDATES} candidates: raise the support")
-    return out
+def _pairs(coded: DataFrame, n_codes: int) -> DataFrame:
+    """(codes, supp) of the pairs of codes that stand together."""
+    run = pair_sums(max(n_codes, 1))
+    rows = coded.withColumn("basket", F.monotonically_increasing_id()).select("basket", F.explode("codes").alias("code"), "wgt")
+    rows = rows.select("basket", F.lit(0).alias("slice"), F.col("code").cast("bigint").alias("code"), "wgt")  # the rows of a list stay together and in order
+    sums = rows.mapInArrow(run, "code_a bigint, code_b bigint, total double").groupBy("code_a", "code_b").agg(F.sum("total").alias("supp"))
+    return sums.select(F.array(F.col("code_a").cast("int"), F.col("code_b").cast("int")).alias("codes"), "supp")
 
 
-def frequent(tx: DataFrame, least: float, largest: int = 0, items: list[str] | None = None) -> DataFrame:
+def _candidates(level: DataFrame, size: int) -> DataFrame:
+    """(codes): sets of ``size`` codes whose subsets are all in ``level``, the sets one smaller."""
+    prefix = lambda n: level.select(F.slice("codes", 1, size - 2).alias("p"), F.get("codes", F.lit(size - 2)).alias(n))
+    joined = prefix("a").join(prefix("b"), "p").where("a < b").select(F.concat("p", F.array("a", "b")).alias("codes"))
+    part = F.transform(F.sequence(F.lit(1), F.lit(size - 2)), lambda j: F.filter("codes", lambda x, i: i + 1 != j))
+    parts = joined.select("codes", F.explode(part).alias("part"))
+    known = level.select(F.col("codes").alias("part"))
+    return parts.join(known, "part", "left_semi").groupBy("codes").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == size - 2).select("codes")
+
+
+def frequent(tx: DataFrame, least: float, largest: int = 0, items: list[str] | None = None, collapsed: bool = False) -> DataFrame:
     """(items, size, supp) of all sets of at least one item with summed weight ``least`` or more.
 
     ``largest`` bounds the size (0: none), ``items`` selects items.  Weights
-    come from ``wgt`` (1 if absent); equal transactions are collapsed first.
-    Empty transactions hold no set; an empty table has none.
+    come from ``wgt`` (1 if absent); equal transactions are collapsed first
+    unless they are ``collapsed`` and cut already.  Empty transactions hold no
+    set; an empty table has none.  Neither items nor candidates nor results
+    pass through the driver, but for ``CANDIDATES_AT_ONCE`` candidates at a time.
     """
-    spark = tx.sparkSession
-    base = cut(collapse(tx))
+    base = tx if collapsed else cut(collapse(tx))
     freq = item_frequencies(base).where(F.col("frq") >= least)
     if items is not None:
         freq = freq.where(F.col("item").isin(list(items)))
-    first = freq.orderBy("frq", "item").limit(MOST_CANDIDATES + 1).toPandas()
-    names = first["item"].tolist()
-    out = [(names[i],) for i in range(len(names))]
-    supports = first["frq"].astype(float).tolist()
-    code = {v: i for i, v in enumerate(names)}
-    level = [(i,) for i in range(len(names))]
-    if len(names) > 1 and largest != 1:
-        table = F.broadcast(spark.createDataFrame(list(code.items()), "item string, code int"))
-        rows = base.withColumn("_t", F.monotonically_increasing_id()).select("_t", "wgt", F.explode("items").alias("item")).join(table, "item")
-        coded = cut(rows.groupBy("_t").agg(F.first("wgt").cast("double").alias("wgt"), F.array_sort(F.collect_list("code")).alias("codes")).where(F.size("codes") > 1).groupBy("codes").agg(F.sum("wgt").alias("wgt")))
-    size = 1
-    while len(level) > 1 and (not largest or size < largest):
-        cand = _candidates(level)
-        if not cand:
-            break
-        size += 1
-        found = _count(coded, cand, len(names)).where(F.col("supp") >= least).toPandas()  # at most the candidates
-        hits = sorted((cand[i], s) for i, s in zip(found["cand"], found["supp"]))
-        level = [c for c, _ in hits]
-        out += [tuple(names[i] for i in c) for c, _ in hits]
-        supports += [s for _, s in hits]
-    rows = pd.DataFrame({"items": [sorted(s) for s in out], "size": [len(s) for s in out], "supp": supports})
-    return spark.createDataFrame(rows if len(rows) else [], SET_SCHEMA)
-
-
-def _count(coded: DataFrame, cand: list[tuple[int, ...]], n_items: int) -> DataFrame:
-    """(cand, supp) of the candidates by position."""
+    first = cut(global_rank(freq.select("item", F.col("frq").cast("double").alias("frq")), ["frq", "item"]).select("item", (F.col("rank") - 1).cast("int").alias("code"), "frq"))
+    n_codes = first.count()
+    levels = [first.select(F.array("code").alias("codes"), F.col("frq").alias("supp"))]
+    if n_codes > 1 and largest != 1:
+        rows = cut(base.withColumn("_t", F.monotonically_increasing_id()).select("_t", F.col("wgt").cast("double").alias("wgt"), F.explode("items").alias("item")))
+        rows = lookup_join(rows, first.select("item", "code"), "item").where("code is not null")
+        lists = rows.groupBy("_t").agg(F.first("wgt").alias("wgt"), F.array_sort(F.collect_list("code")).alias("codes")).where(F.size("codes") > 1)
+        coded = cut(lists.groupBy("codes").agg(F.sum("wgt").alias("wgt")))
+        level, size = cut(_pairs(coded, n_codes).where(F.col("supp") >= least)), 2
+        while not level.isEmpty():
+            levels.append(level)
+            if largest and size >= largest:
+                break
+            size += 1
+            level = _count(coded, cut(_candidates(level, size)), least)
+            if level is None:
+                break
+    sets = levels[0]
+    for x in levels[1:]:
+        sets = sets.unionByName(x)
+    named = sets.select("codes", "supp", F.explode("codes").alias("code")).join(first.select("code", "item"), "code")
+    named = named.groupBy("codes").agg(F.first("supp").alias("supp"), F.array_sort(F.collect_list("item")).alias("items"))
+    return cut(named.select("items", F.size("items").alias("size"), "supp"))
+
+
+def _count(coded: DataFrame, cand: DataFrame, least: float) -> DataFrame | None:
+    """(codes, supp) of the candidates that reach ``least``, one pass for each ``CANDIDATES_AT_ONCE`` of them."""
+    n = cand.count()
+    if not n:
+        return None
+    chunks = -(-n // CANDIDATES_AT_ONCE)
+    found = None
+    for k in range(chunks):
+        some = sorted(tuple(r[0]) for r in cand.where(F.pmod(F.xxhash64("codes"), F.lit(chunks)) == k).select("codes").collect())
+        if not some:
+            continue
+        got = cut(_count_some(coded, some).where(F.col("supp") >= least))
+        found = got if found is None else found.unionByName(got)
+    return found
+
+
+def _count_some(coded: DataFrame, cand: list[tuple[int, ...]]) -> DataFrame:
+    """(codes, supp) of sorted candidates by intersecting columns of blocks of transactions."""
     groups = []
     at = 0
     for prefix, some in groupby(cand, key=lambda c: c[:-1]):
         ends = [c[-1] for c in some]
-        groups.append((prefix, np.array(ends), at))
+        groups.append((list(prefix), np.array(ends), at))
         at += len(ends)
-    shared = coded.sparkSession.sparkContext.broadcast(groups)
+    shared = coded.sparkSession.sparkContext.broadcast((groups, cand))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(at)
+        groups, cand = shared.value
+        total = np.zeros(len(cand))
         for whole in batches:
             for k in range(0, whole.num_rows, BLOCK):
                 lists, w = whole.column(0).slice(k, BLOCK), whole.column(1).slice(k, BLOCK).to_numpy()
-                m = np.zeros((n_items, len(lists)), bool)
-                m[lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))] = True
-                for prefix, ends, start in shared.value:
-                    rows = np.flatnonzero(m[list(prefix)].all(0))
-                    if len(rows):
-                        total[start : start + len(ends)] += m[np.ix_(ends, rows)] @ w[rows]
+                codes, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                step = max(1, CELLS // max(len(codes), 1))
+                for lo in range(0, len(lists), step):  # a bounded matrix of the block's own codes; the last row is empty
+                    inside = (owner >= lo) & (owner < lo + step)
+                    n = min(step, len(lists) - lo)
+                    m = np.zeros((len(codes) + 1, n), bool)
+                    m[place[inside], owner[inside] - lo] = True
+                    row = {int(c): i for i, c in enumerate(codes)}
+                    for prefix, ends, start in groups:
+                        if any(c not in row for c in prefix):
+                            continue
+                        hit = np.flatnonzero(m[[row[c] for c in prefix]].all(0))
+                        if len(hit):
+                            total[start : start + len(ends)] += m[np.ix_([row.get(int(e), len(codes)) for e in ends], hit)] @ w[lo + hit]
         hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["cand", "supp"])
+        yield pa.RecordBatch.from_arrays([pa.array([cand[i] for i in hit], pa.list_(pa.int32())), pa.array(total[hit])], names=["codes", "supp"])
 
-    return coded.mapInArrow(run, "cand bigint, supp double").groupBy("cand").agg(F.sum("supp").alias("supp"))
+    return coded.select("codes", "wgt").mapInArrow(run, "codes array<int>, supp double").groupBy("codes").agg(F.sum("supp").alias("supp"))
 
 
 def subsets_one_smaller(sets: DataFrame) -> DataFrame:
@@ -152,11 +186,12 @@ def mine(tx: DataFrame, *, target: str = "s", support: float = 10.0, most_suppor
     bounds apply after the target's test.  The empty set is reported with
     ``least_size`` 0.
     """
-    total = collapse(tx).agg(F.coalesce(F.sum("wgt"), F.lit(0)).cast("double").alias("w")).first()["w"] or 0.0
+    base = cut(collapse(tx))
+    total = base.agg(F.coalesce(F.sum("wgt"), F.lit(0)).cast("double").alias("w")).first()["w"] or 0.0
     least = max(absolute_support(support, total), 1e-9)
     kind = TARGETS[target]
     reach = largest_size + 1 if largest_size and kind in ("closed", "maximal") else largest_size
-    sets = frequent(tx, least, reach, items)
+    sets = frequent(base, least, reach, items, collapsed=True)
     if kind == "closed":
         sets = closed(sets)
     elif kind == "maximal":

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from quarry.functions.measures import MEASURES, log_quotient, measure, passes
 from quarry.operators.itemsets import frequent, rule_supports, subsets_one_smaller
 from quarry.operators.transactions import collapse
+from quarry.session import cut
 
 #: fixed values: spellings of where an item may appear in a rule
 APPEARANCES = {
     "none": "n", "neither": "n", "ignore": "n", "n": "n", "-": "n",
     "body": "b", "in": "b", "inp": "b", "input": "b", "b": "b", "i": "b", "a": "b", "antecedent": "b", "ante": "b",
     "head": "h", "out": "h", "output": "h", "h": "h", "o": "h", "c": "h", "cons": "h", "consequent": "h",
-    "both": "x", "inout": "x", "io": "x", "in&out": "x", "x": "x", "bh": "x", "ac": "x", "a&c": "x", "canda": "x",
+    "both": "x", "inout": "x", "io": "x", "in&out": "x", "x": "x", "bh": "x", "ac": "x", "a&c": "x", "canda": "x", "i&o": "x", "c&a": "x", "b&h": "x", "h&b": "x",
 }
 
 
@@ -58,9 +59,10 @@ def rules_of(sets: DataFrame, total: float, least_body: float, confidence: float
 
 def mine_rules(tx: DataFrame, support: float = 10.0, confidence: float = 80.0, largest: int = 0, **options) -> DataFrame:
     """Rules straight from transactions; see ``rules_of``."""
-    total = collapse(tx).agg(F.coalesce(F.sum("wgt"), F.lit(0)).cast("double")).first()[0] or 0.0
+    base = cut(collapse(tx))
+    total = base.agg(F.coalesce(F.sum("wgt"), F.lit(0)).cast("double")).first()[0] or 0.0
     least, body = rule_supports(support, confidence, total)
-    return rules_of(frequent(tx, least, largest), total, body, confidence, **options)
+    return rules_of(frequent(base, least, largest, collapsed=True), total, body, confidence, **options)
 
 
 def evaluate(rules: DataFrame, codes: str) -> DataFrame:
