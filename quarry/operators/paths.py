@@ -159,27 +159,27 @@ def error_code_uses(instructions: DataFrame, edges: DataFrame, codes: DataFrame)
     return before.join(instructions.select("node", "location"), "node").where("location is not null").select("location").distinct()
 
 
-def branch_safety(predicate: Column, constant: Column) -> Column:
-    """Which branch of ``value <predicate> constant`` is without error: struct(safe, unsafe) of T, F or N.
-
-    Error codes are negative: the branch that keeps only values from 0 on is
-    safe, the one that keeps only negative values is unsafe.
+def branch_safety(predicate: Column, constant: Column, is_code: Column, right_constant: Column | None = None, positive: bool = False) -> Column:
+    """Which branch of a comparison with a constant is without error: struct(safe, unsafe) of T, F or N (neither).
+
+    Only comparisons with zero or an error code are error tests.  Being less
+    than either is the error, on the side where the constant stands on the
+    right; with ``right_constant`` false the branches of the signed predicates
+    swap, and with error codes of ``positive`` sign once more.  Equality tells
+    the error branch for a code and both for zero; inequality tells nothing for
+    a code.  Other predicates tell nothing.
     """
-    t, f, n = F.lit("T"), F.lit("F"), F.lit("N")
-    out = lambda s, u: F.struct(s.alias("safe"), u.alias("unsafe"))
-    zero, neg = constant == 0, constant < 0
+    out = lambda s, u: F.struct(F.lit(s).alias("safe"), F.lit(u).alias("unsafe"))
+    zero = constant == 0
+    right = F.lit(True) if right_constant is None else right_constant
+    below = predicate.isin("slt", "sle")
+    first = (below == right) != F.lit(positive)  # the error is where the comparison holds
+    tests = F.coalesce(zero | is_code, F.lit(False))
     return (
-        F.when((predicate == "eq") & zero, out(t, f))
-        .when((predicate == "eq") & neg, out(f, t))
-        .when((predicate == "ne") & zero, out(f, t))
-        .when((predicate == "ne") & neg, out(t, f))
-        .when((predicate == "slt") & zero, out(f, t))
-        .when((predicate == "sge") & zero, out(t, f))
-        .when((predicate == "sgt") & (constant == -1), out(t, f))
-        .when((predicate == "sle") & (constant == -1), out(f, t))
-        .when((predicate == "sgt") & zero, out(t, f))
-        .when((predicate == "sle") & zero, out(f, t))
-        .otherwise(out(n, n))
+        F.when(tests & (below | predicate.isin("sgt", "sge")), F.when(first, out("F", "T")).otherwise(out("T", "F")))
+        .when(tests & (predicate == "eq"), F.when(zero, out("T", "F")).otherwise(out("N", "T")))
+        .when(tests & (predicate == "ne"), F.when(zero, out("F", "T")).otherwise(out("N", "N")))
+        .otherwise(out("N", "N"))
     )
 
 

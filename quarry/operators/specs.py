@@ -158,9 +158,11 @@ def synonym_sets(a: DataFrame, similar: DataFrame, least: float) -> DataFrame:
 def merge_edges(rules: DataFrame, similar: DataFrame, least: float, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges between rule ids, all rules named in them) by synonym merging.
 
-    Two rules are compared if they share a name on exactly one side, or if all
-    their sides have one name and both pairs are more similar than ``least``;
-    then the crossed rules arise too.  ``compat`` builds rules from the shared
+    Two rules that share a name on exactly one side produce rules of the
+    shared names and each synonym of the other side; the produced ones are
+    linked with each other.  Two rules whose sides all have one name, with both
+    pairs more similar than ``least``, are linked with each other and with the
+    crossed rules.  ``compat`` builds rules from the shared
     context where the responses meet, as the published procedure does.
     """
     r = rules.select("rule_id", "context", "response").distinct()
@@ -184,7 +186,8 @@ def merge_edges(rules: DataFrame, similar: DataFrame, least: float, compat: bool
         else:
             new = new.select("pair_id", "id_a", "id_b", F.col("shared" if side == "c" else "names").alias("context"), F.col("names" if side == "c" else "shared").alias("response"))
         new = with_id(new)
-        e = new.select("id_a", F.explode(F.array("id_b", "rule_id")).alias("id_b"))
+        # the produced rules of a pair belong together; a single one has no partner
+        e = new.select(F.min("rule_id").over(Window.partitionBy("pair_id")).alias("id_a"), F.col("rule_id").alias("id_b")).where("id_a <> id_b")
         edges = e if edges is None else edges.unionByName(e)
         made = new.select("rule_id", "context", "response") if made is None else made.unionByName(new.select("rule_id", "context", "response"))
     single = r.where((F.size("context") == 1) & (F.size("response") == 1)).select("rule_id", F.get("context", F.lit(0)).alias("c"), F.get("response", F.lit(0)).alias("p"))

@@ -54,20 +54,20 @@ def transaction_round_trip(spark, sf_dir):
 
 
 def set_lines(spark, sf_dir):
-    return R.write_sets(I.mine(baskets(spark, sf_dir), support=DEEP, largest_size=2), " (%a)")
+    return R.write_sets(I.mine(baskets(spark, sf_dir), support=DEEP), " (%a)")
 
 
-def rule_lines(spark, sf_dir, largest=2):
-    return R.write_rules(_rules(spark, sf_dir, largest), " (%a, %b)")
+def rule_lines(spark, sf_dir):
+    return R.write_rules(_rules(spark, sf_dir), " (%a, %b)")
 
 
 def spectrum_lines(spark, sf_dir):
-    return R.write_spectrum(I.spectrum(I.mine(baskets(spark, sf_dir), support=DEEP, largest_size=3)))
+    return R.write_spectrum(I.spectrum(I.mine(baskets(spark, sf_dir), support=DEEP)))
 
 
-def spec_table_round_trip(spark, sf_dir, largest=2):
+def spec_table_round_trip(spark, sf_dir):
     h = handlers(spark, sf_dir)
-    r = rules(spark, sf_dir, h, largest)
+    r = rules(spark, sf_dir, h)
     c = S.confidences(r.withColumn("group_id", F.col("rule_id")), h).select(F.col("group_id").alias("rule_id"), "support", F.col("global_confidence").alias("confidence"))
     back = D.read_specs({k: cut(v) for k, v in D.spec_tables(cut(r.join(c, "rule_id"))).items()})
     return back.select("id", "support", F.round("confidence", 8).alias("confidence"), F.array_join("context", " ").alias("context"), F.array_join("response", " ").alias("response"))
@@ -79,9 +79,13 @@ def item_of_instruction(spark, sf_dir):
 
 
 def branch_safety(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").select("event_id", F.when(F.col("value") > 50, "slt").otherwise("eq").alias("predicate"), F.when(F.col("event_id") % 2 == 0, 0).otherwise(-5).alias("constant"))
-    s = P.branch_safety(F.col("predicate"), F.col("constant"))
-    return rows.select("event_id", s["safe"].alias("safe"), s["unsafe"].alias("unsafe"))
+    """Every predicate with zero, an error code, a negative number that is none, and a positive one, on either side."""
+    predicates = F.array(*[F.lit(x) for x in ("eq", "ne", "slt", "sle", "sgt", "sge", "ult")])
+    number = F.col("event_id")
+    rows = load(spark, sf_dir, "events").select("event_id", F.get(predicates, (number % 7).cast("int")).alias("predicate"), F.get(F.array(*[F.lit(x) for x in (0, -5, -7, 3)]), (number % 4).cast("int")).alias("constant"), (number % 3 == 0).alias("right"))
+    code = F.col("constant") == -5
+    s, p = (P.branch_safety(F.col("predicate"), F.col("constant"), code, F.col("right"), positive) for positive in (False, True))
+    return rows.select("event_id", s["safe"].alias("safe"), s["unsafe"].alias("unsafe"), p["safe"].alias("positive_safe"), p["unsafe"].alias("positive_unsafe"))
 
 
 def caller_pairs(spark, sf_dir):
@@ -112,9 +116,6 @@ def context_paths(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (edge_lines, walk_round_trip, vector_round_trip, cluster_round_trip, relation_round_trip, transaction_round_trip, set_lines, rule_lines, spectrum_lines, spec_table_round_trip, item_of_instruction, branch_safety, caller_pairs, context_paths)}
-#: The whole job of queries whose SQL bounds the size of sets.
-QUERIES |= {f"{f.__name__}_whole": partial(f, largest=0) for f in (rule_lines, spec_table_round_trip)}
-
 from quarry.plans.gold_queries import _CLS, _REL  # noqa: E402
 from quarry.plans.graph_queries import _E  # noqa: E402
 from quarry.plans.mining_queries import _DEEP_SQL, _PICK, _RULES, _TX, _all  # noqa: E402
@@ -127,12 +128,17 @@ SQL = {
     "cluster_round_trip": f"with {_CLS}, n as (select cluster_id, count(*)::bigint as n from clusters group by 1) select n, count(*)::bigint as clusters from n group by 1",
     "relation_round_trip": f"with {_REL} select true as must, name as a, wrapper as b from pairs union all select false, x, y from apart",
     "transaction_round_trip": f"with {_TX}, b as (select tid, string_agg(item, ' ' order by item) as items from tx group by tid) select items, (2 * count(*))::bigint as wgt from b group by 1",
-    "set_lines": f"with {_all(_DEEP_SQL)} select items || ' (' || supp::varchar || ')' as value from sets where size <= 2",
-    "rule_lines": f"with {_RULES} select head || ' <- ' || body || ' (' || s::bigint::varchar || ', ' || bs::bigint::varchar || ')' as value from rules {_PICK}",
-    "spectrum_lines": f"with {_all(_DEEP_SQL)} select size::varchar || ' ' || supp::varchar || ' ' || count(*)::varchar as value from sets group by size, supp",
-    "spec_table_round_trip": f"with {_H} select row_number() over (order by rule_id) as id, support, round(g, 8) as confidence, c as context, p as response from conf join rules using (rule_id)",
+    "set_lines": f"with recursive {_all(_DEEP_SQL)} select items || ' (' || supp::varchar || ')' as value from sets",
+    "rule_lines": f"with recursive {_RULES} select head || ' <- ' || body || ' (' || s::bigint::varchar || ', ' || bs::bigint::varchar || ')' as value from rules {_PICK}",
+    "spectrum_lines": f"with recursive {_all(_DEEP_SQL)} select size::varchar || ' ' || supp::varchar || ' ' || count(*)::varchar as value from sets group by size, supp",
+    "spec_table_round_trip": f"with recursive {_H} select row_number() over (order by rule_id) as id, support, round(g, 8) as confidence, c as context, p as response from conf join rules using (rule_id)",
     "item_of_instruction": "select event_id as node, event_type as name, case event_type when 'click' then 'CALL' else 'STORE' end as type from events where event_type in ('click', 'view')",
-    "branch_safety": "select event_id, case when value > 50 then case when event_id % 2 = 0 then 'F' else 'N' end else case when event_id % 2 = 0 then 'T' else 'F' end end as safe, case when value > 50 then case when event_id % 2 = 0 then 'T' else 'N' end else case when event_id % 2 = 0 then 'F' else 'T' end end as unsafe from events",
+    "branch_safety": """with e as (select event_id, ['eq', 'ne', 'slt', 'sle', 'sgt', 'sge', 'ult'][event_id % 7 + 1] as p, [0, -5, -7, 3][event_id % 4 + 1] as c, event_id % 3 = 0 as r from events),
+table_of(p, c, safe, unsafe) as (values ('eq', 0, 'T', 'F'), ('eq', -5, 'N', 'T'), ('ne', 0, 'F', 'T'), ('ne', -5, 'N', 'N'),
+  ('slt', 0, 'F', 'T'), ('slt', -5, 'F', 'T'), ('sle', 0, 'F', 'T'), ('sle', -5, 'F', 'T'), ('sgt', 0, 'T', 'F'), ('sgt', -5, 'T', 'F'), ('sge', 0, 'T', 'F'), ('sge', -5, 'T', 'F'))
+select event_id, coalesce(case when signed and not r then unsafe else safe end, 'N') as safe, coalesce(case when signed and not r then safe else unsafe end, 'N') as unsafe,
+  coalesce(case when signed and r then unsafe else safe end, 'N') as positive_safe, coalesce(case when signed and r then safe else unsafe end, 'N') as positive_unsafe
+from (select *, p in ('slt', 'sle', 'sgt', 'sge') as signed from e) left join table_of using (p, c)""",
     "context_paths": f"with {_E} select distinct 'PATH_BEGIN ' || inner_fn || ' PATH_END' as value from pairs",
     "caller_pairs": f"with {_E} select distinct split_part(target, '.', 1) as call, 'CALLER_' || split_part(source, '.', 1) as caller from edges where label = 'call'",
 }

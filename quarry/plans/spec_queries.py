@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from quarry.operators import specs as S
@@ -16,8 +14,8 @@ def handlers(spark, sf_dir):
     return cut(S.load_handlers(*[load(spark, sf_dir, t) for t in ("eh_handler", "eh_context", "eh_response")]))
 
 
-def rules(spark, sf_dir, h=None, largest=0):
-    return cut(S.mine_rules(h if h is not None else handlers(spark, sf_dir), _least(spark, sf_dir), largest))
+def rules(spark, sf_dir, h=None):
+    return cut(S.mine_rules(h if h is not None else handlers(spark, sf_dir), _least(spark, sf_dir)))
 
 
 def _least(spark, sf_dir):
@@ -39,34 +37,34 @@ def handler_sentences(spark, sf_dir):
     return S.sentences(handlers(spark, sf_dir)).select("tid", F.array_join("items", " ").alias("items"))
 
 
-def mined_rules(spark, sf_dir, largest=2):
-    return rules(spark, sf_dir, largest=largest).select("rule_id", "mined")
+def mined_rules(spark, sf_dir):
+    return rules(spark, sf_dir).select("rule_id", "mined")
 
 
-def rule_supporting_handlers(spark, sf_dir, largest=2):
+def rule_supporting_handlers(spark, sf_dir):
     h = handlers(spark, sf_dir)
-    return S.supporting(rules(spark, sf_dir, h, largest), h)
+    return S.supporting(rules(spark, sf_dir, h), h)
 
 
-def rule_results(spark, sf_dir, largest=2):
+def rule_results(spark, sf_dir):
     h = handlers(spark, sf_dir)
-    return S.results(rules(spark, sf_dir, h, largest), h)
+    return S.results(rules(spark, sf_dir, h), h)
 
 
-def rule_missing_items(spark, sf_dir, largest=2):
+def rule_missing_items(spark, sf_dir):
     h = handlers(spark, sf_dir)
-    return S.missing_items(rules(spark, sf_dir, h, largest), h).select("rule_id", "loc", F.array_join("missing", " ").alias("missing"))
+    return S.missing_items(rules(spark, sf_dir, h), h).select("rule_id", "loc", F.array_join("missing", " ").alias("missing"))
 
 
-def rule_confidences(spark, sf_dir, largest=2):
+def rule_confidences(spark, sf_dir):
     h = handlers(spark, sf_dir)
-    c = S.confidences(rules(spark, sf_dir, h, largest).withColumn("group_id", F.col("rule_id")), h)
+    c = S.confidences(rules(spark, sf_dir, h).withColumn("group_id", F.col("rule_id")), h)
     return c.select(F.col("group_id").alias("rule_id"), "support", "applicable", F.round("global_confidence", 8).alias("global_confidence"), F.round("local_confidence", 8).alias("local_confidence"))
 
 
-def rule_implementations(spark, sf_dir, largest=2):
+def rule_implementations(spark, sf_dir):
     h = handlers(spark, sf_dir)
-    return S.cross_implementation(rules(spark, sf_dir, h, largest).withColumn("group_id", F.col("rule_id")), h).withColumnRenamed("group_id", "rule_id")
+    return S.cross_implementation(rules(spark, sf_dir, h).withColumn("group_id", F.col("rule_id")), h).withColumnRenamed("group_id", "rule_id")
 
 
 def merge_rule_classes(spark, sf_dir):
@@ -79,21 +77,21 @@ def ranked_specs(spark, sf_dir):
     return S.ranked_specs(r, h, S.merge_rules(r, similar(spark, sf_dir), 0.6))
 
 
-def spec_best_per_response(spark, sf_dir, largest=2):
+def spec_best_per_response(spark, sf_dir):
     h = handlers(spark, sf_dir)
-    r = rules(spark, sf_dir, h, largest)
+    r = rules(spark, sf_dir, h)
     c = S.confidences(r.withColumn("group_id", F.col("rule_id")), h).select(F.col("group_id").alias("rule_id"), F.col("support").alias("merged_support"), "local_confidence")
     return S.best_per_response(r.join(c, "rule_id"), 0.3).select("rule_id", "merged_support", F.round("local_confidence", 8).alias("local_confidence"))
 
 
-def specs_without_listed(spark, sf_dir, largest=2):
+def specs_without_listed(spark, sf_dir):
     h = handlers(spark, sf_dir)
     often = h.select(F.explode("context").alias("name")).groupBy("name").count().orderBy(F.desc("count"), "name").limit(5)
-    return S.drop_listed(rules(spark, sf_dir, h, largest), [r["name"] for r in often.collect()]).select("rule_id")
+    return S.drop_listed(rules(spark, sf_dir, h), [r["name"] for r in often.collect()]).select("rule_id")
 
 
-def specs_not_subsumed(spark, sf_dir, largest=2):
-    return S.drop_subsumed(rules(spark, sf_dir, largest=largest)).select("rule_id")
+def specs_not_subsumed(spark, sf_dir):
+    return S.drop_subsumed(rules(spark, sf_dir)).select("rule_id")
 
 
 def handlers_with_classes(spark, sf_dir):
@@ -124,9 +122,6 @@ def compare_thresholds(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (handler_sides, handler_sentences, mined_rules, rule_supporting_handlers, rule_results, rule_missing_items, rule_confidences, rule_implementations, merge_rule_classes, ranked_specs, spec_best_per_response, specs_without_listed, specs_not_subsumed, handlers_with_classes, handler_transactions, handlers_holding, spec_similarity, compare_thresholds)}
-#: The whole job of queries whose SQL bounds a rule to one name on each side.
-QUERIES |= {f"{f.__name__}_whole": partial(f, largest=0) for f in (mined_rules, rule_supporting_handlers, rule_results, rule_missing_items, rule_confidences, rule_implementations, spec_best_per_response, specs_without_listed, specs_not_subsumed)}
-
 _N = "nullif(trim(split_part(trim({}, ' \t'), '.', 1), ' \t'), '')"
 _H = f"""last as (select id, loaded_at, predicate_loc as loc, parent_function as f from eh_handler where id is not null
   qualify row_number() over (partition by id order by loaded_at desc nulls last, predicate_loc desc nulls last, parent_function desc nulls last) = 1),
@@ -139,30 +134,56 @@ cc as (select h.loc, h.id, c.name from han h join c on c.id = h.id), rr as (sele
 tx as (select loc, id, 'PRE|' || name as item from cc union all select loc, id, 'POST|' || name from rr),
 both_sides as (select loc from cc intersect select loc from rr), t as (select * from tx where loc in (select loc from both_sides)),
 lim as (select greatest(5, count(*) // 200) as least from eh_handler),
-f2 as (select a.item as a, b.item as b, count(*)::bigint as n from t a join t b on a.loc = b.loc and a.item < b.item, lim group by a.item, b.item having count(*) >= max(least)),
-f3 as (select p.a, p.b, z.item as c, count(*)::bigint as n from f2 p join t x on x.item = p.a join t y on y.item = p.b and y.loc = x.loc join t z on z.loc = x.loc and z.item > p.b group by 1, 2, 3),
-up as (select distinct a, b, n from f3 union select distinct a, c, n from f3 union select distinct b, c, n from f3),
-rule as (select substr(b, 5) as c, substr(a, 6) as p, n from f2 where a like 'POST|%' and b like 'PRE|%' and not exists (select 1 from up where up.a = f2.a and up.b = f2.b and up.n = f2.n)),
-rules as (select c || ' -> ' || p as rule_id, c, p, n as mined from rule),
-app as (select distinct rule_id, p, loc from rules join cc on name = c),
-res as (select rule_id, loc, case when exists (select 1 from rr where rr.loc = app.loc and rr.name = p) then 0 else 1 end as violation from app),
+fi as (select item, count(*)::bigint as n, list(loc order by loc) as locs from t, lim group by item having count(*) >= max(least)),
+grown as (
+  select [item] as l, item as last, n, locs from fi
+  union all
+  select list_append(l, item), item, len(x)::bigint, x from (
+    select g.l, fi.item, list_intersect(g.locs, fi.locs) as x, least from grown g join fi on fi.item > g.last, lim) where len(x) >= least),
+up as (select distinct list_filter(l, lambda x: x <> h) as part, n from (select l, n, unnest(l) as h from grown)),
+rule as (select list_transform(list_filter(l, lambda x: starts_with(x, 'PRE|')), lambda x: substr(x, 5)) as cl, list_transform(list_filter(l, lambda x: starts_with(x, 'POST|')), lambda x: substr(x, 6)) as pl, n
+  from grown g where not exists (select 1 from up where up.part = g.l and up.n = g.n)),
+rules as (select array_to_string(cl, ' ') || ' -> ' || array_to_string(pl, ' ') as rule_id, array_to_string(cl, ' ') as c, array_to_string(pl, ' ') as p, cl, pl, n as mined from rule where len(cl) > 0 and len(pl) > 0),
+hc as (select loc, list(name) as names from cc group by loc), hr as (select loc, list(name) as names from rr group by loc),
+res as (select rule_id, hc.loc, case when list_has_all(coalesce(hr.names, []), pl) then 0 else 1 end as violation, list_filter(pl, lambda x: not list_contains(coalesce(hr.names, []), x)) as missing
+  from rules join hc on list_has_all(hc.names, cl) left join hr on hr.loc = hc.loc),
 conf as (select rule_id, count(*) filter (violation = 0)::bigint as support, count(*)::bigint as applicable,
   (count(*) filter (violation = 0) / count(*)) as g,
   coalesce(count(*) filter (violation = 0) / nullif(count(*) filter ((rule_id, split_part(loc, ':', 1)) in (select (rule_id, split_part(loc, ':', 1)) from res where violation = 0)), 0), 0) as l from res group by rule_id)"""
 
+#: Classes of merged rules: produced rules of one pair belong together, and single rules with two pairs of synonyms.
+_MERGED = """m as (select distinct label as x, split_part(label, '_', -1) as k from pathbased_model where label is not null),
+syn as (select a.x as i, b.x as j from m a join m b on a.k = b.k and a.x <> b.x),
+pr as (select a.rule_id as ia, b.rule_id as ib, a.cl as ca, b.cl as cb, a.pl as pa, b.pl as pb from rules a join rules b on a.rule_id < b.rule_id),
+made as (
+  select ia, ib, 'c' as side, array_to_string(list_sort(list_intersect(ca, cb)), ' ') || ' -> ' || unnest([i, j]) as id from pr join syn on list_contains(pa, i) and list_contains(pb, j)
+    where list_has_any(ca, cb) and not list_has_any(pa, pb)
+  union
+  select ia, ib, 'r', unnest([i, j]) || ' -> ' || array_to_string(list_sort(list_intersect(pa, pb)), ' ') from pr join syn on list_contains(ca, i) and list_contains(cb, j)
+    where list_has_any(pa, pb) and not list_has_any(ca, cb)),
+crossed as (select ia, ib, ca[1] as c1, cb[1] as c2, pa[1] as p1, pb[1] as p2 from pr
+  where len(ca) = 1 and len(cb) = 1 and len(pa) = 1 and len(pb) = 1 and (ca[1], cb[1]) in (select (i, j) from syn) and (pa[1], pb[1]) in (select (i, j) from syn)),
+edge as (
+  select min(id) over (partition by ia, ib, side) as a, id as b from made
+  union select ia, ib from crossed union select ia, c1 || ' -> ' || p2 from crossed union select ia, c2 || ' -> ' || p1 from crossed),
+link as (select a, b from edge where a <> b union select b, a from edge where a <> b),
+reach as (select a as node, a as seen from link union select r.node, k.b from reach r join link k on k.a = r.seen),
+classes as (select min(seen) as group_id, node as rule_id from reach group by node)"""
+
 SQL = {
-    "handler_sides": f"with {_H} select h.id, h.loc, h.fn, coalesce((select string_agg(name, ' ' order by name) from cc where cc.loc = h.loc), '') as context, coalesce((select string_agg(name, ' ' order by name) from rr where rr.loc = h.loc), '') as response from han h",
-    "handler_sentences": f"with {_H} select id as tid, string_agg(item, ' ' order by item) as items from t group by id",
-    "mined_rules": f"with {_H} select rule_id, mined from rules",
-    "rule_supporting_handlers": f"with {_H} select rule_id, loc from res where violation = 0",
-    "rule_results": f"with {_H} select rule_id, loc, violation from res",
-    "rule_missing_items": f"with {_H} select rule_id, loc, split_part(rule_id, ' -> ', 2) as missing from res where violation = 1",
-    "rule_confidences": f"with {_H} select rule_id, support, applicable, round(g, 8) as global_confidence, round(l, 8) as local_confidence from conf",
-    "rule_implementations": f"with {_H} select rule_id, count(distinct split_part(split_part(loc, ':', 1), '/', 2)) > 1 as crosses from res where violation = 0 group by rule_id",
-    "spec_best_per_response": f"with {_H}, b as (select rule_id, support as merged_support, l, row_number() over (partition by p order by l desc, support desc, rule_id) as i from conf join rules using (rule_id)) select rule_id, merged_support, round(l, 8) as local_confidence from b where i = 1 and l > 0.3",
-    "specs_without_listed": f"with {_H}, often as (select name from cc group by 1 order by count(*) desc, name limit 5) select rule_id from rules where c not in (select name from often) and p not in (select name from often)",
-    "specs_not_subsumed": f"with {_H} select rule_id from rules a where not exists (select 1 from rules b where b.rule_id < a.rule_id and (b.c = a.c or b.p = a.p))",
-    "handlers_with_classes": f"with {_H}, m as (select distinct label as name, split_part(label, '_', -1) as k from pathbased_model where label is not null), k as (select k, 'CLASS_' || (row_number() over (order by k) - 1)::varchar as code from (select distinct k from m)), d as (select name, code from m join k using (k)), x as (select distinct loc, coalesce(code, cc.name) as n from cc left join d on d.name = cc.name), y as (select distinct loc, coalesce(code, rr.name) as n from rr left join d on d.name = rr.name) select h.loc, coalesce((select string_agg(n, ' ' order by n) from x where x.loc = h.loc), '') as context, coalesce((select string_agg(n, ' ' order by n) from y where y.loc = h.loc), '') as response from han h",
-    "handler_transactions": f"with {_H}, u as (select id, name from cc union select id, name from rr) select h.id as tid, coalesce((select string_agg(name, ' ' order by name) from u where u.id = h.id), '') as items from han h",
-    "handlers_holding": f"with {_H}, top as (select name from cc group by 1 order by count(*) desc, name limit 1), u as (select loc from cc where name in (select name from top) union select loc from rr where name in (select name from top)) select id, loc from han where loc in (select loc from u)",
+    "handler_sides": f"with recursive {_H} select h.id, h.loc, h.fn, coalesce((select string_agg(name, ' ' order by name) from cc where cc.loc = h.loc), '') as context, coalesce((select string_agg(name, ' ' order by name) from rr where rr.loc = h.loc), '') as response from han h",
+    "handler_sentences": f"with recursive {_H} select id as tid, string_agg(item, ' ' order by item) as items from t group by id",
+    "mined_rules": f"with recursive {_H} select rule_id, mined from rules",
+    "rule_supporting_handlers": f"with recursive {_H} select rule_id, loc from res where violation = 0",
+    "rule_results": f"with recursive {_H} select rule_id, loc, violation from res",
+    "rule_missing_items": f"with recursive {_H} select rule_id, loc, array_to_string(missing, ' ') as missing from res where violation = 1",
+    "rule_confidences": f"with recursive {_H} select rule_id, support, applicable, round(g, 8) as global_confidence, round(l, 8) as local_confidence from conf",
+    "rule_implementations": f"with recursive {_H} select rule_id, count(distinct split_part(split_part(loc, ':', 1), '/', 2)) > 1 as crosses from res where violation = 0 group by rule_id",
+    "spec_best_per_response": f"with recursive {_H}, b as (select rule_id, support as merged_support, l, row_number() over (partition by p order by l desc, support desc, rule_id) as i from conf join rules using (rule_id)) select rule_id, merged_support, round(l, 8) as local_confidence from b where i = 1 and l > 0.3",
+    "merge_rule_classes": f"with recursive {_H}, {_MERGED} select group_id, rule_id from classes",
+    "specs_without_listed": f"with recursive {_H}, often as (select list(name) as names from (select name from cc group by 1 order by count(*) desc, name limit 5)) select rule_id from rules, often where not list_has_all(names, cl) and not list_has_all(names, pl)",
+    "specs_not_subsumed": f"with recursive {_H} select rule_id from rules a where not exists (select 1 from rules b where b.rule_id <> a.rule_id and ((list_has_all(a.cl, b.cl) and (len(b.cl) < len(a.cl) or b.rule_id < a.rule_id)) or (list_has_all(a.pl, b.pl) and (len(b.pl) < len(a.pl) or b.rule_id < a.rule_id))))",
+    "handlers_with_classes": f"with recursive {_H}, m as (select distinct label as name, split_part(label, '_', -1) as k from pathbased_model where label is not null), k as (select k, 'CLASS_' || (row_number() over (order by k) - 1)::varchar as code from (select distinct k from m)), d as (select name, code from m join k using (k)), x as (select distinct loc, coalesce(code, cc.name) as n from cc left join d on d.name = cc.name), y as (select distinct loc, coalesce(code, rr.name) as n from rr left join d on d.name = rr.name) select h.loc, coalesce((select string_agg(n, ' ' order by n) from x where x.loc = h.loc), '') as context, coalesce((select string_agg(n, ' ' order by n) from y where y.loc = h.loc), '') as response from han h",
+    "handler_transactions": f"with recursive {_H}, u as (select id, name from cc union select id, name from rr) select h.id as tid, coalesce((select string_agg(name, ' ' order by name) from u where u.id = h.id), '') as items from han h",
+    "handlers_holding": f"with recursive {_H}, top as (select name from cc group by 1 order by count(*) desc, name limit 1), u as (select loc from cc where name in (select name from top) union select loc from rr where name in (select name from top)) select id, loc from han where loc in (select loc from u)",
 }

