@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 EPS, ROUNDS = 1e-15, 10_000
 
 
@@ -86,35 +88,44 @@ def chi2_quantile(p: float, df: float) -> float:
     return gamma_quantile(p, df / 2, 2.0)
 
 
-def _tables(s: float, b: float, h: float, n: float) -> list[tuple[int, float]] | None:
-    """(support, ln probability) of all 2x2 tables with these margins; None if a margin is degenerate."""
+def _tables(s: float, b: float, h: float, n: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """(supports, ln probabilities) of the 2x2 tables with these margins; None if a margin is degenerate.
+
+    Only tables within 40 standard deviations of the mode are formed, all
+    others together are below the smallest double; so a test of margins of
+    10^8 takes some hundred thousand terms.
+    """
     if b <= 0 or h <= 0 or b >= n or h >= n:
         return None
     low, high = int(max(0, b + h - n)), int(min(b, h))
-    base = log_choose(n, h)
-    return [(k, log_choose(b, k) + log_choose(n - b, h - k) - base) for k in range(low, high + 1)]
+    mode = min(max(int((b + 1) * (h + 1) / (n + 2)), low), high)
+    spread = math.sqrt(b * h / n * (n - b) / n * (n - h) / max(n - 1, 1))
+    width = int(40 * spread) + 60
+    low, high = max(low, mode - width), min(high, mode + width)
+    k = np.arange(low, high + 1, dtype=float)
+    up = np.log((b - k[:-1]) * (h - k[:-1]) / ((k[:-1] + 1) * (n - b - h + k[:-1] + 1)))  # of the next to each
+    p = np.append(0.0, np.cumsum(up))
+    at = log_choose(b, mode) + log_choose(n - b, h - mode) - log_choose(n, h)
+    return k, p - p[mode - low] + at
 
 
-def _fisher(s: float, b: float, h: float, n: float, as_extreme) -> float:
-    tables = _tables(s, b, h, n)
-    if tables is None:
-        return 1.0
-    return min(1.0, math.fsum(math.exp(p) for k, p in tables if as_extreme(k, p)))
+def _fisher(tables: tuple[np.ndarray, np.ndarray] | None, as_extreme: np.ndarray | None) -> float:
+    return 1.0 if tables is None else min(1.0, float(np.exp(tables[1][as_extreme]).sum()))
 
 
 def fisher_probability(s: float, b: float, h: float, n: float) -> float:
     """Sum over tables no more likely than the one seen."""
-    tables = _tables(s, b, h, n)
-    if tables is None:
+    t = _tables(s, b, h, n)
+    if t is None:
         return 1.0
-    seen = dict(tables).get(int(s), 0.0)
-    return _fisher(s, b, h, n, lambda k, p: p <= seen + 1e-9)
+    seen = log_choose(b, s) + log_choose(n - b, h - s) - log_choose(n, h) if max(0, b + h - n) <= s <= min(b, h) else 0.0
+    return _fisher(t, t[1] <= seen + 1e-9)
 
 
 def fisher_chi2(s: float, b: float, h: float, n: float) -> float:
     """Sum over tables whose support is at least as far from the expected one."""
-    e = b * h / n if n else 0.0
-    return _fisher(s, b, h, n, lambda k, p: abs(k - e) >= abs(s - e) - 1e-9)
+    t, e = _tables(s, b, h, n), b * h / n if n else 0.0
+    return _fisher(t, None if t is None else np.abs(t[0] - e) >= abs(s - e) - 1e-9)
 
 
 def information(s: float, b: float, h: float, n: float) -> float:
@@ -125,12 +136,21 @@ def information(s: float, b: float, h: float, n: float) -> float:
     return math.fsum(x / n * math.log2(x * n / (r * c)) for x, r, c in cells if x > 0)
 
 
+def _informations(k: np.ndarray, b: float, h: float, n: float) -> np.ndarray:
+    """``information`` for several supports."""
+    total = np.zeros(len(k))
+    for x, r, c in ((k, b, h), (b - k, b, n - h), (h - k, n - b, h), (n - b - h + k, n - b, n - h)):
+        total += np.where(x > 0, x / n * np.log2(np.maximum(x, 1e-300) * n / (r * c)), 0.0)
+    return total
+
+
 def fisher_information(s: float, b: float, h: float, n: float) -> float:
     """Sum over tables with at least the information gain seen."""
-    seen = information(s, b, h, n)
-    return _fisher(s, b, h, n, lambda k, p: information(k, b, h, n) >= seen - 1e-9)
+    t = _tables(s, b, h, n)
+    return _fisher(t, None if t is None else _informations(t[0], b, h, n) >= information(s, b, h, n) - 1e-9)
 
 
 def fisher_support(s: float, b: float, h: float, n: float) -> float:
     """Sum over tables with at least the support seen (one-sided)."""
-    return _fisher(s, b, h, n, lambda k, p: k >= s - 1e-9)
+    t = _tables(s, b, h, n)
+    return _fisher(t, None if t is None else t[0] >= s - 1e-9)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -48,24 +50,26 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, missing: Column | None
 MOST_ASKED = 10_000
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """``rows`` to be sent to all executors, if there are at most ``MOST_ASKED``."""
+def blocks(rows: DataFrame, *keys: str) -> list[DataFrame]:
+    """``rows`` in blocks of about ``MOST_ASKED`` / 2, to be sent to all executors one after the other."""
     rows = cut(rows)
-    if rows.count() > MOST_ASKED:
-        raise ValueError(f"more than {MOST_ASKED} rows asked for at once: use an index")
-    return F.broadcast(rows)
+    n = max(1, -(-rows.count() * 2 // MOST_ASKED))
+    return [F.broadcast(rows.where(F.pmod(F.xxhash64(*keys), F.lit(n)) == i)) for i in range(n)]
 
 
 def most_similar(vectors: DataFrame, words: DataFrame, k: int = 10) -> DataFrame:
     """(word, other, similarity, rank): for the given words their ``k`` most similar ones.
 
-    The words asked for, ``MOST_ASKED`` at most, are sent to the vocabulary,
-    which is read once and never shuffled whole.
+    The words asked for are sent to the vocabulary in blocks; it is read once
+    for each block and never shuffled whole.
     """
     asked = vectors.join(words.select("word").distinct(), "word", "left_semi").select("word", F.col("vector").alias("q"))
-    s = vectors.select(F.col("word").alias("other"), "vector").join(few(asked), F.col("word") != F.col("other"))
     order = Window.partitionBy("word").orderBy(F.desc("similarity"), "other")
-    return s.select("word", "other", cosine(F.col("q"), F.col("vector")).alias("similarity")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = []
+    for some in blocks(asked, "word"):
+        s = vectors.select(F.col("word").alias("other"), "vector").join(some, F.col("word") != F.col("other"))
+        out.append(s.select("word", "other", cosine(F.col("q"), F.col("vector")).alias("similarity")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, out)
 
 
 def analogies(vectors: DataFrame, questions: DataFrame, clusters: DataFrame | None = None) -> DataFrame:
@@ -76,7 +80,8 @@ def analogies(vectors: DataFrame, questions: DataFrame, clusters: DataFrame | No
     v = lambda s: vectors.select(F.col("word").alias(s), F.transform("vector", lambda x: x / F.sqrt(dot(F.col("vector"), F.col("vector")))).alias(f"v{s}"))
     q = questions.join(v("a"), "a").join(v("b"), "b").join(v("c"), "c")
     q = q.withColumn("goal", F.zip_with(F.zip_with("vb", "va", lambda x, y: x - y), "vc", lambda x, y: x + y)).select("a", "b", "c", "d", "goal")
-    s = vectors.select("word", "vector").join(few(q), (F.col("word") != F.col("a")) & (F.col("word") != F.col("b")) & (F.col("word") != F.col("c")))
+    other = (F.col("word") != F.col("a")) & (F.col("word") != F.col("b")) & (F.col("word") != F.col("c"))
+    s = reduce(DataFrame.unionByName, [vectors.select("word", "vector").join(some, other) for some in blocks(q, "a", "b", "c", "d")])
     best = s.select("a", "b", "c", "d", "word", cosine(F.col("goal"), F.col("vector")).alias("s")).groupBy("a", "b", "c", "d").agg(F.max_by("word", F.struct("s", "word")).alias("predicted"))
     same = F.col("predicted") == F.col("d")
     if clusters is not None:
@@ -155,16 +160,14 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return vectors.select("word").join(parts, "word", "left").join(edge, "word", "left").select("word", F.coalesce("cluster_id", "edge", F.lit("")).alias("cluster_id"))
 
 
-def topics(walks: DataFrame, k: int, top: int = 10, seed: int = 0, iterations: int = 20, vocabulary: int = 50_000) -> DataFrame:
+def topics(walks: DataFrame, k: int, top: int = 10, seed: int = 0, iterations: int = 20) -> DataFrame:
     """(topic, term, weight): the heaviest terms of the topics over ``tokens``."""
     rows = walks.select(F.filter(F.coalesce("tokens", F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("tokens")).where(F.size("tokens") > 0)
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary).fit(rows)
+    vocabulary = rows.select(F.explode("tokens").alias("t")).agg(F.count_distinct("t")).first()[0]
+    counts = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=max(vocabulary, 1)).fit(rows)
     model = LDA(k=k, maxIter=iterations, seed=seed).fit(counts.transform(rows))
-    words = F.array(*[F.lit(w) for w in counts.vocabulary]) if len(counts.vocabulary) <= 1000 else None
     d = model.describeTopics(top).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t"))
     d = d.select("topic", F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("weight"))
-    if words is not None:
-        return d.select("topic", F.get(words, F.col("i")).alias("term"), "weight")
     table = rows.sparkSession.createDataFrame(list(enumerate(counts.vocabulary)), "i int, term string")
     return d.join(table, "i").select("topic", "term", "weight")
 
@@ -195,13 +198,6 @@ def project(vectors: DataFrame) -> DataFrame:
     return PCA(k=2, inputCol="_raw", outputCol="_xy").fit(data).transform(data).withColumn("x", F.get(xy, F.lit(0))).withColumn("y", F.get(xy, F.lit(1))).drop("_raw", "_xy")
 
 
-def similarity_histogram(vectors: DataFrame, words: DataFrame, width: float = 0.05) -> DataFrame:
-    """(bin, n): similarities of the given words to all others; bin is the lower bound."""
-    asked = vectors.join(words.select("word").distinct(), "word", "left_semi").select("word", F.col("vector").alias("q"))
-    s = vectors.select(F.col("word").alias("other"), "vector").join(few(asked), F.col("word") != F.col("other")).select(cosine(F.col("q"), F.col("vector")).alias("s"))
-    return s.where("s is not null").groupBy((F.floor(F.round("s", 9) / width) * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
 BLOCK_ROWS = 1_000
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.skew import global_rank
 from quarry.session import cut
 
 EMPTY_IDS = "array<int>"
@@ -67,10 +68,8 @@ def bypass_edges(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     calls = edges.where(kind("label") == "call").select("source", function_of("target").alias("callee"))
     return_of = return_nodes(edges)
     names = calls.join(return_of, F.col("source") == F.col("node"), "left_semi").select("callee").distinct()
-    from pyspark.sql import Window
-
     top = labels.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    new = names.join(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("callee"))).cast("int").alias("id"), F.col("callee").alias("label"))  # one row for each function
+    new = global_rank(names, ["callee"]).join(F.broadcast(top)).select((F.col("top") + F.col("rank")).cast("int").alias("id"), F.col("callee").alias("label"))  # top is one row
     out = calls.join(return_of, F.col("source") == F.col("node")).join(new, F.col("callee") == F.col("label"))
     return out.select("source", F.col("return_node").alias("target"), F.array("id").alias("label_id")).distinct(), new
 

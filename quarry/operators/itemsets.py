@@ -227,10 +227,14 @@ def size_statistics(sets: DataFrame) -> DataFrame:
 
 
 def supporting_tids(sets: DataFrame, tx: DataFrame) -> DataFrame:
-    """(items, tid): the transactions that contain each set, one row each, by counting shared items."""
-    wanted = sets.select("items", F.explode("items").alias("item"), F.size("items").alias("size"))
-    held = tx.select("tid", F.explode("items").alias("item"))
-    return wanted.join(held, "item").groupBy("items", "size", "tid").agg(F.count(F.lit(1)).alias("n")).where("n = size").select("items", "tid")
+    """(items, tid): the transactions that contain each set, one row each.
+
+    Only transactions with the set's rarest item are tested.
+    """
+    rare = item_frequencies(tx.select("items")).select("item", "n")
+    key = sets.select("items", F.explode("items").alias("item")).join(rare, "item").groupBy("items").agg(F.min(F.struct("n", "item")).alias("k"))
+    held = tx.select("tid", F.col("items").alias("held"), F.explode("items").alias("item"))
+    return key.select("items", F.col("k.item").alias("item")).join(held, "item").where(F.forall("items", lambda x: F.array_contains("held", x))).select("items", "tid")
 
 
 def expected_spectrum(tx: DataFrame, sizes: list[int], supports: list[int], equivalent: float = 1.0) -> DataFrame:

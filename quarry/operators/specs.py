@@ -14,6 +14,7 @@ from quarry.functions.names import clean_name
 from quarry.operators.components import connected_components
 from quarry.operators.itemsets import closed, frequent
 from quarry.operators.transactions import items_of
+from quarry.operators.skew import global_rank
 from quarry.session import cut
 
 TYPES, TACTICS = ("CALL",), ("PRE", "POST", "FN")
@@ -254,13 +255,17 @@ def drop_subsumed(rules: DataFrame) -> DataFrame:
     return rules.join(bad.distinct(), "rule_id", "left_anti")
 
 
+def _class_ranks(classes: DataFrame) -> DataFrame:
+    """(class_id, no): 0-based ranks of the classes."""
+    return global_rank(classes.select("class_id").distinct(), ["class_id"]).select("class_id", (F.col("rank") - 1).alias("no"))
+
+
 def replace_names(handlers: DataFrame, classes: DataFrame, prefix: str = "CLASS_") -> DataFrame:
     """Handlers with names replaced by ``prefix`` and the rank of their class; others stay.
 
     ``classes``: name, class_id.  The ranks follow the class ids.
     """
-    ids = classes.select("class_id").distinct()
-    rank = ids.withColumn("no", F.row_number().over(Window.orderBy("class_id")) - 1)  # one row for each class
+    rank = _class_ranks(classes)
     code = classes.join(rank, "class_id").select("name", F.concat(F.lit(prefix), "no").alias("code"))
     out = handlers
     for side in ("context", "response"):
@@ -272,7 +277,7 @@ def replace_names(handlers: DataFrame, classes: DataFrame, prefix: str = "CLASS_
 
 def merged_items(classes: DataFrame, prefix: str = "CLASS_") -> DataFrame:
     """(merged, unmerged): the dictionary of ``replace_names``."""
-    rank = classes.select("class_id").distinct().withColumn("no", F.row_number().over(Window.orderBy("class_id")) - 1)
+    rank = _class_ranks(classes)
     return classes.join(rank, "class_id").select(F.concat(F.lit(prefix), "no").alias("merged"), F.col("name").alias("unmerged"))
 
 

@@ -72,14 +72,15 @@ def item_frequencies(tx: DataFrame) -> DataFrame:
 def recode(tx: DataFrame, least: float = 0, most: float | None = None, by: str = "frq", ascending: bool = True) -> DataFrame:
     """(item, frq, xfq, n, code): items within the frequency bounds with a dense code in the order of ``by``.
 
-    The dictionary is assumed to be small beside the data; ties go to the
-    smaller item.
+    Ties go to the smaller item.  The codes are ranks over range partitions.
     """
+    from quarry.operators.skew import global_rank
+
     freq = item_frequencies(tx).where(F.col("frq") >= least)
     if most is not None:
         freq = freq.where(F.col("frq") <= most)
-    key = F.col(by).asc() if ascending else F.col(by).desc()
-    return freq.withColumn("code", (F.row_number().over(Window.orderBy(key, "item")) - 1).cast("bigint"))
+    ranked = global_rank(freq.withColumn("_key", F.col(by) if ascending else -F.col(by)), ["_key", "item"])
+    return ranked.select(*freq.columns, (F.col("rank") - 1).cast("bigint").alias("code"))
 
 
 def by_size(tx: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:

@@ -69,7 +69,10 @@ def gold_overlap(spark, sf_dir):
 
 
 def underscore_pairs(spark, sf_dir):
-    return G.underscore_pairs(functions(spark, sf_dir), True, True)
+    """With wrappers of some functions put in: ``__`` before names whose length 3 divides, ``_`` where 5 does."""
+    f = functions(spark, sf_dir)
+    put = lambda n, mark: f.where(F.length("name") % n == 0).withColumn("name", F.concat(F.lit(mark), "name"))
+    return G.underscore_pairs(f.unionByName(put(3, "__")).unionByName(put(5, "_")), True, True)
 
 
 def keyword_split(spark, sf_dir):
@@ -82,8 +85,10 @@ def equivalence_classes(spark, sf_dir):
 
 
 def contradictions(spark, sf_dir):
+    """With must-not relations put in between names that belong together: those whose length 3 divides."""
     r = relations(spark, sf_dir)
-    return G.contradictions(r.unionByName(r.where("must").select(F.lit(False).alias("must"), "a", "b", "prov").limit(0)))
+    put = r.where("must").where(F.length(F.get("b", F.lit(0))) % 3 == 0)
+    return G.contradictions(r.unionByName(put.withColumn("must", F.lit(False))))
 
 
 def relation_pair_counts(spark, sf_dir):
@@ -161,7 +166,7 @@ parts as (select name, path, string_split(name, '_') as l from functions),
 cuts as (select name, path, l, unnest(range(1, len(l))) as i from parts),
 sp as (select name, path, array_to_string(l[1:i], '_') as prefix, array_to_string(l[i + 1:], '_') as suffix from cuts),
 splits as (select * from sp where length(prefix) > 1 and length(suffix) > 1)"""
-_WRAP = f"""{_F}, names as (select distinct name from functions),
+_WRAP = f"""{_F}, names as (select name from functions union select '__' || name from functions where length(name) % 3 = 0 union select '_' || name from functions where length(name) % 5 = 0),
 wrap as (select substr(name, 3) as name, name as wrapper from names where name like '\\_\\_%' escape '\\'
   union all select substr(name, 2), name from names where name like '\\_%' escape '\\' and name not like '\\_\\_%' escape '\\'),
 pairs as (select w.* from wrap w join names n on n.name = w.name)"""
@@ -191,7 +196,7 @@ SQL = {
     "underscore_pairs": f"with {_WRAP} select name, wrapper from pairs",
     "keyword_split": f"with {_F}, n as (select distinct name, string_split(name, '_') as l from functions), p as (select name, l, list_position(l, 'probe') as i from n) select name, array_to_string(l[1:i], '_') as prefix, array_to_string(l[i + 1:], '_') as suffix from p where i > 0",
     "equivalence_classes": f"with recursive {_REL}, {_CC} select name, class_id from cls",
-    "contradictions": f"with recursive {_REL}, {_CC} select distinct x as a, y as b, path as prov from apart join cls p on p.name = x join cls q on q.name = y where p.class_id = q.class_id",
+    "contradictions": f"with recursive {_REL}, {_CC} select distinct x as a, y as b, path as prov from (from apart union all select split_part(name, '_', -2) || '_' || split_part(name, '_', -1), name, wrapper from pairs where length(wrapper) % 3 = 0) apart(path, x, y) join cls p on p.name = x join cls q on q.name = y where p.class_id = q.class_id",
     "relation_pair_counts": f"with {_REL} select true as must, count(*)::bigint as n from pairs having count(*) > 0 union all select false, count(*)::bigint from apart having count(*) > 0",
     "related_pair_count": f"with {_CLS}, n as (select count(*) as k from classes group by class_id) select sum(k * (k - 1) // 2)::bigint as n from n",
     "unrelated_pairs": f"with recursive {_REL}, {_CC}, side as (select name, class_id from cls union select n, n from (select x as n from apart union select y from apart) where n not in (select name from cls)), k as (select distinct p.class_id as ca, q.class_id as cb from apart join side p on p.name = x join side q on q.name = y) select distinct least(p.name, q.name) as a, greatest(p.name, q.name) as b from k join side p on p.class_id = ca join side q on q.class_id = cb where p.name <> q.name",

@@ -9,6 +9,7 @@ from quarry.functions.names import clean_name, trim_blanks
 from quarry.operators import graph as G
 from quarry.operators import walks as W
 from quarry.operators.components import connected_components
+from quarry.operators.skew import global_rank
 from quarry.session import load
 
 
@@ -29,10 +30,8 @@ def stack_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     calls = pairs.select(F.col("site").alias("source"), F.concat(fn(F.col("inner")), F.lit(".0")).alias("target"), F.lit("call").alias("label")).distinct()
     rets = pairs.select(F.col("site").alias("source"), back.alias("target"), F.lit("ret").alias("label")).distinct()
     mays = pairs.select(F.col("inner").alias("source"), back.alias("target"), F.lit("may_ret").alias("label")).distinct()
-    from pyspark.sql import Window
-
     words = inner.select("word").distinct()
-    labels = words.select((F.row_number().over(Window.orderBy("word")) - 1).cast("int").alias("id"), F.col("word").alias("label"))
+    labels = global_rank(words, ["word"]).select((F.col("rank") - 1).cast("int").alias("id"), F.col("word").alias("label"))
     coded = inner.join(labels.select("id", F.col("label").alias("word")), "word").select("source", "target", "label", F.array("id").alias("label_id"))
     rest = calls.unionByName(rets).unionByName(mays).withColumn("label_id", F.array().cast("array<int>"))
     return coded.unionByName(rest), labels
@@ -91,8 +90,9 @@ def _calls(spark, sf_dir):
 
 
 def _roots(spark, sf_dir):
+    """The functions that none calls."""
     calls = _calls(spark, sf_dir)
-    return calls.select(F.col("source").alias("node")).distinct().orderBy("node").limit(3)  # the feature: three starts
+    return calls.select(F.col("source").alias("node")).distinct().join(calls.select(F.col("target").alias("node")), "node", "left_anti")
 
 
 def reachable_functions(spark, sf_dir):
@@ -105,8 +105,8 @@ def call_distances(spark, sf_dir):
 
 def functions_between(spark, sf_dir):
     calls = _calls(spark, sf_dir)
-    end = calls.select(F.col("target").alias("node")).distinct().orderBy(F.desc("node")).limit(300)
-    return G.between(calls, calls.select(F.col("source").alias("node")).distinct().orderBy("node").limit(300), end)
+    end = calls.select(F.col("target").alias("node")).distinct().join(calls.select(F.col("source").alias("node")), "node", "left_anti")
+    return G.between(calls, _roots(spark, sf_dir), end)
 
 
 def call_components(spark, sf_dir):
@@ -177,7 +177,7 @@ calls as (select distinct split_part(source, '.', 1) as source, split_part(targe
 arcs as (select source, target, null as push, 1 as n_labels, split_part(source, '.', 1) as word from edges where label = ''
   union all select source, target, return_node, 0, null from edges left join rets on node = source where label = 'call'
   union all select distinct source, return_node, null, 1, split_part(target, '.', 1) from edges join rets on node = source where label = 'call')"""
-_ROOTS = "roots as (select distinct source as node from calls order by 1 limit 3)"
+_ROOTS = "roots as (select distinct source as node from calls where source not in (select target from calls))"
 
 SQL = {
     "edge_kinds": f"with {_E} select case label when '' then 'internal' else label end as kind, count(*)::bigint as n from edges group by 1",
@@ -190,7 +190,7 @@ SQL = {
     "call_sites": f"with {_E} select split_part(target, '.', 1) as callee, count(distinct source)::bigint as n from edges where label = 'call' group by 1",
     "reachable_functions": f"with recursive {_E}, {_ROOTS}, r as (select node from roots union select target from r join calls on source = node) select node from r",
     "call_distances": f"with recursive {_E}, {_ROOTS}, r as (select node as start, node, 0 as distance from roots union select start, target, distance + 1 from r join calls on source = node where distance < 40) select start, node, min(distance)::int as distance from r group by 1, 2",
-    "functions_between": f"with recursive {_E}, ends as (select distinct target as node from calls order by 1 desc limit 300), s as (select distinct source as node from calls order by 1 limit 300), f as (select node from s union select target from f join calls on source = node), b as (select node from ends union select source from b join calls on target = node) select node from f where node in (select node from b)",
+    "functions_between": f"with recursive {_E}, {_ROOTS}, ends as (select distinct target as node from calls where target not in (select source from calls)), f as (select node from roots union select target from f join calls on source = node), b as (select node from ends union select source from b join calls on target = node) select node from f where node in (select node from b)",
     "call_components": f"with recursive {_E}, both_ways as (select source as a, target as b from calls union select target, source from calls), r as (select a as node, a as low from both_ways union select b, low from r join both_ways on a = node) select node, min(low) as component from r group by 1",
     "may_return_edges": f"with {_E}, e as (select * from edges where label <> 'may_ret'), n as (select source as node from e union select target from e), x as (select node, split_part(node, '.', 1) as fn from n where node not in (select source from e where label in ('', 'ret'))) select distinct x.node as source, return_node as target from x join e on label = 'call' and split_part(e.target, '.', 1) = fn join rets on rets.node = e.source",
     "dot_lines": f"with {_E} select '\"' || source || '\" -> \"' || target || '\" [label=\"' || label || '\"];' as value from edges",

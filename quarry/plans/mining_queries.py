@@ -66,7 +66,8 @@ def basket_selection(spark, sf_dir):
 
 def table_derived_check(spark, sf_dir):
     rows = load(spark, sf_dir, "part").select(F.array(F.concat(F.lit("b="), "p_brand"), F.concat(F.lit("t="), "p_type")).alias("items"))
-    return T.is_table_like(rows)
+    one = lambda what, tx: T.is_table_like(tx).withColumn("table", F.lit(what))
+    return one("part", rows).unionByName(one("baskets", baskets(spark, sf_dir).select("items")))
 
 
 def exact_basket_count(spark, sf_dir):
@@ -183,12 +184,19 @@ def set_evaluation_pruning(spark, sf_dir):
 
 def surrogate_shuffle(spark, sf_dir):
     out = T.surrogate_shuffle(load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey", ["p_brand", "p_type"], 7)
-    return out.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    before = load(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("was"), F.col("p_type").alias("was_type"))
+    both = out.join(before, "p_partkey")
+    return both.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("p_brand") != F.col("was")).alias("moved"))
 
 
 def surrogate_swap(spark, sf_dir):
-    out = T.surrogate_swap(baskets(spark, sf_dir), 2, 3)
-    return T.item_frequencies(out).select("item", "frq")
+    b = baskets(spark, sf_dir)
+    out = T.surrogate_swap(b, 2, 3)
+    rows = lambda t: t.select("tid", F.explode("items").alias("item"))
+    new = rows(out).join(rows(b), ["tid", "item"], "left_anti").groupBy("item").agg(F.count(F.lit(1)).alias("new"))
+    sizes = rows(out).groupBy("tid").agg(F.count(F.lit(1)).alias("k")).join(rows(b).groupBy("tid").agg(F.count(F.lit(1)).alias("was")), "tid", "full_outer")
+    same = sizes.agg(F.bool_and(F.coalesce(F.col("k") == F.col("was"), F.lit(False))).alias("same_sizes"))
+    return T.item_frequencies(out).join(new, "item", "left").crossJoin(same).select("item", "frq", (F.coalesce("new", F.lit(0)) > 0).alias("moved"), "same_sizes")  # same is one row
 
 
 def surrogate_frequencies(spark, sf_dir):
@@ -245,7 +253,7 @@ SQL = {
     "baskets_from_columns": "select p_partkey, string_agg(i, ' ' order by i) as items from (select p_partkey, unnest(['p_brand=' || p_brand, 'p_type=' || p_type, 'p_size=' || p_size::varchar]) as i from part) group by p_partkey",
     "baskets_from_flags": "select p_partkey, concat_ws(' ', case when p_retailprice > 1000 then 'dear' end, case when p_size > 25 then 'large' end) as items from part",
     "basket_selection": f"with {_TX} select tid, string_agg(item, ' ' order by item) as items from tx where item in ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5') group by tid having count(*) >= 2",
-    "table_derived_check": "select true as same_size, true as fixed_positions",
+    "table_derived_check": f"with {_TX}, placed as (select 'baskets' as t, tid::varchar as id, item, row_number() over (partition by tid order by item) as pos from tx union all select 'part', p_partkey::varchar, 'b=' || p_brand, 1 from part union all select 'part', p_partkey::varchar, 't=' || p_type, 2 from part), k as (select t, id, count(*) as k from placed group by 1, 2), i as (select t, item, count(distinct pos) as n from placed group by 1, 2) select t as \"table\", (select count(distinct k) <= 1 from k where k.t = d.t) as same_size, (select max(n) <= 1 from i where i.t = d.t) as fixed_positions from (values ('part'), ('baskets')) d(t)",
     "exact_basket_count": f"with {_TX}, b as (select tid, string_agg(item, ' ' order by item) as items from tx group by tid) select count(*)::bigint as wgt from b where items = 'Brand#1 Brand#2'",
     "subsequence_match": f"with {_TX}, b as (select tid, list(item order by item) as l from tx group by tid) select tid, true as inside, (case when list_position(l, 'Brand#3') = list_position(l, 'Brand#1') + 1 then list_position(l, 'Brand#1') - 1 else -1 end)::int as \"offset\" from b where list_position(l, 'Brand#1') is not null and list_position(l, 'Brand#3') is not null",
     "frequent_sets": f"with recursive {_all(_DEEP_SQL)} select items, size, supp from sets",
@@ -272,6 +280,6 @@ select body, head, s::bigint as supp, round(c, 8) as m_c, round(abs(c - p), 8) a
     "expected_spectrum": f"with {_TX}, m as (select count(distinct item) as m from tx), z as (select unnest([2, 3]) as size), c as (select unnest([0.0, 10.0, 20.0, 300.0]) as supp), slots as (select size, sum(case size when 2 then k * (k - 1) / 2 else k * (k - 1) * (k - 2) / 6 end) as w from sizes, z group by size), every as (select size, case size when 2 then m * (m - 1) / 2 else m * (m - 1) * (m - 2) / 6 end as e from m, z) select size, supp, floor(e * exp(supp * ln(w / e) - w / e - lgamma(supp + 1)) + 0.5) as expected from slots join every using (size), c",
     "set_log_quotient": f"with recursive {_all(_LEAST_SQL)} select items, size, supp, round(case when size = 1 then 0 else log2(supp / n) - (select sum(log2(f1.supp / n)) from f1 where list_contains(l, a)) end, 8) as value from sets, total",
     "set_rule_measure": f"with recursive {_all(_LEAST_SQL)}, best as (select b.items, max(b.supp / p.supp) as value from below b join sets p on p.l = b.part group by 1) select items, size, supp, round(coalesce(value, 0.0), 8) as value from sets left join best using (items)",
-    "surrogate_shuffle": "select p_brand, count(*)::bigint as n from part group by p_brand",
-    "surrogate_swap": f"with {_TX} select item, count(*)::bigint as frq from tx group by item",
+    "surrogate_shuffle": "select p_brand, count(*)::bigint as n, true as moved from part group by p_brand",
+    "surrogate_swap": f"with {_TX} select item, count(*)::bigint as frq, true as moved, true as same_sizes from tx group by item",
 }

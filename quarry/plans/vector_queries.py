@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import embedding as E
@@ -23,12 +20,10 @@ def pair_similarity(spark, sf_dir):
 
 
 def most_similar_words(spark, sf_dir):
-    """The words of every vec_id divisible by 50, asked in blocks of ``MOST_ASKED``."""
+    """The words of every vec_id divisible by 50."""
     v = vectors(spark, sf_dir)
     asked = v.select("word").where(F.substr("word", F.lit(2)).cast("bigint") % 50 == 0)
-    n = max(1, -(-asked.count() * 2 // E.MOST_ASKED))  # blocks are half full on average
-    some = [E.most_similar(v, asked.where(F.pmod(F.xxhash64("word"), F.lit(n)) == i), 10) for i in range(n)]
-    return reduce(DataFrame.unionByName, some).select("word", "other", F.round("similarity", 6).alias("similarity"), "rank")
+    return E.most_similar(v, asked, 10).select("word", "other", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def similarity_histogram(spark, sf_dir):
@@ -37,9 +32,11 @@ def similarity_histogram(spark, sf_dir):
 
 
 def analogies(spark, sf_dir):
+    """A question for every vec_id divisible by 50."""
     v = vectors(spark, sf_dir)
     w = lambda i: F.format_string("v%07d", F.col("id") + i)
-    q = spark.range(5).select(w(0).alias("a"), w(5).alias("b"), w(10).alias("c"), w(15).alias("d"))
+    n = F.substr("word", F.lit(2)).cast("bigint")
+    q = v.select(n.alias("id")).where("id % 50 = 0").select(w(0).alias("a"), w(5).alias("b"), w(10).alias("c"), w(15).alias("d"))
     return E.analogies(v, q, v.select(F.col("word").alias("name"), F.col("name").alias("cluster_id"))).select("a", "b", "c", "d", "predicted", "correct")
 
 
@@ -52,19 +49,19 @@ def dbscan(spark, sf_dir):
 
 
 def kmeans(spark, sf_dir):
-    return E.kmeans(vectors(spark, sf_dir), 10, 1).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return E.kmeans(vectors(spark, sf_dir), 10, 1).select("word", "cluster_id")
 
 
 def kmeans_cosine(spark, sf_dir):
-    return E.kmeans(vectors(spark, sf_dir), 10, 1, "cosine", 3).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return E.kmeans(vectors(spark, sf_dir), 10, 1, "cosine", 25).select("word", "cluster_id")
 
 
 def bisecting_clusters(spark, sf_dir):
-    return E.bisecting(vectors(spark, sf_dir), 10, 1).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return E.bisecting(vectors(spark, sf_dir), 10, 1).select("word", "cluster_id")
 
 
 def random_clusters(spark, sf_dir):
-    return E.random_clusters(vectors(spark, sf_dir), 10, 1).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return E.random_clusters(vectors(spark, sf_dir), 10, 1).select("word", "cluster_id")
 
 
 def silhouette(spark, sf_dir):
@@ -73,7 +70,7 @@ def silhouette(spark, sf_dir):
 
 
 def classification_f1(spark, sf_dir):
-    return E.classification_sweep(vectors(spark, sf_dir), "name", "vector", [0.3, 0.7])
+    return E.classification_sweep(vectors(spark, sf_dir), "name", "vector", [x / 10 for x in range(1, 10)])
 
 
 def label_map(spark, sf_dir):
@@ -81,7 +78,7 @@ def label_map(spark, sf_dir):
 
 
 def word2vec(spark, sf_dir):
-    return E.train_word2vec(load(spark, sf_dir, "pathbased_walks"), 16, 1, 5, 1).select("word", F.size("vector").alias("size"))
+    return E.train_word2vec(load(spark, sf_dir, "pathbased_walks"), 16, 1, 5, 1).select("word", "vector")
 
 
 def walk_topics(spark, sf_dir):

@@ -26,12 +26,18 @@ def label_counts(stream: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def run_once(counts: DataFrame) -> DataFrame:
-    """Everything available now, as a table: for tests and back-fills."""
+    """Everything available now, as a table in the shared folder: for tests and back-fills.
+
+    Every batch writes the whole state anew, so the last one stands.
+    """
     from quarry.session import ensure_checkpoint_dir
 
     spark = counts.sparkSession
-    name = f"counts_{uuid.uuid4().hex}"
-    folder = f"{ensure_checkpoint_dir(spark)}/{name}"
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    folder = f"{ensure_checkpoint_dir(spark)}/counts_{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/counts")
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(counts.schema).parquet(f"{folder}/counts")
