@@ -6,6 +6,9 @@ A transaction table has ``items`` (sorted distinct strings) and, where given,
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,23 +159,36 @@ def idempotent_weights(tx: DataFrame, item_least: int = 2) -> DataFrame:
     return done if done is not None else base
 
 
+STRIDES = 64
+
+
 def surrogate_frequencies(tx: DataFrame, seed: int = 0) -> DataFrame:
-    """(tid, items): every item kept with its frequency, its transactions drawn at random by a hash of (item, tid)."""
-    n = tx.count()
-    rows = item_frequencies(tx.drop("wgt")).select("item", F.col("n").alias("k"))
-    draw = rows.join(F.broadcast(tx.sparkSession.range(1).select(F.lit(n).alias("n_tx"))))
-    slots = draw.select("item", F.explode(F.sequence(F.lit(1), "k")).alias("i"), "n_tx")
-    start = F.pmod(F.xxhash64("item", F.lit(seed)), F.col("n_tx"))
-    step = F.pmod(F.xxhash64("item", F.lit(seed + 1)), F.greatest(F.col("n_tx") - 1, F.lit(1))) + 1
-    ids = tx.select("tid").withColumn("_h", F.xxhash64("tid", F.lit(seed)))
-    from quarry.operators.skew import global_rank
+    """(tid, items): every item kept with its frequency, its transactions drawn anew.
+
+    Transactions are numbered in a random order, by ranks of a hash.  The
+    occurrences of an item are numbered too and go through that order from a
+    random start in one of ``STRIDES`` random strides prime to the number of
+    transactions, so no two of them meet.
+    """
+    from quarry.operators.skew import global_rank, lookup_join
+    from quarry.session import cut
 
-    numbered = global_rank(ids, ["_h", "tid"], "_no").select("tid", (F.col("_no") - 1).alias("_no"))
-    # a stride through the numbered transactions; repeats within an item move on by one row
-    at = slots.withColumn("_no", F.pmod(start + (F.col("i") - 1) * step, F.col("n_tx")))
-    same = Window.partitionBy("item", "_no").orderBy("i")
-    at = at.withColumn("_d", F.row_number().over(same) - 1).withColumn("_no", F.pmod(F.col("_no") + F.col("_d"), F.col("n_tx")))
-    return from_pairs(at.select("item", "_no").distinct().join(numbered, "_no"), "tid", "item")
+    ids = tx.select("tid").distinct().withColumn("_h", F.xxhash64("tid", F.lit(seed)))
+    numbered = cut(global_rank(ids, ["_h", "tid"], "_no").select("tid", (F.col("_no") - 1).alias("_no")))
+    n = max(numbered.count(), 1)
+    draw = random.Random(seed)
+    strides: list[int] = []
+    while len(strides) < STRIDES:
+        x = draw.randrange(1, n + 1)
+        if math.gcd(x, n) == 1:
+            strides.append(x)
+    rows = cut(global_rank(tx.select("tid", F.explode("items").alias("item")).distinct(), ["item", "tid"], "_r").select("item", "_r"))
+    first = cut(rows.groupBy("item").agg(F.min("_r").alias("_first")))
+    each = lookup_join(rows, first, "item")
+    start = F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(n))
+    stride = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in strides]), (F.pmod(F.xxhash64("item", F.lit(seed + 1)), F.lit(STRIDES)) + 1).cast("int"))
+    drawn = each.select("item", F.pmod(start + F.pmod((F.col("_r") - F.col("_first")).cast("decimal(38,0)") * stride, F.lit(n)).cast("bigint"), F.lit(n)).alias("_no"))
+    return from_pairs(drawn.join(numbered, "_no"), "tid", "item")
 
 
 def surrogate_shuffle(table: DataFrame, key: str, columns: list[str], seed: int = 0) -> DataFrame:

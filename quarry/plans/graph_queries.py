@@ -68,7 +68,8 @@ def pushdown_arcs(spark, sf_dir):
 
 def label_occurrences(spark, sf_dir):
     arcs, labels = G.pushdown(*stack_edges(spark, sf_dir))
-    return G.label_index(arcs, labels).select("label", F.size("occurrences").alias("n"))
+    found = G.label_index(arcs, labels)
+    return found.select("label", F.explode("occurrences").alias("o")).select("label", F.col("o.target").alias("target"), F.size("o.label_id").alias("n_labels"))
 
 
 def degree_hist(spark, sf_dir):
@@ -186,6 +187,8 @@ SQL = {
     "bypass_edges": f"with {_E} select distinct source, return_node as target, split_part(target, '.', 1) as label from edges join rets on node = source where label = 'call'",
     "pushdown_counts": f"with {_E} select (select count(distinct n) from (select source as n from arcs union select target from arcs)) as n_nodes, (select count(*) from arcs) as n_arcs, (select count(distinct case when a = 'x' then word end) + count(distinct case when a = 'y' then word end) from (select 'x' as a, word from arcs where push is null and target not like '%.r%' and n_labels = 1 union all select 'y', word from arcs where target like '%.r%' and n_labels = 1)) as n_labels",
     "pushdown_arcs": f"with {_E} select source, target, push, n_labels from arcs",
+    "label_occurrences": f"with {_E} select distinct word as label, target, n_labels::int as n_labels from arcs where n_labels = 1",
+    "degree_log_hist": f"with {_E}, d as (select source, count(*) as d from edges group by 1) select least(floor(log10(d) / 2 * 10) + 1, 11)::bigint as bin, count(*)::bigint as n from d group by 1",
     "degree_hist": f"with {_E}, d as (select source, count(*) as degree from edges group by 1) select degree, count(*)::bigint as n from d group by 1",
     "call_sites": f"with {_E} select split_part(target, '.', 1) as callee, count(distinct source)::bigint as n from edges where label = 'call' group by 1",
     "reachable_functions": f"with recursive {_E}, {_ROOTS}, r as (select node from roots union select target from r join calls on source = node) select node from r",

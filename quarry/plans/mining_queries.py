@@ -200,7 +200,10 @@ def surrogate_swap(spark, sf_dir):
 
 
 def surrogate_frequencies(spark, sf_dir):
-    return T.item_frequencies(T.surrogate_frequencies(baskets(spark, sf_dir), 5)).select("item", F.col("frq").cast("bigint").alias("frq"))
+    b = baskets(spark, sf_dir)
+    out = T.surrogate_frequencies(b, 5).select("tid", F.explode("items").alias("item"))
+    both = out.join(b.select("tid", F.explode("items").alias("item"), F.lit(1).alias("was")), ["tid", "item"], "left")
+    return both.groupBy("item").agg(F.count(F.lit(1)).alias("frq"), (F.count("was") < F.count(F.lit(1))).alias("moved"))
 
 
 def basket_pairs_flagship(spark, sf_dir):
@@ -278,6 +281,16 @@ select body, head, s::bigint as supp, round(c, 8) as m_c, round(abs(c - p), 8) a
     "rule_filter": f"with recursive {_RULES} select body, head, s::bigint as supp from rules {_PICK} and s * n / (bs * hs) >= 1.02",
     "set_evaluation_pruning": f"with recursive {_all(_DEEP_SQL)}, score as (select b.items, avg(b.supp::double * n / (p.supp::double * f1.supp)) as v from below b join sets p on p.l = b.part join f1 on f1.a = b.h, total group by 1), passed as (select s.l, s.items, s.size, s.supp from sets s join score using (items) where v >= 1.02), kept as (select l, items, size, supp, 1 as round from sets where size = 1 union all select p.l, p.items, p.size, p.supp, k.round + 1 from (select distinct round from kept) k join passed p on p.size = k.round + 1 where (select count(*) from below b where b.items = p.items) = (select count(*) from below b join kept q on q.l = b.part where b.items = p.items)) select items, size, supp from kept",
     "expected_spectrum": f"with {_TX}, m as (select count(distinct item) as m from tx), z as (select unnest([2, 3]) as size), c as (select unnest([0.0, 10.0, 20.0, 300.0]) as supp), slots as (select size, sum(case size when 2 then k * (k - 1) / 2 else k * (k - 1) * (k - 2) / 6 end) as w from sizes, z group by size), every as (select size, case size when 2 then m * (m - 1) / 2 else m * (m - 1) * (m - 2) / 6 end as e from m, z) select size, supp, floor(e * exp(supp * ln(w / e) - w / e - lgamma(supp + 1)) + 0.5) as expected from slots join every using (size), c",
+    "idempotent_weights": f"""with recursive {_TX}, code as (select item, row_number() over (order by item) - 1 as c from (select distinct item from tx)),
+b as (select items, mask, count(*)::bigint as w from (select tid, string_agg(item, ' ' order by item) as items, sum(1::bigint << c)::bigint as mask from tx join code using (item) group by tid) group by 1, 2),
+step as (
+  select (select max(bit_count(mask)) from b)::bigint as z, items, mask, w from b
+  union all
+  select t.z - 1, t.items, t.mask, t.w - coalesce(lost, 0)::bigint from step t left join (
+    select s.mask, sum(h.w) as lost from step s join step h on bit_count(h.mask) = h.z and bit_count(s.mask) < h.z and (s.mask & h.mask) = s.mask group by s.mask) x on x.mask = t.mask
+  where t.z > 1)
+select items, w as wgt from step where z = 1""",
+    "surrogate_frequencies": f"with {_TX} select item, count(*)::bigint as frq, true as moved from tx group by item",
     "set_log_quotient": f"with recursive {_all(_LEAST_SQL)} select items, size, supp, round(case when size = 1 then 0 else log2(supp / n) - (select sum(log2(f1.supp / n)) from f1 where list_contains(l, a)) end, 8) as value from sets, total",
     "set_rule_measure": f"with recursive {_all(_LEAST_SQL)}, best as (select b.items, max(b.supp / p.supp) as value from below b join sets p on p.l = b.part group by 1) select items, size, supp, round(coalesce(value, 0.0), 8) as value from sets left join best using (items)",
     "surrogate_shuffle": "select p_brand, count(*)::bigint as n, true as moved from part group by p_brand",

@@ -111,7 +111,7 @@ def handlers_holding(spark, sf_dir):
 
 def spec_similarity(spark, sf_dir):
     merged = cut(S.merge_rules(rules(spark, sf_dir), similar(spark, sf_dir), 0.6))
-    return S.spec_similarity(merged, similar(spark, sf_dir))
+    return S.spec_similarity(merged, similar(spark, sf_dir)).withColumn("similarity", F.round("similarity", 8))
 
 
 def compare_thresholds(spark, sf_dir):
@@ -170,6 +170,16 @@ link as (select a, b from edge where a <> b union select b, a from edge where a
 reach as (select a as node, a as seen from link union select r.node, k.b from reach r join link k on k.a = r.seen),
 classes as (select min(seen) as group_id, node as rule_id from reach group by node)"""
 
+_RANKED = """grp as (select group_id, rule_id, string_split(split_part(rule_id, ' -> ', 1), ' ') as cl, string_split(split_part(rule_id, ' -> ', 2), ' ') as pl from classes),
+gapp as (select distinct group_id, hc.loc from grp join hc on list_has_all(hc.names, cl)),
+gyes as (select distinct group_id, hc.loc from grp join hc on list_has_all(hc.names, cl) join hr on hr.loc = hc.loc and list_has_all(hr.names, pl)),
+gnum as (select group_id, (select count(*) from gyes y where y.group_id = g.group_id)::bigint as yes, (select count(*) from gapp a where a.group_id = g.group_id) as app,
+  (select count(*) from gapp a where a.group_id = g.group_id and split_part(a.loc, ':', 1) in (select split_part(y.loc, ':', 1) from gyes y where y.group_id = g.group_id)) as near from (select distinct group_id from classes) g),
+ranked as (
+  select rule_id, 'mined' as kind, support, mined as merged_support, g as global_confidence, g as local_confidence from rules join conf using (rule_id)
+  union all
+  select rule_id, 'merged', support, yes, yes / nullif(app, 0), coalesce(yes / nullif(near, 0), 0) from classes join rules using (rule_id) join conf using (rule_id) join gnum using (group_id))"""
+
 SQL = {
     "handler_sides": f"with recursive {_H} select h.id, h.loc, h.fn, coalesce((select string_agg(name, ' ' order by name) from cc where cc.loc = h.loc), '') as context, coalesce((select string_agg(name, ' ' order by name) from rr where rr.loc = h.loc), '') as response from han h",
     "handler_sentences": f"with recursive {_H} select id as tid, string_agg(item, ' ' order by item) as items from t group by id",
@@ -180,6 +190,12 @@ SQL = {
     "rule_confidences": f"with recursive {_H} select rule_id, support, applicable, round(g, 8) as global_confidence, round(l, 8) as local_confidence from conf",
     "rule_implementations": f"with recursive {_H} select rule_id, count(distinct split_part(split_part(loc, ':', 1), '/', 2)) > 1 as crosses from res where violation = 0 group by rule_id",
     "spec_best_per_response": f"with recursive {_H}, b as (select rule_id, support as merged_support, l, row_number() over (partition by p order by l desc, support desc, rule_id) as i from conf join rules using (rule_id)) select rule_id, merged_support, round(l, 8) as local_confidence from b where i = 1 and l > 0.3",
+    "ranked_specs": f"with recursive {_H}, {_MERGED}, {_RANKED} select * from ranked",
+    "compare_thresholds": f"""with recursive {_H}, {_MERGED}, {_RANKED}, best as (select rule_id, max(merged_support) as m, max(merged_support) filter (kind = 'mined') as own from ranked group by 1)
+select rule_id, row_number() over (order by own desc, rule_id) as rank_a, row_number() over (order by m desc, rule_id) as rank_b from best""",
+    "spec_similarity": f"""with recursive {_H}, {_MERGED}, part as (select group_id, rule_id, 'c' as side, unnest(string_split(split_part(rule_id, ' -> ', 1), ' ')) as name from classes union select group_id, rule_id, 'r', unnest(string_split(split_part(rule_id, ' -> ', 2), ' ')) from classes),
+names as (select distinct group_id, side, name from part)
+select group_id, case when exists (select 1 from names x join names y on x.side = y.side and x.group_id = y.group_id join syn on i = x.name and j = y.name where x.group_id = c.group_id) then 0.9::double else 1.0::double end as similarity from (select distinct group_id from classes) c""",
     "merge_rule_classes": f"with recursive {_H}, {_MERGED} select group_id, rule_id from classes",
     "specs_without_listed": f"with recursive {_H}, often as (select list(name) as names from (select name from cc group by 1 order by count(*) desc, name limit 5)) select rule_id from rules, often where not list_has_all(names, cl) and not list_has_all(names, pl)",
     "specs_not_subsumed": f"with recursive {_H} select rule_id from rules a where not exists (select 1 from rules b where b.rule_id <> a.rule_id and ((list_has_all(a.cl, b.cl) and (len(b.cl) < len(a.cl) or b.rule_id < a.rule_id)) or (list_has_all(a.pl, b.pl) and (len(b.pl) < len(a.pl) or b.rule_id < a.rule_id))))",

@@ -93,5 +93,14 @@ SQL = {
     "pair_similarity": f"with {_V} select a.word as a, printf('v%07d', a.vec_id + 1) as b, round(coalesce(list_cosine_similarity(a.x, b.x), 0), 6) as similarity from v a left join v b on b.vec_id = a.vec_id + 1",
     "most_similar_words": f"with {_V}, r as (select *, row_number() over (partition by word order by s desc, other) as rank from s where vec_id % 50 = 0) select word, other, round(s, 6) as similarity, rank::int as rank from r where rank <= 10",
     "similarity_histogram": f"with {_V} select round(floor(round(s, 9) / 0.05) * 0.05, 2) as bin, count(*)::bigint as n from s group by 1",
+    "analogies": """with v as (select printf('v%07d', vec_id) as word, vec_id as id, label::varchar as name, list_transform(embedding::double[], lambda e: e / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as u from embeddings),
+q as (select a.word as a, b.word as b, c.word as c, d.word as d, d.name as dn, list_transform(list_zip(b.u, a.u, c.u), lambda z: z[1] - z[2] + z[3]) as goal from v a join v b on b.id = a.id + 5 join v c on c.id = a.id + 10 join (select id, word, name from v) d on d.id = a.id + 15 where a.id % 50 = 0),
+s as (select a, b, c, d, dn, word, name, row_number() over (partition by a, b, c, d order by list_cosine_similarity(goal, u) desc, word desc) as r from q join v on word not in (a, b, c))
+select a, b, c, d, word as predicted, coalesce(word = d or name = dn, false) as correct from s where r = 1""",
+    "dbscan": f"""with recursive {_V}, near as (select a.word as a, b.word as b from v a join v b on a.word <> b.word where 2 - 2 * list_cosine_similarity(a.x, b.x) <= 1.15 * 1.15),
+core as (select word from v where (select count(*) from near where a = word) + 1 >= 3), ce as (select a, b from near where a in (select word from core) and b in (select word from core)),
+cc as (select word as node, word as low from core union select b, low from cc join ce on a = node), cl as (select node, min(low) as low from cc group by node),
+edge as (select a, min(low) as low from near join cl on b = node group by a)
+select word, coalesce(cl.low, edge.low, '') as cluster_id from v left join cl on cl.node = word left join edge on edge.a = word""",
     "near_vector_pairs": f"with {_V} select a.word as a, b.word as b from v a join v b on a.word < b.word where 2 - 2 * list_cosine_similarity(a.x, b.x) <= 1.1 * 1.1",
 }
