@@ -96,10 +96,9 @@ def pushdown(edges: DataFrame, labels: DataFrame, remove: list[str] | None = Non
     return arcs, labels.select("id", "label").unionByName(new)
 
 
-def label_index(arcs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(label, occurrences): where each label is found: target node and the arc's whole label list."""
-    each = arcs.select("target", "label_id", F.explode("label_id").alias("id")).join(labels, "id")
-    return each.groupBy("label").agg(F.array_sort(F.collect_set(F.struct("target", "label_id"))).alias("occurrences"))
+def label_rows(arcs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, target, label_id): where each label is found, one row each: target node and the arc's whole label list."""
+    return arcs.select("target", "label_id", F.explode("label_id").alias("id")).join(labels, "id").select("label", "target", "label_id").distinct()
 
 
 def graph_counts(arcs: DataFrame) -> DataFrame:

@@ -1,19 +1,24 @@
 """Biased random walks with a call stack, as joins of the walkers with the arc table.
 
-Each step joins every walker with its node's row, so neither the graph nor the
-walks must fit anywhere.  All draws are hashes of (seed, walk, step): a lost
+Each step joins every walker with the bucket of ways that it drew, so neither
+the graph nor the walks nor the neighbours of a node must fit anywhere.  All draws are hashes of (seed, walk, step): a lost
 task repeats the same walk.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.operators.graph import label_index, may_return
+from quarry.operators.graph import kind, label_rows, return_nodes
+from quarry.operators.skew import global_rank, lookup_join
 from quarry.session import cut
 
-CUT_EVERY = 8
+CUT_EVERY, BUCKET = 8, 256
+CALL, BACK, ANY, MAY = "call", "back", "any", "may"
 ENTER, EXIT = "F2V_ENTERFN", "F2V_EXITFN"
 
 
@@ -22,17 +27,36 @@ def _draw(n: Column, *salt: Column) -> Column:
     return (F.pmod(F.xxhash64(*salt), F.greatest(n, F.lit(1))) + 1).cast("int")
 
 
-def node_table(arcs: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, ways, return_node, may_ret): for each node its distinct neighbours with their parallel arcs."""
-    named = arcs.withColumn("_a", F.monotonically_increasing_id())
+def way_table(arcs: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ways, nodes): what leads on from each node, in buckets, and what a walker must know of a node.
+
+    nodes: (node, about); about has the node, its return node and the numbers
+    of ways into calls, to the return node, of any kind elsewhere, and of
+    possible returns.  ways: (node, kind, bucket, list) with at most ``BUCKET``
+    ways; each has what is known of its target and of the return node, and the
+    parallel arcs with their words.  So one join a step is enough, and no row
+    grows with the degree of a node.
+    """
+    named = cut(arcs.withColumn("_a", F.monotonically_increasing_id()))
     words = named.select("_a", F.posexplode_outer("label_id").alias("pos", "id")).join(labels, "id", "left")
     words = words.groupBy("_a").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("pos", "label")))), lambda s: s["label"]).alias("words"))
-    each = named.join(words, "_a").groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("words", "push"))).alias("arcs"))
-    out = each.groupBy(F.col("source").alias("node")).agg(F.array_sort(F.collect_list(F.struct("target", "arcs"))).alias("ways"))
-    from quarry.operators.graph import return_nodes
-
-    every = arcs.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return every.join(out, "node", "left").join(return_nodes(edges), "node", "left").join(may_return(edges), "node", "left")
+    each = named.join(words, "_a").groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("words", F.col("push").isNotNull().alias("pushes")))).alias("arcs"))
+    back = cut(return_nodes(edges))
+    each = each.select(F.col("source").alias("node"), "target", "arcs").join(back, "node", "left")
+    each = each.withColumn("kind", F.when(F.col("return_node").isNull(), ANY).when(F.col("target") == F.col("return_node"), BACK).otherwise(CALL)).drop("return_node")
+    may = edges.where(kind("label") == "may_ret").select(F.col("source").alias("node"), "target").distinct()
+    may = may.select("node", "target", F.array().cast(each.schema["arcs"].dataType).alias("arcs"), F.lit(MAY).alias("kind"))
+    ranked = cut(global_rank(each.unionByName(may), ["node", "kind", "target"]))
+    first = cut(ranked.groupBy("node", "kind").agg(F.min("rank").alias("first"), F.count(F.lit(1)).cast("int").alias("n")))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("int").alias(f"n_{k}")
+    every = ranked.select(F.explode(F.array("node", "target")).alias("node")).distinct()
+    counts = every.join(first.groupBy("node").agg(*[of(k) for k in (CALL, BACK, ANY, MAY)]), "node", "left").join(back, "node", "left")
+    nodes = cut(counts.select("node", F.struct("node", F.col("return_node").alias("back"), *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in (CALL, BACK, ANY, MAY)]).alias("about")))
+    placed = ranked.join(first, ["node", "kind"]).withColumn("at", F.col("rank") - F.col("first"))
+    placed = lookup_join(cut(placed), nodes.select(F.col("node").alias("target"), F.col("about").alias("to")), "target").join(back, "node", "left")
+    placed = placed.join(nodes.select(F.col("node").alias("return_node"), F.col("about").alias("after")), "return_node", "left")
+    ways = placed.groupBy("node", "kind", F.expr(f"at div {BUCKET}").cast("int").alias("bucket")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "to", "after", "arcs"))), lambda w: F.struct(w["to"].alias("to"), w["after"].alias("after"), w["arcs"].alias("arcs"))).alias("list"))
+    return cut(ways), nodes
 
 
 def random_walks(arcs: DataFrame, edges: DataFrame, labels: DataFrame, *, walks_per_label: int = 1, length: int = 20, bias: float = 1.0, seed: int = 0, interprocedural: bool = True, markers: bool = True) -> DataFrame:
@@ -42,51 +66,58 @@ def random_walks(arcs: DataFrame, edges: DataFrame, labels: DataFrame, *, walks_
     labels; at a call site it enters the call with probability
     min(0.5, 1 / bias^depth); at a function's end it pops the stack, or with an
     empty stack goes to a random possible return.  Walks of one label or less
-    are left out.
+    are left out.  Walkers carry their place and stack only; the tokens of
+    ``CUT_EVERY`` steps are written together and put in order at the end.
     """
-    table = cut(node_table(arcs, edges, labels))
-    index = label_index(arcs, labels)
-    names = F.transform  # labels of a start arc come from the dictionary
-    dictionary = labels.select(F.col("id"), F.col("label").alias("word"))
-    start = index.select("label", F.explode(F.sequence(F.lit(1), F.lit(walks_per_label))).alias("round"), "occurrences")
-    start = start.withColumn("o", F.element_at("occurrences", _draw(F.size("occurrences"), F.lit(seed), F.col("label"), F.col("round"))))
-    start = start.select(F.xxhash64("label", "round", F.lit(seed)).alias("walk_id"), F.col("label").alias("start_label"), F.col("o.target").alias("node"), F.col("o.label_id").alias("ids"))
-    first = start.select("walk_id", F.posexplode("ids").alias("pos", "id")).join(dictionary, "id").groupBy("walk_id").agg(names(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]).alias("tokens"))
+    ways, nodes = way_table(arcs, edges, labels)
+    found = cut(global_rank(label_rows(arcs, labels), ["label", "target", "label_id"]))
+    first = cut(found.groupBy("label").agg(F.min("rank").alias("first"), F.count(F.lit(1)).cast("int").alias("n")))
+    start = first.select("label", "first", "n", F.explode(F.sequence(F.lit(1), F.lit(walks_per_label))).alias("round"))
+    start = start.select("label", F.xxhash64("label", "round", F.lit(seed)).alias("walk_id"), (F.col("first") + _draw(F.col("n"), F.lit(seed), F.col("label"), F.col("round")) - 1).alias("rank"))
+    start = cut(start.join(found.select("rank", F.col("target").alias("node"), "label_id"), "rank"))
+    words = start.select("walk_id", F.posexplode("label_id").alias("pos", "id")).join(labels.select("id", F.col("label").alias("word")), "id")
+    said = [words.groupBy("walk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]).alias("tokens")).withColumn("step", F.lit(0))]
     none = F.array().cast("array<string>")
-    state = start.drop("ids").join(first, "walk_id").select("walk_id", "start_label", "node", "tokens", none.alias("stack"), F.lit(0).alias("calls"), F.lit(0).alias("returns"), F.lit(0).alias("max_depth"), F.lit(1).alias("edges_visited"))
-    state = cut(state)
+    about = nodes.schema["about"].dataType
+    state = lookup_join(start.select("walk_id", F.col("label").alias("start_label"), "node"), nodes, "node").drop("node").withColumnRenamed("about", "at")
+    state = cut(state.withColumns({"stack": F.array().cast(T.ArrayType(about)), "calls": F.lit(0), "max_depth": F.lit(0), "edges_visited": F.lit(1), "tokens": none}))
     for step in range(1, length):
-        at = state.join(table, "node", "left")
         salt = lambda k: (F.lit(seed), F.col("walk_id"), F.lit(step), F.lit(k))  # noqa: E731,B023
-        ways = F.coalesce("ways", F.array().cast(table.schema["ways"].dataType))
-        depth = F.col("calls")
-        chance = F.least(F.lit(0.5), F.pow(F.lit(float(bias)), -depth.cast("double")))
-        coin = F.pmod(F.xxhash64(*salt("coin")), F.lit(1 << 20)) / float(1 << 20)
-        entering = coin < chance
-        at_call = F.col("return_node").isNotNull()
-        choice = F.filter(ways, lambda w: ~at_call | F.when(entering, w["target"] != F.col("return_node")).otherwise(w["target"] == F.col("return_node")))  # noqa: B023
-        at = at.withColumn("choice", choice).withColumn("way", F.try_element_at("choice", _draw(F.size("choice"), *salt("way"))))
-        at = at.withColumn("arc", F.try_element_at("way.arcs", _draw(F.size("way.arcs"), *salt("arc"))))
-        moved, pushes = F.col("node").isNotNull() & F.col("way").isNotNull(), F.col("arc.push").isNotNull()
-        ended = F.col("node").isNotNull() & F.col("way").isNull()
+        chance = F.least(F.lit(0.5), F.pow(F.lit(float(bias)), -F.col("calls").cast("double")))
+        entering = F.pmod(F.xxhash64(*salt("coin")), F.lit(1 << 20)) / float(1 << 20) < chance
+        want = F.when(F.col("at.back").isNull(), ANY).when(entering, CALL).otherwise(BACK)
+        count = F.when(F.col("kind") == ANY, F.col(f"at.n_{ANY}")).when(F.col("kind") == CALL, F.col(f"at.n_{CALL}")).otherwise(F.col(f"at.n_{BACK}"))
+        here = F.col("at").isNotNull()
+        s = state.withColumn("kind", want).withColumn("n", count)
+        ended = here & (F.col("n") == 0)
         pops = ended & F.lit(interprocedural) & (F.size("stack") > 0)
-        jumps = ended & F.lit(interprocedural) & (F.size("stack") == 0) & (F.coalesce(F.size("may_ret"), F.lit(0)) > 0)
-        calls = F.col("calls") + F.when(moved & pushes, 1).when(pops, -1).otherwise(0)
-        mark = F.lit(markers)
-        state = at.select(
+        jumps = ended & F.lit(interprocedural) & (F.size("stack") == 0) & (F.col(f"at.n_{MAY}") > 0)
+        s = s.withColumns({"pops": F.coalesce(pops, F.lit(False)), "jumps": F.coalesce(jumps, F.lit(False)), "ended": F.coalesce(ended, F.lit(False)), "moved": F.coalesce(here & (F.col("n") > 0), F.lit(False))})
+        s = s.withColumn("kind", F.when(F.col("moved"), F.col("kind")).when(F.col("jumps"), MAY)).withColumn("i", _draw(F.when(F.col("jumps"), F.col(f"at.n_{MAY}")).otherwise(F.col("n")), *salt("way")) - 1)
+        s = s.withColumn("node", F.when(F.col("kind").isNotNull(), F.col("at.node"))).withColumn("bucket", F.expr(f"i div {BUCKET}").cast("int"))
+        s = s.join(ways, ["node", "kind", "bucket"], "left").withColumn("way", F.try_element_at("list", (F.col("i") % BUCKET + 1).cast("int")))
+        s = s.withColumn("arc", F.when(F.col("moved"), F.try_element_at("way.arcs", _draw(F.size("way.arcs"), *salt("arc")))))
+        pushes = F.coalesce(F.col("arc.pushes"), F.lit(False))
+        calls = F.col("calls") + F.when(pushes, 1).when(F.col("pops"), -1).otherwise(0)
+        heard = F.concat(F.coalesce("arc.words", none), F.when(pushes & F.lit(markers), F.array(F.lit(ENTER))).when(F.col("ended") & F.lit(markers), F.array(F.lit(EXIT))).otherwise(none))
+        state = s.select(
             "walk_id",
             "start_label",
-            F.when(moved, F.col("way.target")).when(pops, F.try_element_at("stack", F.lit(-1))).when(jumps, F.try_element_at("may_ret", _draw(F.size("may_ret"), *salt("return")))).alias("node"),
-            F.concat("tokens", F.when(moved, F.coalesce("arc.words", none)).otherwise(none), F.when(moved & pushes & mark, F.array(F.lit(ENTER))).when(ended & mark, F.array(F.lit(EXIT))).otherwise(none)).alias("tokens"),
-            F.when(moved & pushes, F.array_append("stack", F.col("arc.push"))).when(pops, F.slice("stack", 1, F.greatest(F.size("stack") - 1, F.lit(0)))).otherwise(F.col("stack")).alias("stack"),
+            F.when(F.col("kind").isNotNull(), F.col("way.to")).when(F.col("pops"), F.try_element_at("stack", F.lit(-1))).alias("at"),
+            F.when(pushes, F.array_append("stack", F.col("way.after"))).when(F.col("pops"), F.slice("stack", 1, F.greatest(F.size("stack") - 1, F.lit(0)))).otherwise(F.col("stack")).alias("stack"),
             calls.alias("calls"),
-            (F.col("returns") + F.when(jumps, 1).otherwise(0)).alias("returns"),
             F.greatest("max_depth", calls).alias("max_depth"),
-            (F.col("edges_visited") + F.when(moved | pops | jumps, 1).otherwise(0)).alias("edges_visited"),
+            (F.col("edges_visited") + F.when(F.col("moved") | F.col("pops") | F.col("jumps"), 1).otherwise(0)).alias("edges_visited"),
+            F.concat("tokens", heard).alias("tokens"),
         )
-        if step % CUT_EVERY == 0:
+        if step % CUT_EVERY == 0 or step == length - 1:
             state = cut(state)
-    return state.where(F.size("tokens") > 1).select("walk_id", "start_label", "tokens", "edges_visited", "max_depth")
+            said.append(state.select("walk_id", "tokens", F.lit(step).alias("step")))
+            state = state.withColumn("tokens", none)
+            if state.where("at is not null").isEmpty():  # every walk has ended
+                break
+    spoken = reduce(DataFrame.unionByName, said).groupBy("walk_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("step", "tokens"))), lambda x: x["tokens"])).alias("tokens"))
+    return state.drop("tokens").join(spoken, "walk_id").where(F.size("tokens") > 1).select("walk_id", "start_label", "tokens", "edges_visited", "max_depth")
 
 
 def flat_walks(arcs: DataFrame, labels: DataFrame, rounds: int = 100, seed: int = 0) -> DataFrame:

@@ -68,8 +68,7 @@ def pushdown_arcs(spark, sf_dir):
 
 def label_occurrences(spark, sf_dir):
     arcs, labels = G.pushdown(*stack_edges(spark, sf_dir))
-    found = G.label_index(arcs, labels)
-    return found.select("label", F.explode("occurrences").alias("o")).select("label", F.col("o.target").alias("target"), F.size("o.label_id").alias("n_labels"))
+    return G.label_rows(arcs, labels).select("label", "target", F.size("label_id").alias("n_labels"))
 
 
 def degree_hist(spark, sf_dir):
@@ -137,12 +136,12 @@ def flat_sentences(spark, sf_dir):
 def random_walks(spark, sf_dir):
     edges, labels = stack_edges(spark, sf_dir)
     arcs, labels = G.pushdown(edges, labels)
-    return W.random_walks(arcs, edges, labels, length=10, bias=1.5, seed=1).select("walk_id", "start_label", F.array_join("tokens", " ").alias("tokens"), "edges_visited", "max_depth")
+    return W.random_walks(arcs, edges, labels, walks_per_label=100, length=100, bias=1.5, seed=1).select("walk_id", "start_label", F.array_join("tokens", " ").alias("tokens"), "edges_visited", "max_depth")
 
 
 def flat_walks(spark, sf_dir):
     arcs, labels = G.pushdown(*stack_edges(spark, sf_dir))
-    return W.flat_walks(arcs, labels, 3).groupBy("fn").agg(F.count(F.lit(1)).alias("rounds"), F.max(F.size("tokens")).alias("n_tokens"))
+    return W.flat_walks(arcs, labels, 100).select("fn", "round", F.array_join("tokens", " ").alias("tokens"))
 
 
 def walk_label_hist(spark, sf_dir):
