@@ -24,17 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.names import clean_name
+from quarry.operators.pairs import LONG, PAIRS_IN_MEMORY, pair_sums
 from quarry.operators.skew import global_rank, lookup_join
 from quarry.session import cut
 
-LONG = 4096
-PAIRS_IN_MEMORY, SUMS_IN_MEMORY = 2_000_000, 2_000_000
 EXACT_FREQUENCY, FREQUENCY_CLASSES = 1024, 256  # a class each up to here, then so many for each doubling
 EXACT_SIZE, SIZE_CLASSES = 256, 64
 FIT_ROUNDS, FIT_ERROR = 2000, 1e-9
@@ -147,77 +144,6 @@ def log_tail(count: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sums(n_codes: int):
-    """Batches of (basket, slice, code), sorted, to (code_a, code_b, n_ab): the partition's pairs, code_a < code_b, added up."""
-
-    def pairs(codes: np.ndarray, length: np.ndarray, slices: np.ndarray) -> Iterator[np.ndarray]:
-        """Pair codes of whole runs, about ``PAIRS_IN_MEMORY`` at a time."""
-        starts = np.cumsum(length) - length
-        place = np.arange(len(codes)) - np.repeat(starts, length)
-        partners = np.where(place // LONG == slices, np.repeat(length, length) - 1 - place, 0)
-        done = np.cumsum(partners)
-        at = 0
-        while at < len(codes):
-            end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS_IN_MEMORY, "right")))
-            some = partners[at:end]
-            first = np.repeat(np.arange(at, end), some)
-            step = np.arange(len(first)) - np.repeat(np.cumsum(some) - some, some)
-            yield codes[first] * n_codes + codes[first + 1 + step]
-            at = end
-
-    def merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        key, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        head = np.flatnonzero(np.diff(key, prepend=-1))
-        return key[head], np.add.reduceat(n, head) if len(head) else n
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def rows(sums: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(sums[0] // n_codes), pa.array(sums[0] % n_codes), pa.array(sums[1])], names=["code_a", "code_b", "n_ab"])
-
-        def count(t: pa.Table, last: bool) -> tuple[pa.Table | None, list[tuple[np.ndarray, np.ndarray]]]:
-            """What is left of an unfinished basket, and the sums of the others."""
-            if not t.num_rows:
-                return None, []
-            change = np.zeros(0, bool)
-            for c in ("basket", "slice"):
-                v = t.column(c).combine_chunks()
-                now = pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)).to_numpy(zero_copy_only=False).astype(bool)
-                change = now if not len(change) else change | now
-            starts = np.append(0, np.flatnonzero(change) + 1)
-            whole = t.num_rows if last else int(starts[-1])
-            length = np.diff(np.append(starts[starts < whole], whole))
-            codes, slices = t.column("code").to_numpy()[:whole], t.column("slice").to_numpy()[:whole]
-            return (None if last else t.slice(whole)), [np.unique(k, return_counts=True) for k in pairs(codes, length, slices)]
-
-        waiting: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            waiting.append(b)
-            size += b.num_rows
-            if size < 100_000 and rest is None or size < (rest.num_rows if rest is not None else 0):
-                continue
-            t = pa.Table.from_batches(waiting)
-            rest, sums = count(pa.concat_tables([rest, t]) if rest is not None else t, False)
-            waiting, size = [], 0
-            held += sums
-            if sum(len(h[0]) for h in held) > SUMS_IN_MEMORY:
-                held = [merge(held)]
-                if len(held[0][0]) > SUMS_IN_MEMORY // 2:
-                    yield rows(held.pop())
-        tables = ([rest] if rest is not None else []) + ([pa.Table.from_batches(waiting)] if waiting else [])
-        if tables:
-            held += count(pa.concat_tables(tables), True)[1]
-        if held:
-            yield rows(merge(held))
-
-    return run
-
-
 class Cooccurrence:
     """Pair counts over distinct (basket, item) rows; the steps share what is counted once."""
 
@@ -245,7 +171,7 @@ class Cooccurrence:
         parts = self.long.select("basket", F.ceil(F.col("size") / LONG).cast("int").alias("parts"))
         sliced = coded.join(parts, "basket", "left").select("basket", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("slice"), "code")
         placed = sliced.repartition("basket", "slice").sortWithinPartitions("basket", "slice", "code")
-        counted = placed.mapInArrow(_sums(max(self.n_kept, 1)), "code_a bigint, code_b bigint, n_ab bigint").groupBy("code_a", "code_b").agg(F.sum("n_ab").alias("n_ab"))
+        counted = placed.withColumn("wgt", F.lit(1.0)).mapInArrow(pair_sums(max(self.n_kept, 1), LONG, PAIRS_IN_MEMORY), "code_a bigint, code_b bigint, total double").groupBy("code_a", "code_b").agg(F.sum("total").cast("bigint").alias("n_ab"))
         side = lambda s: kept.select(F.col("code").alias(f"code_{s}"), F.col("item").alias(f"i_{s}"), F.col("n_item").alias(f"k_{s}"))
         named = counted.join(side("a"), "code_a").join(side("b"), "code_b")
         ordered = F.col("i_a") < F.col("i_b")
