@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.graph import between, function_of, reachable
+from quarry.operators.graph import between, function_of, kind, reachable
 from quarry.session import cut
 
 NAMES = "array<string>"
@@ -62,7 +62,7 @@ def return_sites(calls: DataFrame, of: DataFrame) -> DataFrame:
     return of.select("node", "fn").join(calls.select(F.col("callee").alias("fn"), "back"), "fn").select("node", "back").distinct()
 
 
-def _extend(start: DataFrame, steps: DataFrame, nodes: DataFrame, calls: DataFrame, most: int, forward: bool, rounds: int) -> DataFrame:
+def _extend(start: DataFrame, steps: DataFrame, nodes: DataFrame, calls: DataFrame, most: int, forward: bool) -> DataFrame:
     """(site, path, fns) of all simple paths from the sites to the end of the outermost caller reached.
 
     ``path`` holds the calls in order of the walk, ``fns`` the functions left.
@@ -77,7 +77,7 @@ def _extend(start: DataFrame, steps: DataFrame, nodes: DataFrame, calls: DataFra
         out = ends.join(calls.select(F.col("callee").alias("leaving"), F.col("node").alias("up")), "leaving", "left")
     front = cut(start.select(F.col("node").alias("site"), "node", F.array("node").alias("seen"), F.array().cast(NAMES).alias("path"), F.array().cast(NAMES).alias("fns")))
     done = None
-    for _ in range(rounds):
+    while True:  # a way visits no node twice, so all of them end
         inside = front.join(step, "node").where(~F.array_contains("seen", F.col("next"))).join(node, "next")
         inside = inside.select("site", F.col("next").alias("node"), F.array_append("seen", F.col("next")).alias("seen"), append(F.col("path"), F.col("met")).alias("path"), "fns")
         leaving = front.join(out, "node").select("site", F.col("up").alias("node"), "seen", "path", F.array_append("fns", F.col("leaving")).alias("fns"))
@@ -96,16 +96,15 @@ def _extend(start: DataFrame, steps: DataFrame, nodes: DataFrame, calls: DataFra
     return done.distinct()
 
 
-def context_paths(steps: DataFrame, nodes: DataFrame, calls: DataFrame, interesting: DataFrame, most: int = 100, rounds: int = 200) -> DataFrame:
+def context_paths(steps: DataFrame, nodes: DataFrame, calls: DataFrame, interesting: DataFrame, most: int = 100) -> DataFrame:
     """(site, path): calls before an interesting call, the call, and the calls after it, once for each sequence.
 
     Ways before and after are matched only if they leave the same functions,
-    the shorter sequence of them being the beginning of the longer.  ``rounds``
-    bounds the steps of a way; sites whose ways need more give what is complete.
+    the shorter sequence of them being the beginning of the longer.
     """
     sites = call_sites_of(nodes, interesting)
-    after = _extend(sites, steps, nodes, calls, most, True, rounds)
-    before = _extend(sites, steps, nodes, calls, most, False, rounds)
+    after = _extend(sites, steps, nodes, calls, most, True)
+    before = _extend(sites, steps, nodes, calls, most, False)
     pairs = before.select("site", F.reverse("path").alias("head"), F.col("fns").alias("fb")).join(after.select("site", F.col("path").alias("tail"), F.col("fns").alias("fa")), "site").where(prefix_compatible(F.col("fa"), F.col("fb")))
     named = pairs.join(sites.select(F.col("node").alias("site"), "call"), "site")
     return named.select("site", F.concat(hide_calls(F.col("head"), F.col("fb")), F.array("call"), hide_calls(F.col("tail"), F.col("fa"))).alias("path")).distinct()
@@ -183,6 +182,37 @@ def branch_safety(predicate: Column, constant: Column, is_code: Column, right_co
     )
 
 
+def branches_like(branches: DataFrame, name: str, file: str) -> DataFrame:
+    """The conditional branches of functions with ``name`` in their name, in files with ``file`` in theirs."""
+    return branches.where(F.contains("fn", F.lit(name)) & F.contains("file", F.lit(file)))
+
+
+def location(c: Column) -> Column:
+    """``file:line`` as a struct, ordered by file and then by line; 0 where there is no line."""
+    line = F.coalesce(F.substring_index(c, ":", -1).try_cast("int"), F.lit(0))
+    return F.when(c.isNotNull(), F.struct(F.substring_index(c, ":", 1).alias("file"), line.alias("line")))
+
+
+def inner_edges(edges: DataFrame, stacks: DataFrame, stop: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """The edges that an action visitor follows: no calls, no possible returns, not into a ``stop`` stack or a ``seen`` node.
+
+    ``stacks``: node, stack; ``stop``: stack; ``seen``: node.
+    """
+    kept = edges.where(~kind("label").isin("call", "may_ret"))
+    if stop is not None:
+        barred = stacks.join(stop.select("stack").distinct(), "stack", "left_semi").select(F.col("node").alias("target"))
+        kept = kept.join(barred, "target", "left_anti")
+    if seen is not None:
+        kept = kept.join(seen.select(F.col("node").alias("target")), "target", "left_anti")
+    return kept.select(*edges.columns)
+
+
+def nesting_pairs(visited: DataFrame, stacks: DataFrame, handlers: DataFrame) -> DataFrame:
+    """(parent, child): a handler's stack with each other handler's that it meets; ``visited`` has stack and node."""
+    met = visited.join(stacks.select("node", F.col("stack").alias("child")), "node").where(F.col("child") != F.col("stack"))
+    return met.join(handlers.select(F.col("stack").alias("child")).distinct(), "child", "left_semi").select(F.col("stack").alias("parent"), "child").distinct()
+
+
 def points_to(stores: DataFrame) -> DataFrame:
     """(struct, index, functions): functions stored in each field."""
     return stores.groupBy("struct", "index").agg(F.array_sort(F.collect_set("fn")).alias("functions"))

@@ -111,6 +111,13 @@ def results(rules: DataFrame, handlers: DataFrame) -> DataFrame:
     return applicable(rules, handlers).join(s, ["rule_id", "loc"], "left").select("rule_id", "loc", F.when(F.col("ok") == 1, 0).otherwise(1).alias("violation"))
 
 
+def applies_counted(rules: DataFrame, handlers: DataFrame) -> DataFrame:
+    """(rule_id, loc): applicable handlers whose context counts some name of the rule less often than both its sides together."""
+    a = applicable(rules, handlers).join(rules.select("rule_id", F.concat("context", "response").alias("names")), "rule_id").join(handlers.select("loc", F.col("context").alias("have")), "loc")
+    times = lambda c, x: F.size(F.filter(c, lambda y: y == x))
+    return a.where(F.exists("names", lambda x: times(F.col("names"), x) > times(F.col("have"), x))).select("rule_id", "loc")
+
+
 def missing_items(rules: DataFrame, handlers: DataFrame) -> DataFrame:
     """(rule_id, loc, missing): what a violating handler does not do."""
     bad = results(rules, handlers).where("violation = 1").join(rules.select("rule_id", F.col("response").alias("want")), "rule_id")

@@ -112,7 +112,7 @@ def context_paths(spark, sf_dir):
         rows = pairs.select(node(what).alias("node"), fn.alias("fn"), call.alias("call"), F.lit(entry).alias("entry"), F.lit(leave).alias("exit"))
         nodes = rows if nodes is None else nodes.unionByName(rows)
     wanted = pairs.where("inner is not null").select(F.col("inner").alias("name")).distinct()
-    return P.path_lines(P.context_paths(cut(steps), cut(nodes), cut(calls), wanted, 100, 24), True)
+    return P.path_lines(P.context_paths(cut(steps), cut(nodes), cut(calls), wanted, 100), True)
 
 
 QUERIES = {f.__name__: f for f in (edge_lines, walk_round_trip, vector_round_trip, cluster_round_trip, relation_round_trip, transaction_round_trip, set_lines, rule_lines, spectrum_lines, spec_table_round_trip, item_of_instruction, branch_safety, caller_pairs, context_paths)}
