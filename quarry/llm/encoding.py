@@ -16,6 +16,12 @@ a token is garbled too if all of it is strict UTF-8 of a plausible, shorter text
 or if it is Cyrillic of one case whose letters are far likelier in the other case
 of another Cyrillic set.  The steps that explain most garbled tokens of a document
 are tried on the others as well.
+
+A model of characters between their neighbours, counted over all texts, decides
+where the letters of the wrong set are regular too: a token with a character that
+is rare between its neighbours is read in the other single-byte sets, and the
+likeliest reading counts if it gains enough bits, alone or with others of the
+document; of several UTF-8 readings the likeliest is taken.
 """
 
 from __future__ import annotations
@@ -29,8 +35,10 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Character sets that occur as what was read and as what was written.
@@ -75,6 +83,7 @@ class _Everything:
 
 EVERY_LETTER = _Everything()
 TOKEN_COST, UTF8_COST, WEAK_COST, WEAK_TOKENS, AGREE_COST = 1.5, 0.9, 0.5, 3, 0.6
+MODEL_BITS, RARE_SHARE, LIKELY_BITS, GAIN_BITS, ALONE_BITS = 20, 2e-5, 3.0, 5.0, 14.0
 STEP_COST, SWAP_COST, GOOD_COST, NEUTRAL_COST, LONE_SIGN_COST = 0.1, 0.6, 0.3, 0.25, 0.6
 MOST_STEPS, MOST_STATES = 3, 600
 CACHE_TOKENS, CACHE_CHARS = 200_000, 1 << 16
@@ -393,6 +402,97 @@ def follow(token: str, way: str) -> str | None:
     return token
 
 
+def _slots(before: np.ndarray, c: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The model's slot of each character between its neighbours (code points as uint64)."""
+    h = before * np.uint64(0x9E3779B1) ^ c * np.uint64(0x85EBCA77) ^ after * np.uint64(0xC2B2AE3D)
+    return (h * np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - MODEL_BITS)
+
+
+def contexts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(place, slot) of every character beyond ASCII; ASCII other than letters counts as a blank beside it."""
+    u = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    at = np.flatnonzero(u > 0x7F)
+    if not len(at):
+        return at, at.astype(np.uint64)
+    low = u | np.uint64(32)
+    u = np.where((u < 0x80) & ~((low >= 97) & (low <= 122)), np.uint64(32), u)
+    return at - 1, _slots(u[at - 1], u[at], u[at + 1])
+
+
+def character_model(df: DataFrame, text: str) -> np.ndarray:
+    """log2 of one and the number of times that each character beyond ASCII occurs between its neighbours, over all texts.
+
+    The counts are hashed into 2^``MODEL_BITS`` slots, so the model has one
+    size whatever the data; every partition adds its own up before the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << MODEL_BITS, np.int64)
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                some = [t for t in b.column(0).slice(lo, 500).to_pylist() if t]
+                slots = contexts("\n".join(some))[1].astype(np.int64)
+                if len(slots):
+                    total += np.bincount(slots, minlength=len(total))
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["slot", "n"])
+
+    model = np.zeros(1 << MODEL_BITS, np.float32)
+    counts = df.select(text).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2^MODEL_BITS rows
+    model[counts["slot"].to_numpy()] = np.log2(1 + counts["n"].to_numpy())
+    return model
+
+
+def learned(token: str, model: np.ndarray) -> tuple[float, str, str]:
+    """(bits gained, text, step) of the single-byte reading that the model holds likelier by far; (0, token, '') if none.
+
+    Only tokens with a character that is rare between its neighbours are read
+    anew.  The gain is the sum of log2 counts over the characters.
+    """
+    rare = float(np.log2(1 + 2.0 ** model.max() * RARE_SHARE))
+    place, slots = contexts(token)
+    if not len(place) or model[slots].min() > max(rare, 2.0):
+        return 0.0, token, ""
+    own = np.zeros(len(token))
+    own[place] = model[slots]
+    best = (0.0, token, "")
+    raws: dict[bytes, str] = {}
+    for r in READ_AS:
+        if (raw := _encode(token, r)) is not None:
+            raws.setdefault(raw, r)
+    seen = {token}
+    for raw, r in raws.items():
+        for w in WRITTEN_AS:
+            if w in ("utf_8", r) or (s := _decode(raw, w)) is None or s in seen:
+                continue
+            seen.add(s)
+            place, slots = contexts(s)
+            if not len(place) or model[slots].min() < rare + LIKELY_BITS:
+                continue
+            gain = float((model[slots] - own[place]).sum())
+            if gain > best[0] and gain >= LIKELY_BITS * len(place) and oddness(s) <= oddness(token) + NEUTRAL_COST:
+                best = (gain, s, f"{r}>{w}")
+    return best if best[0] >= GAIN_BITS else (0.0, token, "")
+
+
+def likelier_utf8(token: str, fixed: str, way: str, model: np.ndarray) -> tuple[str, str]:
+    """(text, steps): of several strict UTF-8 readings of a token the one whose characters the model holds likeliest."""
+    if way.count(">") != 1 or not way.endswith(">utf_8"):
+        return fixed, way
+    mean = lambda s: float(model[c[1]].mean()) if len((c := contexts(s))[0]) else 0.0
+    best = (mean(fixed) + LIKELY_BITS, fixed, way)
+    for r in READ_AS:
+        if (raw := _encode(token, r)) is None:
+            continue
+        try:
+            s = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if s != fixed and len(s) < len(token) and (bits := mean(s)) > best[0]:
+            best = (bits, s, f"{r}>utf_8")
+    return best[1], best[2]
+
+
 def guess_language(tokens: list[str]) -> str:
     """The language whose function words the tokens hold most; if they hold none, Russian where most are not ASCII, else ''."""
     votes: dict[str, int] = defaultdict(int)
@@ -408,8 +508,11 @@ _SPACES = re.compile(r"[ \t\r\n]+")
 _ENTITY = re.compile(r"&#?\w+;")
 
 
-def inspect(text: str | None) -> tuple[bool, str | None, int]:
-    """(garbled, restored text, tokens changed) of a text; null and plain ASCII texts are not garbled."""
+def inspect(text: str | None, model: np.ndarray | None = None, known: dict | None = None) -> tuple[bool, str | None, int]:
+    """(garbled, restored text, tokens changed) of a text; null and plain ASCII texts are not garbled.
+
+    ``known`` keeps what the model said of tokens.
+    """
     if not text or text.isascii() and not _ENTITY.search(text):
         return False, text, 0
     tokens = text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
@@ -424,6 +527,8 @@ def inspect(text: str | None) -> tuple[bool, str | None, int]:
         saved, fixed, way = search(t, lang)
         if way and saved >= (UTF8_COST if way.endswith(">utf_8") and fixed and len(fixed) < len(t) else TOKEN_COST):
             garbled = True
+            if model is not None:
+                fixed, way = likelier_utf8(t, fixed, way, model)
             fixes[t] = fixed
             ways[way] += 1
         elif (sure := certain(t, lang))[1]:
@@ -438,6 +543,24 @@ def inspect(text: str | None) -> tuple[bool, str | None, int]:
             garbled = True
             fixes |= some
             ways[way] += len(some)
+    if model is not None:
+        gains: dict[str, float] = defaultdict(float)
+        read: dict[str, dict] = defaultdict(dict)
+        for t in odd - fixes.keys():
+            if t.isascii():
+                continue
+            if (said := known.get(t)) is None:
+                if len(known) > CACHE_TOKENS:
+                    known.clear()
+                said = known[t] = learned(t, model)
+            if said[2]:
+                gains[said[2]] += said[0]
+                read[said[2]][t] = said[1]
+        for way, some in read.items():
+            if way in ways or gains[way] >= ALONE_BITS:
+                garbled = True
+                fixes |= some
+                ways[way] += len(some)
     if fixes:  # what garbled most of the text likely garbled the rest
         way = max(ways, key=lambda w: (ways[w], w))
         for t in odd:
@@ -462,13 +585,15 @@ def find_garbled(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     whole, equal rows give equal rows, other columns are left out.  No shuffle.
     """
     kind = df.schema[doc_id].dataType
+    shared = df.sparkSession.sparkContext.broadcast(character_model(df, text))  # 2^MODEL_BITS numbers
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("restored", T.StringType()), T.StructField("n_restored", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for b in batches:
             hits, texts, changed = [], [], []
             for i, t in enumerate(b.column(1)):
-                garbled, restored, n = inspect(t.as_py())
+                garbled, restored, n = inspect(t.as_py(), shared.value, known)
                 if garbled:
                     hits.append(i)
                     texts.append(restored)

@@ -403,3 +403,26 @@ def test_find_garbled(spark):
     got = encoding.find_garbled(spark.createDataFrame(rows, "doc_id long, text string, restored string"), "doc_id", "text").collect()
     assert sorted(r["doc_id"] for r in got) == [3, 3, 4, 5] and {r["restored"] for r in got if r["doc_id"] == 3} == {"für die"}
     assert next(r for r in got if r["doc_id"] == 5)["restored"].endswith("über")
+
+
+def test_the_model_of_the_corpus_decides_where_letters_are_regular(spark):
+    good = "w ocenie sądu strony się więc nie zgadzają, że będzie później"
+    bad = "strony siê wiêc nie pojawiły"
+    rows = [(i, good, "x") for i in range(400)] + [(1000, bad, "x"), (1001, FOREIGN[0], "x"), (1002, None, "x"), (1003, "", "x"), (1004, "siê wiêc", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, restored string").repartition(5)
+    got = {r["doc_id"]: r["restored"] for r in encoding.find_garbled(df, "doc_id", "text").collect()}
+    assert got == {1000: bad.replace("ê", "ę"), 1004: "się więc"}
+    assert not encoding.inspect(bad)[0]  # nothing tells without the corpus
+    assert encoding.find_garbled(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_model_slots():
+    text = "zażółć — jaźń, Ü!"
+    place, slots = encoding.contexts(text)
+    assert [text[i] for i in place] == [c for c in text if c > "\x7f"]
+    alike = {i: encoding.contexts(f"{text[i - 1]}{text[i]}{text[i + 1]}") for i in place}
+    for i, s in zip(place, slots):
+        inner = alike[i]
+        assert s == inner[1][list(inner[0]).index(1)]
+    assert encoding.contexts("1ü.")[1][0] == encoding.contexts(" ü ")[1][0] != encoding.contexts("aü ")[1][0]
+    assert len(encoding.contexts("plain")[0]) == 0
