@@ -44,6 +44,7 @@ from pyspark.sql import types as T
 # Character sets that occur as what was read and as what was written.
 READ_AS = ("cp1252", "latin_1", "cp1250", "cp1251", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_15", "mac_cyrillic", "cp1254", "cp1257", "cp1253")
 WRITTEN_AS = ("utf_8", "cp1252", "cp1250", "cp1251", "koi8_r", "cp866", "iso8859_2", "mac_roman", "cp850", "cp852", "cp437", "iso8859_5", "mac_cyrillic")
+SINGLE_BYTE = WRITTEN_AS[1:]
 
 # The letters beyond ASCII of each language, and frequent function words.
 _LOWER = {"de": "äöüß", "en": "éöï", "es": "áéíóúñü", "fr": "àâæçéèêëîïôœùûüÿ", "pl": "ąćęłńóśźż", "pt": "ãõáàâçéêíóôúü", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюяё"}
@@ -83,7 +84,7 @@ class _Everything:
 
 EVERY_LETTER = _Everything()
 TOKEN_COST, UTF8_COST, WEAK_COST, WEAK_TOKENS, AGREE_COST = 1.5, 0.9, 0.5, 3, 0.6
-MODEL_BITS, RARE_SHARE, LIKELY_BITS, GAIN_BITS, ALONE_BITS = 20, 2e-5, 3.0, 5.0, 14.0
+MODEL_BITS, RARE_SHARE, RARE_BITS, LIKELY_BITS, GAIN_BITS, ALONE_BITS = 20, 2e-5, 2.0, 3.0, 5.0, 14.0
 STEP_COST, SWAP_COST, GOOD_COST, NEUTRAL_COST, LONE_SIGN_COST = 0.1, 0.6, 0.3, 0.25, 0.6
 MOST_STEPS, MOST_STATES = 3, 600
 CACHE_TOKENS, CACHE_CHARS = 200_000, 1 << 16
@@ -419,6 +420,35 @@ def contexts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at - 1, _slots(u[at - 1], u[at], u[at + 1])
 
 
+@functools.cache
+def _code_points() -> np.ndarray:
+    """(set, byte): the code points of the single-byte sets."""
+    return np.array([[ord(c) for c in _sloppy(w)[1]] for w in SINGLE_BYTE], np.uint64)
+
+
+class Model:
+    """``bits``: log2 of one and the count of each slot; ``rare``: up to there a character is rare between its neighbours."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+        self.rare = max(float(np.log2(1 + 2.0 ** bits.max() * RARE_SHARE)), RARE_BITS)
+        self.met: dict[str, float] = {}  # by the three characters
+
+    def least(self, token: str) -> float:
+        """The least bits of a character beyond ASCII in the token."""
+        low, padded = math.inf, f" {token} "
+        for i, c in enumerate(token):
+            if c > "\x7f":
+                three = padded[i : i + 3]
+                if (bits := self.met.get(three)) is None:
+                    if len(self.met) > CACHE_TOKENS:
+                        self.met.clear()
+                    place, slots = contexts(f"{three[0]}{c}{three[2]}")
+                    bits = self.met[three] = float(self.bits[slots[list(place).index(1)]])
+                low = min(low, bits)
+        return low
+
+
 def character_model(df: DataFrame, text: str) -> np.ndarray:
     """log2 of one and the number of times that each character beyond ASCII occurs between its neighbours, over all texts.
 
@@ -443,43 +473,46 @@ def character_model(df: DataFrame, text: str) -> np.ndarray:
     return model
 
 
-def learned(token: str, model: np.ndarray) -> tuple[float, str, str]:
+def learned(token: str, model: Model) -> tuple[float, str, str]:
     """(bits gained, text, step) of the single-byte reading that the model holds likelier by far; (0, token, '') if none.
 
     Only tokens with a character that is rare between its neighbours are read
     anew.  The gain is the sum of log2 counts over the characters.
     """
-    rare = float(np.log2(1 + 2.0 ** model.max() * RARE_SHARE))
-    place, slots = contexts(token)
-    if not len(place) or model[slots].min() > max(rare, 2.0):
+    if not model.rare >= model.least(token):
         return 0.0, token, ""
-    own = np.zeros(len(token))
-    own[place] = model[slots]
-    best = (0.0, token, "")
+    place, slots = contexts(token)
     raws: dict[bytes, str] = {}
     for r in READ_AS:
         if (raw := _encode(token, r)) is not None:
             raws.setdefault(raw, r)
-    seen = {token}
-    for raw, r in raws.items():
-        for w in WRITTEN_AS:
-            if w in ("utf_8", r) or (s := _decode(raw, w)) is None or s in seen:
-                continue
-            seen.add(s)
-            place, slots = contexts(s)
-            if not len(place) or model[slots].min() < rare + LIKELY_BITS:
-                continue
-            gain = float((model[slots] - own[place]).sum())
-            if gain > best[0] and gain >= LIKELY_BITS * len(place) and oddness(s) <= oddness(token) + NEUTRAL_COST:
-                best = (gain, s, f"{r}>{w}")
-    return best if best[0] >= GAIN_BITS else (0.0, token, "")
-
-
-def likelier_utf8(token: str, fixed: str, way: str, model: np.ndarray) -> tuple[str, str]:
+    if not raws:
+        return 0.0, token, ""
+    own = np.zeros(len(token), np.float32)
+    own[place] = model.bits[slots]
+    # every reading at once: (set written in, set read as, character)
+    u = _code_points()[:, np.frombuffer(b"".join(raws), np.uint8).reshape(len(raws), -1)]
+    low = u | np.uint64(32)
+    near = np.where((u < 0x80) & ~((low >= 97) & (low <= 122)), np.uint64(32), u)
+    near = np.pad(near, ((0, 0), (0, 0), (1, 1)), constant_values=32)
+    bits, beyond = model.bits[_slots(near[..., :-2], u, near[..., 2:])], u > 0x7F
+    gain = np.where(beyond, bits - own, 0).sum(-1)
+    fair = (np.where(beyond, bits, np.inf).min(-1) >= model.rare + LIKELY_BITS) & (gain >= np.maximum(LIKELY_BITS * beyond.sum(-1), GAIN_BITS)) & beyond.any(-1)
+    at = np.argwhere(fair)
+    names = list(raws.values())
+    for i in np.argsort(-gain[fair], kind="stable"):
+        w, r = SINGLE_BYTE[at[i][0]], names[at[i][1]]
+        s = "".join(map(chr, u[tuple(at[i])]))
+        if w != r and s != token and oddness(s) <= oddness(token) + NEUTRAL_COST:
+            return float(gain[tuple(at[i])]), s, f"{r}>{w}"
+    return 0.0, token, ""
+
+
+def likelier_utf8(token: str, fixed: str, way: str, model: Model) -> tuple[str, str]:
     """(text, steps): of several strict UTF-8 readings of a token the one whose characters the model holds likeliest."""
     if way.count(">") != 1 or not way.endswith(">utf_8"):
         return fixed, way
-    mean = lambda s: float(model[c[1]].mean()) if len((c := contexts(s))[0]) else 0.0
+    mean = lambda s: float(model.bits[c[1]].mean()) if len((c := contexts(s))[0]) else 0.0
     best = (mean(fixed) + LIKELY_BITS, fixed, way)
     for r in READ_AS:
         if (raw := _encode(token, r)) is None:
@@ -508,7 +541,7 @@ _SPACES = re.compile(r"[ \t\r\n]+")
 _ENTITY = re.compile(r"&#?\w+;")
 
 
-def inspect(text: str | None, model: np.ndarray | None = None, known: dict | None = None) -> tuple[bool, str | None, int]:
+def inspect(text: str | None, model: Model | None = None, known: dict | None = None) -> tuple[bool, str | None, int]:
     """(garbled, restored text, tokens changed) of a text; null and plain ASCII texts are not garbled.
 
     ``known`` keeps what the model said of tokens.
@@ -589,11 +622,11 @@ def find_garbled(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("restored", T.StringType()), T.StructField("n_restored", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        model, known = Model(shared.value), {}
         for b in batches:
             hits, texts, changed = [], [], []
             for i, t in enumerate(b.column(1)):
-                garbled, restored, n = inspect(t.as_py(), shared.value, known)
+                garbled, restored, n = inspect(t.as_py(), model, known)
                 if garbled:
                     hits.append(i)
                     texts.append(restored)
