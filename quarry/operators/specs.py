@@ -176,23 +176,23 @@ def merge_edges(rules: DataFrame, similar: DataFrame, least: float, compat: bool
     r = rules.select("rule_id", "context", "response").distinct()
     one = lambda s: r.select(F.col("rule_id").alias(f"id_{s}"), F.col("context").alias(f"c_{s}"), F.col("response").alias(f"r_{s}"))
 
-    def meeting(side: str) -> DataFrame:
-        left = one("a").withColumn("k", F.explode(f"{side}_a"))
-        right = one("b").withColumn("k", F.explode(f"{side}_b"))
-        return left.join(right, "k").where("id_a < id_b").drop("k").dropDuplicates(["id_a", "id_b"])
-
-    both = {"c": "response", "r": "context"}
+    near = similar.where(F.col("sim") >= least).select("x", "y").distinct()
     edges, made = None, None
-    for side, other in both.items():
-        o = other[0]
-        pairs = meeting(side).where(F.size(F.array_intersect(f"{o}_a", f"{o}_b")) == 0).withColumn("pair_id", F.concat_ws(" | ", "id_a", "id_b"))
-        sets = synonym_sets(pairs.select("pair_id", F.col(f"{o}_a").alias("left"), F.col(f"{o}_b").alias("right")), similar, least)
-        shared = F.array_sort(F.array_intersect(f"{side}_a", f"{side}_b"))
-        new = sets.join(pairs.select("pair_id", "id_a", "id_b", shared.alias("shared")), "pair_id")
-        if side == "r" and compat:
-            new = new.select("pair_id", "id_a", "id_b", F.array().cast(NAMES).alias("context"), F.col("names").alias("response"))
+    for side, o in (("context", "response"), ("response", "context")):
+        c, p = side[0], o[0]
+        # the rules meet at a shared name and a pair of synonyms at once, so a frequent name alone makes no pairs
+        left = one("a").withColumn("k", F.explode(f"{c}_a")).withColumn("x", F.explode(f"{p}_a")).join(near, "x")
+        right = one("b").withColumn("k", F.explode(f"{c}_b")).withColumn("y", F.explode(f"{p}_b"))
+        pairs = left.join(right, ["k", "y"]).where((F.col("id_a") < F.col("id_b")) & (F.size(F.array_intersect(f"{p}_a", f"{p}_b")) == 0))
+        shared = F.array_sort(F.array_intersect(f"{c}_a", f"{c}_b"))
+        new = pairs.select(F.concat_ws(" | ", "id_a", "id_b").alias("pair_id"), shared.alias("shared"), F.explode(F.array("x", "y")).alias("name")).distinct()
+        names = F.array("name")
+        if side == "response" and compat:
+            new = new.select("pair_id", F.array().cast(NAMES).alias("context"), names.alias("response"))
+        elif side == "context":
+            new = new.select("pair_id", F.col("shared").alias("context"), names.alias("response"))
         else:
-            new = new.select("pair_id", "id_a", "id_b", F.col("shared" if side == "c" else "names").alias("context"), F.col("names" if side == "c" else "shared").alias("response"))
+            new = new.select("pair_id", names.alias("context"), F.col("shared").alias("response"))
         new = with_id(new)
         # the produced rules of a pair belong together; a single one has no partner
         e = new.select(F.min("rule_id").over(Window.partitionBy("pair_id")).alias("id_a"), F.col("rule_id").alias("id_b")).where("id_a <> id_b")
