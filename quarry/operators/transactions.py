@@ -134,29 +134,29 @@ def idempotent_weights(tx: DataFrame, item_least: int = 2) -> DataFrame:
     """(items, wgt): weight of each distinct transaction less that of its larger supersets.
 
     From the largest size down, w(s) loses the adjusted w of every distinct
-    proper superset; the loop runs over the distinct sizes.  Supersets are
-    found by joining on the transaction's rarest item and testing containment.
-    The empty transaction keeps its weight less all others.
+    proper superset; the loop runs over the distinct sizes.  A set meets the
+    larger ones that hold its two rarest items (its one item, if it has but
+    one), and containment is tested there.  The empty transaction keeps its
+    weight less all others.
     """
     from quarry.session import cut
 
     base = cut(collapse(tx))
-    rare = cut(item_frequencies(base))
-    sizes = sorted((r[0] for r in base.select(F.size("items")).distinct().collect()), reverse=True)
-    done = None
-    for size in sizes:
-        now = base.where(F.size("items") == size)
-        if done is not None and size > 0:
-            keyed = now.select("items", "wgt", F.explode("items").alias("item")).join(rare.select("item", "n"), "item")
-            key = keyed.groupBy("items", "wgt").agg(F.min(F.struct("n", "item")).alias("k")).select("items", "wgt", F.col("k.item").alias("item"))
-            larger = done.select(F.col("items").alias("big"), F.col("wgt").alias("big_wgt"), F.explode("items").alias("item"))
-            lost = key.join(larger, "item").where(contains(F.col("big"), F.col("items"))).groupBy("items").agg(F.sum("big_wgt").alias("lost"))
-            now = now.join(lost, "items", "left").select("items", (F.col("wgt") - F.coalesce("lost", F.lit(0))).alias("wgt"))
-        elif done is not None:
-            rest = done.agg(F.coalesce(F.sum("wgt"), F.lit(0)).alias("lost"))
-            now = now.crossJoin(F.broadcast(rest)).select("items", (F.col("wgt") - F.col("lost")).alias("wgt"))  # single rows
-        done = cut(now.select("items", "wgt") if done is None else done.unionByName(now))
-    return done if done is not None else base
+    rare = cut(item_frequencies(base).select("item", "n"))
+    two = base.select("items", F.explode("items").alias("item")).join(rare, "item").groupBy("items").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "item"))), 1, 2).alias("r"))
+    key = two.select("items", F.array_min(F.col("r.item")).alias("a"), F.array_max(F.col("r.item")).alias("b"))
+    state = cut(base.join(key, "items", "left").select("items", "wgt", F.size("items").alias("size"), "a", "b"))
+    for size in sorted((r[0] for r in state.select("size").distinct().collect()), reverse=True):
+        if size < 2:
+            break
+        pairs = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 1, F.size("items") - i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        larger = state.where(F.col("size") == size).select(F.col("items").alias("big"), F.col("wgt").alias("big_wgt"), F.explode(pairs).alias("p")).select("big", "big_wgt", "p.a", "p.b")
+        met = state.where(F.col("size") < size).select("items", "a", "b").join(larger, ["a", "b"]).where(F.forall("items", lambda x: F.array_contains("big", x)))
+        lost = met.groupBy("items").agg(F.sum("big_wgt").alias("lost"))
+        state = cut(state.join(lost, "items", "left").select("items", (F.col("wgt") - F.coalesce("lost", F.lit(0))).alias("wgt"), "size", "a", "b"))
+    rest = state.where("size > 0").agg(F.coalesce(F.sum("wgt"), F.lit(0)).alias("lost"))
+    empty = state.where("size = 0").crossJoin(F.broadcast(rest)).select("items", (F.col("wgt") - F.col("lost")).alias("wgt"))  # single rows
+    return state.where("size > 0").select("items", "wgt").unionByName(empty)
 
 
 STRIDES = 64
