@@ -122,7 +122,8 @@ def result_tables(spark, sf_dir):
 def merged_spec_table(spark, sf_dir):
     from quarry.operators.skew import global_rank
 
-    groups = cut(S.merge_rules(rules(spark, sf_dir), similar(spark, sf_dir), 0.6))
+    r = rules(spark, sf_dir)
+    groups = cut(S.merge_rules(r, similar(spark, sf_dir, r), 0.6))
     keyed = global_rank(groups.select("rule_id").distinct(), ["rule_id"], "id").select("rule_id", F.col("id").cast("bigint").alias("id"))
     return D.merged_spec_table(groups.select("group_id", "rule_id"), keyed)
 

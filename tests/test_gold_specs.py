@@ -147,3 +147,13 @@ def test_vectors(spark):
     assert got["a"] == got["b"] == got["c"] == "a" and got["d"] == ""
     q = spark.createDataFrame([("a", "b", "d", "c")], "a string, b string, c string, d string")
     assert E.analogies(v.where("word <> 'z'"), q).count() == 1
+
+
+def test_synonyms_of_rule_names_only(spark, tmp_path):
+    from quarry.plans.spec_queries import similar
+
+    names = ["a_free", "b_free", "c_put", "x_free"]
+    spark.createDataFrame([(n,) for n in [*names, *(f"n{i}_free" for i in range(3000))]], "label string").write.parquet(str(tmp_path / "pathbased_model.parquet"))
+    rules = S.with_id(spark.createDataFrame([(["a_free"], ["b_free", "c_put"]), (["unknown_free"], ["a_free"])], "context array<string>, response array<string>"))
+    got = sorted(map(tuple, similar(spark, str(tmp_path), rules).collect()))
+    assert got == [("a_free", "b_free", 0.9), ("b_free", "a_free", 0.9)]  # not the 9 million pairs of all labels
