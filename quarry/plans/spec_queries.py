@@ -117,8 +117,9 @@ def handlers_holding(spark, sf_dir):
 
 
 def spec_similarity(spark, sf_dir):
-    merged = cut(S.merge_rules(rules(spark, sf_dir), similar(spark, sf_dir), 0.6))
-    return S.spec_similarity(merged, similar(spark, sf_dir)).withColumn("similarity", F.round("similarity", 8))
+    r = rules(spark, sf_dir)
+    near = similar(spark, sf_dir, r)
+    return S.spec_similarity(cut(S.merge_rules(r, near, 0.6)), near).withColumn("similarity", F.round("similarity", 8))
 
 
 def compare_thresholds(spark, sf_dir):
