@@ -126,7 +126,7 @@ def compare_thresholds(spark, sf_dir):
     h = handlers(spark, sf_dir)
     r = rules(spark, sf_dir, h)
     plain = S.ranked_specs(r, h)
-    return S.compare_runs(plain, S.ranked_specs(r, h, S.merge_rules(r, similar(spark, sf_dir), 0.6)))
+    return S.compare_runs(plain, S.ranked_specs(r, h, S.merge_rules(r, similar(spark, sf_dir, r), 0.6)))
 
 
 QUERIES = {f.__name__: f for f in (handler_sides, handler_sentences, mined_rules, rule_supporting_handlers, rule_results, rule_missing_items, rule_confidences, rule_implementations, merge_rule_classes, ranked_specs, spec_best_per_response, specs_without_listed, specs_not_subsumed, handlers_with_classes, handler_transactions, handlers_holding, spec_similarity, compare_thresholds)}
