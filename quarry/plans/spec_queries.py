@@ -75,7 +75,8 @@ def rule_implementations(spark, sf_dir):
 
 
 def merge_rule_classes(spark, sf_dir):
-    return S.merge_rules(rules(spark, sf_dir), similar(spark, sf_dir), 0.6).select("group_id", "rule_id")
+    r = rules(spark, sf_dir)
+    return S.merge_rules(r, similar(spark, sf_dir, r), 0.6).select("group_id", "rule_id")
 
 
 def ranked_specs(spark, sf_dir):
