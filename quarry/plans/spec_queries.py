@@ -23,15 +23,14 @@ def _least(spark, sf_dir):
     return max(LEAST, load(spark, sf_dir, "eh_handler").count() // 200)
 
 
-def similar(spark, sf_dir, r=None):
-    """(x, y, sim): names of the rules ``r`` (all labels without) with the same last part count as synonyms of 0.9.
+def similar(spark, sf_dir, r):
+    """(x, y, sim): names of the rules ``r`` with the same last part count as synonyms of 0.9.
 
     Merging asks for no other names, and the pairs of all labels are as many
     as the square of the table.
     """
-    n = load(spark, sf_dir, "pathbased_model").select(F.col("label").alias("x")).where("x is not null").distinct()
-    if r is not None:
-        n = n.join(r.select(F.explode(F.concat("context", "response")).alias("x")).distinct(), "x", "left_semi")
+    named = r.select(F.explode(F.concat("context", "response")).alias("x")).distinct()
+    n = load(spark, sf_dir, "pathbased_model").select(F.col("label").alias("x")).where("x is not null").distinct().join(named, "x", "left_semi")
     n = cut(n.withColumn("k", F.substring_index("x", "_", -1)))
     return n.join(n.select(F.col("x").alias("y"), "k"), "k").where("x <> y").select("x", "y", F.lit(0.9).alias("sim"))
 
@@ -82,7 +81,7 @@ def merge_rule_classes(spark, sf_dir):
 def ranked_specs(spark, sf_dir):
     h = handlers(spark, sf_dir)
     r = rules(spark, sf_dir, h)
-    return S.ranked_specs(r, h, S.merge_rules(r, similar(spark, sf_dir), 0.6))
+    return S.ranked_specs(r, h, S.merge_rules(r, similar(spark, sf_dir, r), 0.6))
 
 
 def spec_best_per_response(spark, sf_dir):
