@@ -157,3 +157,12 @@ def test_synonyms_of_rule_names_only(spark, tmp_path):
     rules = S.with_id(spark.createDataFrame([(["a_free"], ["b_free", "c_put"]), (["unknown_free"], ["a_free"])], "context array<string>, response array<string>"))
     got = sorted(map(tuple, similar(spark, str(tmp_path), rules).collect()))
     assert got == [("a_free", "b_free", 0.9), ("b_free", "a_free", 0.9)]  # not the 9 million pairs of all labels
+
+
+def test_unrelated_pairs_move_no_pairs(spark):
+    rows = [(True, [f"{c}0"], [f"{c}{i}" for i in range(700)]) for c in "abc"] + [(False, ["a1"], ["b2"]), (False, ["b3"], ["a4"]), (False, ["c1"], ["c2", "z"])]
+    r = spark.createDataFrame([(*x, "p") for x in rows], "must boolean, a array<string>, b array<string>, prov string")
+    pairs = G.unrelated_pairs(r)
+    assert "HashAggregate" not in pairs._jdf.queryExecution().executedPlan().toString()  # distinct shuffled each pair
+    got = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a", "b").alias("d"), F.count_if(F.col("a") >= F.col("b")).alias("bad")).first()
+    assert got["n"] == got["d"] == 700 * 700 + 700 * 699 // 2 + 700 and got["bad"] == 0
