@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import cut
+
 
 def precision(a: Column, b: Column) -> Column:
     """Share of a's members that are in b; recall is the same with a and b exchanged."""
@@ -138,6 +140,32 @@ def confusion(true_pairs: DataFrame, false_pairs: DataFrame, clusters: DataFrame
     )
 
 
+def confusion_by_classes(true_pairs: DataFrame, apart: DataFrame, members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``confusion`` with the false pairs given as pairs of classes (ca <= cb, once each) and their members.
+
+    The pairs of names are counted and never formed: those within one cluster
+    are products of the classes' members there.  ``members``: name, class_id,
+    each name once; cut both before.  ``clusters`` holds a name once.
+    """
+    side = lambda s: clusters.select(F.col("name").alias(s), F.col("cluster_id").alias(f"c{s}"))
+    true = cut(true_pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left"))
+    named = cut(members.join(clusters.select("name", "cluster_id"), "name", "left"))
+    size = cut(named.groupBy("class_id").agg(F.count("cluster_id").alias("n"), F.max("name").alias("last")))
+    part = cut(named.where("cluster_id is not null").groupBy("class_id", "cluster_id").agg(F.count(F.lit(1)).alias("n")))
+    of = lambda t, s: t.select(*[F.col(c).alias({"class_id": f"c{s}", "cluster_id": "cluster_id"}.get(c, f"{c}_{s}")) for c in t.columns])
+    pairs = F.coalesce(F.sum(F.expr("if(ca = cb, n_a * (n_a - 1) div 2, n_a * n_b)")), F.lit(0))
+    sized = cut(apart.join(of(size, "a"), "ca").join(of(size, "b"), "cb"))
+    # a name without a cluster is lost if a partner has one or is greater
+    met = sized.select(F.col("ca").alias("class_id"), (F.col("n_b") > 0).alias("known"), F.col("last_b").alias("last")).unionByName(sized.select(F.col("cb").alias("class_id"), (F.col("n_a") > 0).alias("known"), F.col("last_a").alias("last")))
+    met = met.groupBy("class_id").agg(F.max("known").alias("known"), F.max("last").alias("last"))
+    lost = named.where("cluster_id is null").join(met, "class_id").where("known or last > name").select("name")
+    lost = lost.unionByName(true.select(F.when(F.col("ca").isNull(), F.col("a")).when(F.col("cb").isNull(), F.col("b")).alias("name"))).agg(F.count_distinct("name").alias("missing"))
+    same = apart.join(of(part, "a"), "ca").join(of(part, "b"), ["cb", "cluster_id"]).agg(pairs.alias("fp"))
+    counted = true.agg(F.count_if(F.col("ca") == F.col("cb")).alias("tp"), F.count_if(F.col("ca") != F.col("cb")).alias("fn"))
+    rows = counted.crossJoin(same).crossJoin(sized.agg(pairs.alias("every"))).crossJoin(lost)  # single rows
+    return rows.select("tp", "fn", "fp", (F.col("every") - F.col("fp")).alias("tn"), "missing")
+
+
 def confusion_scores(c: DataFrame) -> DataFrame:
     """``confusion`` with precision, recall and f1."""
     p = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))

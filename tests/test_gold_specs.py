@@ -166,3 +166,14 @@ def test_unrelated_pairs_move_no_pairs(spark):
     assert "HashAggregate" not in pairs._jdf.queryExecution().executedPlan().toString()  # distinct shuffled each pair
     got = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a", "b").alias("d"), F.count_if(F.col("a") >= F.col("b")).alias("bad")).first()
     assert got["n"] == got["d"] == 700 * 700 + 700 * 699 // 2 + 700 and got["bad"] == 0
+
+
+def test_confusion_by_classes(spark):
+    rows = [(True, ["a"], ["a", "b", "c", "d"]), (True, ["e"], ["e", "f", "g"]), (True, ["s"], ["t"]), (False, ["a"], ["e"]), (False, ["f"], ["b"]), (False, ["s"], ["t"]), (False, ["c"], ["d"]), (False, ["x"], ["y"]), (False, ["u"], ["a"])]
+    r = spark.createDataFrame([(*x, "p") for x in rows], "must boolean, a array<string>, b array<string>, prov string")
+    clusters = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("e", 1), ("f", 2), ("u", 3)], "name string, cluster_id int")
+    must = G.must_edges(r).select("a", "b").where("a <> b").distinct()
+    counted = V.confusion_by_classes(must, *G.unrelated_classes(r), clusters)
+    assert counted.collect() == V.confusion(must, G.unrelated_pairs(r), clusters).collect()
+    none = r.where("must")
+    assert V.confusion_by_classes(must, *G.unrelated_classes(none), clusters).collect() == V.confusion(must, G.unrelated_pairs(none), clusters).collect()
