@@ -162,6 +162,24 @@ def test_copies_beyond_a_shard(spark):
     assert len(home) == len(x) and not home["visitor"].any() and home["shard"].value_counts().max() <= 75
 
 
+def test_neighbours_among_copies(spark):
+    near = np.tile([0.9, 0.436, 0, 0, 0, 0, 0, 0], (6, 1)) + np.eye(8)[[2, 3, 4, 5, 6, 7]] * 0.02
+    x = np.vstack([np.tile(np.eye(8)[:1], (400, 1)), near])[np.random.default_rng(3).permutation(406)]
+    got = {}
+    for r in vectors.most_similar(frame(spark, x), 4, shard_points=40, n_pivots=8).orderBy("label", "rank").collect():
+        got.setdefault(r["label"], []).append(r["neighbour"])
+    copies = [f"w{i:05d}" for i in np.flatnonzero(x[:, 0] == 1)]
+    others = {f"w{i:05d}" for i in np.flatnonzero(x[:, 0] < 1)}
+    assert all(got[c] == [y for y in copies[:5] if y != c][:4] for c in copies)
+    assert all(set(got[o]) <= others - {o} and len(got[o]) == 4 for o in others)  # not copies, which are farther
+
+
+def test_parts_by_hash_are_all_asked():
+    cell = vectors.Cell(np.zeros((0, 8), np.float32), np.zeros(0, int), np.zeros(0), 5)
+    counts, s = cell.by_hash(np.array([7, 4]), 5)
+    assert counts.tolist() == [5, 5] and s.tolist() == [2, 3, 4, 0, 1, 4, 0, 1, 2, 3]
+
+
 def test_latest_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("a", [1.0, 0.0], 1), ("a", [0.0, 2.0], 2), ("a", [0.0, 2.0], 2), ("b", None, 1), ("c", [1.0], 1), ("d", [0.0, 0.0], 1), ("e", [nan, 1.0], 1), ("f", [inf, 1.0], 1), (None, [1.0, 1.0], 1), ("g", [1.0, 1.0], None), ("h", [1.0, None], 3)]
