@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.pairs import SUMS_IN_MEMORY, merge_sums
+
 
 def items_of(values: Column) -> Column:
     """Sorted distinct items of a list; nulls and empty strings are dropped, a null list is empty."""
@@ -130,30 +135,83 @@ def substring_at(seq: Column, of: Column) -> Column:
     return F.coalesce(F.get(hit, F.lit(0)), F.lit(-1))
 
 
+MASK_ITEMS, SUBSET_ITEMS = 62, 12
+CELLS_AT_ONCE = 2_000_000
+
+
+def _subset_sums(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (mask, wgt), masks of ``size`` bits, to the weights of their proper subsets but the empty one, added up."""
+    chosen = np.array([[j >> i & 1 for j in range(1, (1 << size) - 1)] for i in range(size)], np.int64)
+    step = max(1, CELLS_AT_ONCE >> size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows() -> pa.RecordBatch:
+            key, total = merge_sums(held)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], names=["mask", "wgt"])
+
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                left, w = (b.column(c).slice(at, step).to_numpy().copy() for c in (0, 1))
+                bits = np.empty((len(left), size), np.int64)
+                for i in range(size):
+                    bits[:, i] = left & -left
+                    left -= bits[:, i]
+                held.append(merge_sums([((bits @ chosen).ravel(), np.repeat(w, chosen.shape[1]))]))
+                if sum(len(h[0]) for h in held) > SUMS_IN_MEMORY:
+                    held[:] = [merge_sums(held)]
+                    if len(held[0][0]) > SUMS_IN_MEMORY // 2:
+                        yield rows()
+                        held.clear()
+        if held:
+            yield rows()
+
+    return run
+
+
 def idempotent_weights(tx: DataFrame, item_least: int = 2) -> DataFrame:
     """(items, wgt): weight of each distinct transaction less that of its larger supersets.
 
     From the largest size down, w(s) loses the adjusted w of every distinct
-    proper superset; the loop runs over the distinct sizes.  A set meets the
-    larger ones that hold its two rarest items (its one item, if it has but
-    one), and containment is tested there.  The empty transaction keeps its
-    weight less all others.
+    proper superset; the loop runs over the distinct sizes.  With at most
+    ``MASK_ITEMS`` items a set of up to ``SUBSET_ITEMS`` lists its subsets as
+    masks, which each task adds up.  Otherwise a set meets the larger ones that
+    hold its two rarest items (its one item, if it has but one), and
+    containment is tested there.  The empty transaction keeps its weight less
+    all others.
     """
     from quarry.session import cut
 
     base = cut(collapse(tx))
     rare = cut(item_frequencies(base).select("item", "n"))
-    two = base.select("items", F.explode("items").alias("item")).join(rare, "item").groupBy("items").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "item"))), 1, 2).alias("r"))
-    key = two.select("items", F.array_min(F.col("r.item")).alias("a"), F.array_max(F.col("r.item")).alias("b"))
-    state = cut(base.join(key, "items", "left").select("items", "wgt", F.size("items").alias("size"), "a", "b"))
-    for size in sorted((r[0] for r in state.select("size").distinct().collect()), reverse=True):
+    state = base.withColumn("size", F.size("items"))
+    sizes = sorted((r[0] for r in state.select("size").distinct().collect()), reverse=True)
+    names = [r["item"] for r in rare.select("item").limit(MASK_ITEMS + 1).collect()]
+    listed = SUBSET_ITEMS if len(names) <= MASK_ITEMS and dict(base.dtypes)["wgt"] in ("int", "bigint", "double") else 0
+    if listed and names:
+        bit = F.create_map(*[F.lit(x) for n, name in enumerate(sorted(names)) for x in (name, 1 << n)])
+        state = state.withColumn("mask", F.aggregate("items", F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.element_at(bit, x).cast("bigint"))))
+    if sizes and sizes[0] > listed:
+        two = base.select("items", F.explode("items").alias("item")).join(rare, "item").groupBy("items").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "item"))), 1, 2).alias("r"))
+        key = two.select("items", F.array_min(F.col("r.item")).alias("a"), F.array_max(F.col("r.item")).alias("b"))
+        state = state.join(key, "items", "left")
+    state = cut(state)
+    for size in sizes:
         if size < 2:
             break
-        pairs = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 1, F.size("items") - i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        larger = state.where(F.col("size") == size).select(F.col("items").alias("big"), F.col("wgt").alias("big_wgt"), F.explode(pairs).alias("p")).select("big", "big_wgt", "p.a", "p.b")
-        met = state.where(F.col("size") < size).select("items", "a", "b").join(larger, ["a", "b"]).where(F.forall("items", lambda x: F.array_contains("big", x)))
-        lost = met.groupBy("items").agg(F.sum("big_wgt").alias("lost"))
-        state = cut(state.join(lost, "items", "left").select("items", (F.col("wgt") - F.coalesce("lost", F.lit(0))).alias("wgt"), "size", "a", "b"))
+        if size <= listed:
+            big = state.where(F.col("size") == size).select("mask", "wgt")
+            lost = big.mapInArrow(_subset_sums(size), big.schema).groupBy("mask").agg(F.sum("wgt").alias("lost"))
+            met = ["mask"]
+        else:
+            pairs = F.flatten(F.transform("items", lambda x, i: F.transform(F.slice("items", i + 1, F.size("items") - i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+            larger = state.where(F.col("size") == size).select(F.col("items").alias("big"), F.col("wgt").alias("big_wgt"), F.explode(pairs).alias("p")).select("big", "big_wgt", "p.a", "p.b")
+            hit = state.where(F.col("size") < size).select("items", "a", "b").join(larger, ["a", "b"]).where(F.forall("items", lambda x: F.array_contains("big", x)))
+            lost = hit.groupBy("items").agg(F.sum("big_wgt").alias("lost"))
+            met = ["items"]
+        columns = state.columns
+        state = cut(state.join(lost, met, "left").withColumn("wgt", F.col("wgt") - F.coalesce("lost", F.lit(0))).select(*columns))
     rest = state.where("size > 0").agg(F.coalesce(F.sum("wgt"), F.lit(0)).alias("lost"))
     empty = state.where("size = 0").crossJoin(F.broadcast(rest)).select("items", (F.col("wgt") - F.col("lost")).alias("wgt"))  # single rows
     return state.where("size > 0").select("items", "wgt").unionByName(empty)

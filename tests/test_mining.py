@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from itertools import combinations
 
@@ -101,6 +102,19 @@ def test_idempotent_weights(spark):
     assert got == {"abc": 2, "ab": 3, "a": 3 - 3 - 2, "": 20 - (2 + 3 - 2)}
 
 
+@pytest.mark.parametrize("most_items, most_subset", [(62, 12), (62, 3), (4, 12)])
+def test_idempotent_weights_either_way(spark, monkeypatch, most_items, most_subset):
+    monkeypatch.setattr(T, "MASK_ITEMS", most_items)
+    monkeypatch.setattr(T, "SUBSET_ITEMS", most_subset)
+    draw = random.Random(5)
+    sets = {tuple(sorted(draw.sample("abcdefgh", draw.randint(0, 6)))): draw.randint(1, 9) for _ in range(150)}
+    want = {}
+    for s in sorted(sets, key=len, reverse=True):
+        want[s] = sets[s] - sum(w for t, w in want.items() if set(s) < set(t))
+    tx = spark.createDataFrame([(list(s), w) for s, w in sets.items()], "items array<string>, wgt long")
+    assert {tuple(r["items"]): r["wgt"] for r in T.idempotent_weights(tx).collect()} == want
+
+
 def test_layouts(spark):
     want = [list(r) for r in ROWS]
     lines = spark.createDataFrame([(" ".join(r),) for r in ROWS] + [("# a comment",)], "value string")
