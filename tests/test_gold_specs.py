@@ -168,6 +168,30 @@ def test_unrelated_pairs_move_no_pairs(spark):
     assert got["n"] == got["d"] == 700 * 700 + 700 * 699 // 2 + 700 and got["bad"] == 0
 
 
+def test_unrelated_pairs_send_the_smaller_class(spark):
+    large, small = [f"big{i:04}_of_a_large_class" for i in range(5000)], [f"n{i:03}" for i in range(400)]
+    must = [(True, large[:1], large), (True, small[2:3], small[2:5])]
+    # "a..." is before, "z..." behind the large class: either side of a pair may be the larger one
+    apart = [(False, [large[7]], [*small, *(f"{c}{i:03}" for c in "az" for i in range(200))]), (False, [small[2]], [small[3], "a000"])]
+    r = spark.createDataFrame([(*x, "p") for x in must + apart], "must boolean, a array<string>, b array<string>, prov string")
+    sc, old = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def sent():
+        sc.listenerBus().waitUntilEmpty()
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = G.unrelated_pairs(r)
+        before = sent()
+        got = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") >= F.col("b")).alias("bad")).first()
+        assert got["n"] == 5000 * 800 + 3 + 3 and got["bad"] == 0  # and the class of three with itself and with "a000"
+        assert sent() - before < 2_000_000  # not the large class to each of its 798 partners
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_confusion_by_classes(spark):
     rows = [(True, ["a"], ["a", "b", "c", "d"]), (True, ["e"], ["e", "f", "g"]), (True, ["s"], ["t"]), (False, ["a"], ["e"]), (False, ["f"], ["b"]), (False, ["s"], ["t"]), (False, ["c"], ["d"]), (False, ["x"], ["y"]), (False, ["u"], ["a"])]
     r = spark.createDataFrame([(*x, "p") for x in rows], "must boolean, a array<string>, b array<string>, prov string")
